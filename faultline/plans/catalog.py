@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.operators import rank
-from faultline.plans import field_queries, join_queries  # noqa: F401
+from faultline.plans import feature_queries, field_queries, join_queries  # noqa: F401
 from faultline.plans.registry import shaped
 from faultline.plans.views import Tables
 

@@ -259,7 +259,7 @@ def u3(t):
     "g1_edge_list",
     """SELECT g.pos, g.src, g.dst, a.idx AS src_idx, b.idx AS dst_idx FROM edges g JOIN nodes a ON a.entity = g.src JOIN nodes b ON b.entity = g.dst""".replace(
         "nodes",
-        "(SELECT entity, row_number() OVER (ORDER BY min(at)) - 1 AS idx FROM (SELECT src AS entity, pos * 2 AS at FROM edges UNION ALL SELECT dst, pos * 2 + 1 FROM edges) GROUP BY entity)",
+        "(SELECT entity, row_number() OVER (ORDER BY min(place)) - 1 AS idx FROM (SELECT src AS entity, pos * 2 AS place FROM edges UNION ALL SELECT dst, pos * 2 + 1 FROM edges) GROUP BY entity)",
     ),
     whole="pos src_idx dst_idx",
 )

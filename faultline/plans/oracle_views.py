@@ -53,6 +53,11 @@ def mean_sql(parts: list[str]) -> str:
     return "(" + " + ".join(parts) + f") / {len(parts)}"
 
 
+def slope_sql(x: str) -> str:
+    """Slope of `$f` on a regressor, 0 for a constant regressor."""
+    return f"CASE WHEN regr_sxx($f, {x}) > 0 THEN regr_slope($f, {x}) ELSE 0 END"
+
+
 def rank_sql(src: str, by: str = "coalesce(mean_residual, -99)", out: str = "rank") -> str:
     return (
         f"SELECT *, row_number() OVER (PARTITION BY system, start, stop ORDER BY {by} DESC, entity) AS {out} FROM {src}"
@@ -149,8 +154,8 @@ VIEWS: dict[str, str] = {
     "pairs": f"""
         SELECT *, {each('lag($f) OVER w AS prev_$f')} FROM norm WINDOW w AS (PARTITION BY system, entity ORDER BY t_idx)""",
     "lines": f"""
-        SELECT system, entity, {each('coalesce(regr_slope($f, prev_$f), 0) AS beta_$f')},
-               {each('avg($f) - coalesce(regr_slope($f, prev_$f), 0) * avg(prev_$f) AS alpha_$f')}
+        SELECT system, entity, {each(slope_sql('prev_$f') + ' AS beta_$f')},
+               {each('avg($f) - (' + slope_sql('prev_$f') + ') * avg(prev_$f) AS alpha_$f')}
         FROM pairs WHERE use_step AND t_idx > 0 GROUP BY ALL""",
     "sigmas": f"""
         SELECT p.system, p.entity, {each('sqrt(avg(pow(p.$f - l.alpha_$f - l.beta_$f * p.prev_$f, 2))) AS sigma_$f')}
@@ -299,8 +304,8 @@ VIEWS: dict[str, str] = {
     "edge_err": f"""
         SELECT p.system, avg({mean_sql([f'pow(p.{f} - (l.alpha_{f} + l.beta_{f} * p.prev_{f}), 2)' for f in F4])}) AS edge_mse,
                count(*) FILTER (WHERE t_idx > 0) AS n
-        FROM edge_pairs p JOIN (SELECT system, src, dst, {each('coalesce(regr_slope($f, prev_$f), 0) AS beta_$f', F4)},
-                                       {each('avg($f) - coalesce(regr_slope($f, prev_$f), 0) * avg(prev_$f) AS alpha_$f', F4)}
+        FROM edge_pairs p JOIN (SELECT system, src, dst, {each(slope_sql('prev_$f') + ' AS beta_$f', F4)},
+                                       {each('avg($f) - (' + slope_sql('prev_$f') + ') * avg(prev_$f) AS alpha_$f', F4)}
                                 FROM edge_pairs WHERE use_step AND t_idx > 0 GROUP BY ALL) l USING (system, src, dst)
         GROUP BY p.system""",
     # --- mixes
