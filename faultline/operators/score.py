@@ -18,35 +18,36 @@ from faultline.fixed_values import (
     STD_FLOOR,
 )
 from faultline.operators.joins import attach
+from faultline.operators.stats import by_feature, pack
 
 TINY = 1e-300
 
 
-def _line(target: Column, regressor: Column) -> tuple[Column, Column, Column]:
+def _line(y: Column, x: Column) -> tuple[Column, Column, Column]:
     """Aggregates of a least-squares line: intercept, slope, deviation of the errors.
 
     With a constant regressor the line is flat at the mean.
     """
-    slope = F.coalesce(F.regr_slope(target, regressor), F.lit(0.0))
-    intercept = F.regr_avgy(target, regressor) - slope * F.regr_avgx(target, regressor)
-    rest = F.regr_syy(target, regressor) - slope * F.regr_sxy(target, regressor)
-    sigma = F.sqrt(F.greatest(rest / F.regr_count(target, regressor), F.lit(0.0)))
+    slope = F.coalesce(F.regr_slope(y, x), F.lit(0.0))
+    intercept = F.regr_avgy(y, x) - slope * F.regr_avgx(y, x)
+    rest = F.regr_syy(y, x) - slope * F.regr_sxy(y, x)
+    sigma = F.sqrt(F.greatest(rest / F.regr_count(y, x), F.lit(0.0)))
     return intercept, slope, sigma
 
 
 def fit_line(
-    rows: DataFrame,
-    keys: Sequence[str],
-    targets: Sequence[str],
-    regressors: Sequence[str],
-    use: str = "use_step",
+    rows: DataFrame, keys: Sequence[str], features: Sequence[str], regressor: str, use: str = "use_step"
 ) -> DataFrame:
-    """Per key, one line per target: `alpha_`, `beta_`, `sigma_` columns. One map-side combined pass."""
-    parts = []
-    for y, x in zip(targets, regressors):
-        a, b, s = _line(F.when(F.col(use), F.col(y)), F.when(F.col(use), F.col(x)))
-        parts += [a.alias("alpha_" + y), b.alias("beta_" + y), s.alias("sigma_" + y)]
-    return rows.groupBy(*keys).agg(*parts)
+    """Per key and feature, the line of the feature on one regressor; rows come normalized."""
+    long = by_feature(rows, [*keys, use], features, [regressor] * len(features))
+    a, b, s = _line(F.when(F.col(use), F.col("x")), F.when(F.col(use), F.col("r")))
+    return long.groupBy(*keys, "feature").agg(
+        F.first(F.lit(0.0)).alias("mean"),
+        F.first(F.lit(1.0)).alias("std"),
+        a.alias("alpha"),
+        b.alias("beta"),
+        s.alias("sigma"),
+    )
 
 
 def fit_step(
@@ -57,19 +58,17 @@ def fit_step(
     A line survives an affine change of units: with x = m + s z the slope stays, the intercept becomes
     (a + b m - m) / s and the deviation sigma / s. So the data is aggregated once instead of twice.
     """
-    parts = []
-    for f in features:
-        x = F.when(F.col(use), F.col(f))
-        mean, std = F.avg(x), F.stddev_pop(x) + STD_FLOOR
-        a, b, s = _line(x, F.when(F.col(use), F.col("prev_" + f)))
-        parts += [
-            mean.alias("mean_" + f),
-            std.alias("std_" + f),
-            ((a + b * mean - mean) / std).alias("alpha_" + f),
-            b.alias("beta_" + f),
-            (s / std).alias("sigma_" + f),
-        ]
-    return rows.groupBy(*keys).agg(*parts)
+    long = by_feature(rows, [*keys, use], features, ["prev_" + f for f in features])
+    x = F.when(F.col(use), F.col("x"))
+    mean, std = F.avg(x), F.stddev_pop(x) + STD_FLOOR
+    a, b, s = _line(x, F.when(F.col(use), F.col("r")))
+    return long.groupBy(*keys, "feature").agg(
+        mean.alias("mean"),
+        std.alias("std"),
+        ((a + b * mean - mean) / std).alias("alpha"),
+        b.alias("beta"),
+        (s / std).alias("sigma"),
+    )
 
 
 def log_sigma(sigma: Column) -> Column:
@@ -84,6 +83,25 @@ def nll(x: Column, mu: Column, sigma: Column) -> Column:
     return F.pow(x - mu, F.lit(2.0)) / (2.0 * s * s) + ls + 0.5 * math.log(2 * math.pi)
 
 
+def scoring_form(fit: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """A fit folded into what a row needs: NLL of feature i is level_i + curve_i * error_i ** 2.
+
+    Logarithms and exponentials are taken once per (key, feature), not once per row.
+    """
+    s = F.exp(log_sigma(F.col("sigma"))) + SIGMA_FLOOR
+    folded = fit.select(
+        *keys,
+        "feature",
+        "mean",
+        (F.col("std") * F.col("alpha")).alias("shift"),
+        "beta",
+        (1.0 / (2.0 * s * s * F.col("std") * F.col("std"))).alias("curve"),
+        (1.0 / (F.col("std") * F.col("std"))).alias("scale"),
+        (log_sigma(F.col("sigma")) + 0.5 * math.log(2 * math.pi)).alias("level"),
+    )
+    return pack(folded, keys, features, ["mean", "shift", "beta", "curve", "scale", "level"], "_fit")
+
+
 def _mean(columns: Iterable[Column]) -> Column:
     columns = list(columns)
     total = columns[0]
@@ -92,10 +110,13 @@ def _mean(columns: Iterable[Column]) -> Column:
     return total / len(columns)
 
 
-def line_nll(feature: str, regressor: str) -> Column:
-    """NLL of one feature under the joined line."""
-    mu = F.col("alpha_" + feature) + F.col("beta_" + feature) * F.col(regressor)
-    return nll(F.col(feature), mu, F.col("sigma_" + feature))
+def _errors(features: Sequence[str], regressors: Sequence[str]) -> list[tuple[Column, Column]]:
+    """(fit entry, prediction error in the feature's own units) per feature."""
+    out = []
+    for i, (f, r) in enumerate(zip(features, regressors)):
+        entry = F.col("_fit")[i]
+        out.append((entry, (F.col(f) - entry["mean"]) - entry["shift"] - entry["beta"] * (F.col(r) - entry["mean"])))
+    return out
 
 
 def score_rows(
@@ -106,30 +127,17 @@ def score_rows(
     regressors: Sequence[str],
     small: bool | None = None,
 ) -> DataFrame:
-    """Per row, the NLL averaged over features; NULL where the regressor is NULL (first step)."""
-    joined = attach(rows, fit, keys, small=small)
-    return joined.withColumn("residual", _mean(line_nll(f, x) for f, x in zip(features, regressors)))
-
-
-def step_residual(features: Sequence[str] = NODE_FEATURES) -> Column:
-    """Row expression over raw values and `fit_step` columns."""
-
-    def one(f: str) -> Column:
-        z = lambda c: (F.col(c) - F.col("mean_" + f)) / F.col("std_" + f)
-        mu = F.col("alpha_" + f) + F.col("beta_" + f) * z("prev_" + f)
-        return nll(z(f), mu, F.col("sigma_" + f))
+    """Per row, the NLL averaged over features; NULL where a regressor is NULL (first step)."""
+    joined = attach(rows, scoring_form(fit, keys, features), keys, small=small)
+    parts = [k["level"] + k["curve"] * e * e for k, e in _errors(features, regressors)]
+    return joined.withColumn("residual", _mean(parts)).drop("_fit")
 
-    return _mean(one(f) for f in features)
 
-
-def step_errors(features: Sequence[str]) -> list[Column]:
-    """Squared one-step prediction errors in normalized units (raw values and `fit_step` columns)."""
-    out = []
-    for f in features:
-        z = lambda c, f=f: (F.col(c) - F.col("mean_" + f)) / F.col("std_" + f)
-        mu = F.col("alpha_" + f) + F.col("beta_" + f) * z("prev_" + f)
-        out.append(F.pow(z(f) - mu, F.lit(2.0)))
-    return out
+def step_residuals(
+    rows: DataFrame, fit: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES, small: bool | None = None
+) -> DataFrame:
+    """`score_rows` for the one-step predictor, on raw values with `prev_` columns."""
+    return score_rows(rows, fit, keys, features, ["prev_" + f for f in features], small)
 
 
 def overall_nll(residuals: DataFrame) -> DataFrame:
@@ -138,9 +146,10 @@ def overall_nll(residuals: DataFrame) -> DataFrame:
 
 
 def edge_error(rows: DataFrame, fit: DataFrame, keys: Sequence[str], features: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Mean squared error of predicted edge features."""
-    joined = attach(rows, fit, keys, small=small)
-    return joined.select("system", _mean(step_errors(features)).alias("_e")).groupBy("system").agg(
+    """Mean squared one-step error of edge features, in normalized units."""
+    joined = attach(rows, scoring_form(fit, keys, features), keys, small=small)
+    parts = [k["scale"] * e * e for k, e in _errors(features, ["prev_" + f for f in features])]
+    return joined.select("system", _mean(parts).alias("_e")).groupBy("system").agg(
         F.avg("_e").alias("edge_mse"), F.count("_e").alias("n")
     )
 

@@ -11,38 +11,46 @@ from faultline.functions.values import or_zero
 from faultline.operators.joins import attach
 
 
-def normal_stats(
-    filled: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES, normal: str = "is_normal"
+def by_feature(
+    rows: DataFrame, kept: Sequence[str], features: Sequence[str], regressors: Sequence[str] | None = None
 ) -> DataFrame:
-    """Mean and population deviation of each feature over normal steps, over all steps if none is normal.
+    """One row per (row, feature) with its value `x` and, if asked, its regressor `r`.
 
-    One pass over the wide rows: no unpivot, and each task sends one row per key.
+    Aggregating this form is faster than one wide aggregation over all features: the generated code
+    stays small enough to be compiled, and the unrolled rows never leave the task.
     """
-    ok = F.col(normal)
-    parts = []
-    for f in features:
-        good = F.when(ok, F.col(f))
-        parts += [
-            F.coalesce(F.avg(good), F.avg(f)).alias("mean_" + f),
-            (F.coalesce(F.stddev_pop(good), F.stddev_pop(f)) + STD_FLOOR).alias("std_" + f),
-        ]
-    return filled.groupBy(*keys).agg(*parts)
+    cells = []
+    for i, f in enumerate(features):
+        parts = [F.lit(f).alias("feature"), F.col(f).alias("x")]
+        if regressors is not None:
+            parts.append(F.col(regressors[i]).alias("r"))
+        cells.append(F.struct(*parts))
+    return rows.select(*kept, F.inline(F.array(*cells)))
 
 
-def pooled_stats(filled: DataFrame, features: Sequence[str] = NODE_FEATURES, keys: Sequence[str] = ("system",)) -> DataFrame:
-    """Mean and deviation pooled over time and entities; the floor is added to both."""
-    parts = []
-    for f in features:
-        parts += [
-            (F.avg(f) + STD_FLOOR).alias("mean_" + f),
-            (F.stddev_pop(f) + STD_FLOOR).alias("std_" + f),
-        ]
-    return filled.groupBy(*keys).agg(*parts)
+def pack(table: DataFrame, keys: Sequence[str], features: Sequence[str], fields: Sequence[str], out: str) -> DataFrame:
+    """Per key, an array of one struct per feature in feature order (as many entries as features)."""
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    entries = F.sort_array(F.collect_list(F.struct(place.alias("at"), *fields)))
+    return table.groupBy(*keys).agg(entries.alias(out))
 
 
-def normalized(feature: str, value: Column | None = None) -> Column:
-    value = F.col(feature) if value is None else value
-    return or_zero((value - F.col("mean_" + feature)) / F.col("std_" + feature))
+def normal_stats(
+    filled: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES, normal: str = "is_normal"
+) -> DataFrame:
+    """Mean and population deviation per key and feature over normal steps, over all steps if none is normal."""
+    good = F.when(F.col(normal), F.col("x"))
+    return by_feature(filled, [*keys, normal], features).groupBy(*keys, "feature").agg(
+        F.coalesce(F.avg(good), F.avg("x")).alias("mean"),
+        (F.coalesce(F.stddev_pop(good), F.stddev_pop("x")) + STD_FLOOR).alias("std"),
+    )
+
+
+def pooled_stats(filled: DataFrame, features: Sequence[str] = NODE_FEATURES, keys: Sequence[str] = ("system",)) -> DataFrame:
+    """Mean and deviation per feature pooled over time and entities; the floor is added to both."""
+    return by_feature(filled, keys, features).groupBy(*keys, "feature").agg(
+        (F.avg("x") + STD_FLOOR).alias("mean"), (F.stddev_pop("x") + STD_FLOOR).alias("std")
+    )
 
 
 def apply_stats(
@@ -53,19 +61,20 @@ def apply_stats(
     small: bool | None = None,
 ) -> DataFrame:
     """(x - mean) / std per key and feature; missing becomes 0."""
-    joined = attach(filled, stats, keys, small=small)
+    joined = attach(filled, pack(stats, keys, features, ["mean", "std"], "_stats"), keys, small=small)
     kept = [c for c in filled.columns if c not in features]
-    return joined.select(*kept, *[normalized(f).alias(f) for f in features])
+
+    def scaled(i: int, f: str) -> Column:
+        entry = F.col("_stats")[i]
+        return or_zero((F.col(f) - entry["mean"]) / entry["std"]).alias(f)
+
+    return joined.select(*kept, *[scaled(i, f) for i, f in enumerate(features)])
 
 
-def long_stats(stats: DataFrame, keys: Sequence[str], kind: str, features: Sequence[str]) -> DataFrame:
-    """Stats as one row per (kind, key, feature), the form that is stored."""
+def stored_stats(stats: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    """Stats as (system, kind, key, feature, mean, std), the form that is stored."""
     label = F.concat_ws(">", *[F.col(k) for k in keys])
-    rows = [
-        F.struct(F.lit(f).alias("feature"), F.col("mean_" + f).alias("mean"), F.col("std_" + f).alias("std"))
-        for f in features
-    ]
-    return stats.select("system", F.lit(kind).alias("kind"), label.alias("key"), F.inline(F.array(*rows)))
+    return stats.select("system", F.lit(kind).alias("kind"), label.alias("key"), "feature", "mean", "std")
 
 
 def baseline(residuals: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def a7(t):
     rounded="mean std",
 )
 def a8(t):
-    return stats.long_stats(t.stats, ["entity"], "node", NODE_FEATURES).drop("system")
+    return stats.stored_stats(t.stats, ["entity"], "node").drop("system")
 
 
 @query(
@@ -151,7 +151,7 @@ def a8(t):
     rounded="mean std",
 )
 def a9(t):
-    return stats.long_stats(stats.pooled_stats(t.filled), ["system"], "node", NODE_FEATURES).select("feature", "mean", "std")
+    return stats.pooled_stats(t.filled).select("feature", "mean", "std")
 
 
 @query(
@@ -272,7 +272,7 @@ def a19(t):
     calls = t.edge_grid.groupBy("system", "ts", F.col("dst").alias("entity")).agg(F.sum("call_count").alias("actual"))
     fed = t.normalized.join(calls, ["system", "ts", "entity"], "left").withColumn("actual", F.coalesce("actual", F.lit(0.0)))
     fed = fed.withColumn("_pos", F.col("t_idx") % WINDOW).withColumn("_win", F.floor(F.col("t_idx") / WINDOW))
-    fit = score.fit_line(fed, ["system", "entity"], NODE_FEATURES, ["actual"] * len(NODE_FEATURES))
+    fit = score.fit_line(fed, ["system", "entity"], NODE_FEATURES, "actual")
     means = fed.groupBy("system", "entity", "_pos").agg(F.avg("actual").alias("static"))
     fed = attach(fed, means, ["system", "entity", "_pos"], small=t.small)
     inputs = F.array(
@@ -540,16 +540,7 @@ def r2(t):
     rounded="alpha beta sigma",
 )
 def m1(t):
-    rows = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.col("alpha_" + f).alias("alpha"),
-            F.col("beta_" + f).alias("beta"),
-            F.col("sigma_" + f).alias("sigma"),
-        )
-        for f in NODE_FEATURES
-    ]
-    return t.fit.select("entity", F.inline(F.array(*rows)))
+    return t.fit.select("entity", "feature", "alpha", "beta", "sigma")
 
 
 @query(
@@ -567,7 +558,7 @@ def m2(t):
     """Prediction from the total load alone; the entity's own past never enters."""
     load = featurize.workload_context(t.filled, keys=("system", "ts")).select("system", "ts", "total_qps")
     rows = t.normalized.join(load, ["system", "ts"])
-    fit = score.fit_line(rows, ["system", "entity"], NODE_FEATURES, ["total_qps"] * 8)
+    fit = score.fit_line(rows, ["system", "entity"], NODE_FEATURES, "total_qps")
     scored = score.score_rows(rows, fit, ["system", "entity"], NODE_FEATURES, ["total_qps"] * 8, small=t.small)
     return scored.select("t_idx", "entity", "residual")
 

@@ -253,10 +253,8 @@ class Tables:
     @cached_property
     def raw_residuals(self) -> DataFrame:
         """Residual of every (step, entity); NULL at the first step."""
-        joined = joins.attach(self.paired, self.fit, ["system", "entity"], small=self.small)
-        return joined.select(
-            "system", "ts", "t_idx", "n_steps", "is_normal", "entity", score.step_residual().alias("residual")
-        )
+        scored = score.step_residuals(self.paired, self.fit, ["system", "entity"], small=self.small)
+        return scored.select("system", "ts", "t_idx", "n_steps", "is_normal", "entity", "residual")
 
     @cached_property
     def residual_rows(self) -> DataFrame:
