@@ -173,9 +173,14 @@ class Tables:
 
     # --- dimensions --------------------------------------------------------------------------
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Service x step means: the only full pass over the raw metrics; dimensions come from here too."""
+        return cut(featurize.service_means(self.pods))
+
     @cached_property
     def entities(self) -> DataFrame:
-        return cut(grid.entities(self.pods))
+        return cut(grid.entities(self.cells))
 
     @cached_property
     def small(self) -> bool:
@@ -194,20 +199,16 @@ class Tables:
     def edges_small(self) -> bool:
         return joins.fits(self.edges)
 
-    @cached_property
-    def bare_steps(self) -> DataFrame:
-        return cut(grid.time_steps(self.pods))
-
     @cached_property
     def steps(self) -> DataFrame:
-        marked = joins.mark_normal(self.bare_steps, self.faults, FAULT_SECONDS)
+        marked = joins.mark_normal(grid.time_steps(self.cells), self.faults, FAULT_SECONDS)
         return cut(joins.usable_steps(marked, self.small))
 
-    # --- features ----------------------------------------------------------------------------
-
     @cached_property
-    def cells(self) -> DataFrame:
-        return featurize.service_means(self.pods)
+    def bare_steps(self) -> DataFrame:
+        return self.steps.select("system", "ts", "t_idx", "n_steps")
+
+    # --- features ----------------------------------------------------------------------------
 
     @cached_property
     def grid(self) -> DataFrame:

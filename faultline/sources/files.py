@@ -76,10 +76,9 @@ def log_files(spark: SparkSession, directory: str, system: str, max_files: int |
 
 
 def dependency_file(spark: SparkSession, path: str, system: str) -> DataFrame:
-    """Two-column dependency list with the row's place in the file."""
+    """Two-column dependency list with the row's place; ids grow along a file."""
     raw = read_csv(spark, path, "source string, target string")
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-    return raw.select(F.lit(system).alias("system"), "source", "target", place["row"].alias("pos"))
+    return raw.select(F.lit(system).alias("system"), "source", "target", F.monotonically_increasing_id().alias("pos"))
 
 
 def fault_file(spark: SparkSession, path: str, system: str, lines: bool = False) -> DataFrame:
