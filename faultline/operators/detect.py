@@ -94,7 +94,7 @@ def known_start_windows(faults: DataFrame, steps: DataFrame, size: int = WINDOW)
     """Window of `size` steps from half a window before the fault's as-of step, shifted left at the end."""
     placed = asof_step(faults, steps.select("system", "ts"))
     index = steps.select("system", F.col("ts").alias("step_ts"), F.col("t_idx").alias("start_idx"), "n_steps")
-    joined = placed.join(index, ["system", "step_ts"])
+    joined = attach(placed, index, ["system", "step_ts"])
     first = F.greatest(F.col("start_idx") - size // 2, F.lit(0))
     stop = F.least(F.col("n_steps"), first + size)
     start = F.when(stop - first < size, F.greatest(stop - size, F.lit(0))).otherwise(first)
@@ -195,7 +195,7 @@ def time_hits(
     laid = levels.withColumnRenamed("entity", "_who").select("system", "_who", "_lo", "_hi", "_thr")
     inside = in_range(residuals, laid, "t_idx", "_lo", "_hi", block=32).where(F.col("entity") == F.col("_who"))
     seen = inside.groupBy("system", "entity", "_lo", "_hi").agg(first_crossing(F.col("_thr")).alias("first_idx"))
-    joined = limited.join(seen, ["system", "entity", "_lo", "_hi"], "left").drop("_lo", "_hi")
+    joined = attach(limited, seen, ["system", "entity", "_lo", "_hi"], "left", small=False).drop("_lo", "_hi")
     first = F.col("first_idx")
     if rule == "any":
         hit = first.isNotNull()

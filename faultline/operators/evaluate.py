@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.categories import fault_from_role
 from faultline.functions.names import fault_key, key_type, reason_hit
+from faultline.operators.joins import attach
 from faultline.operators.rank import WINDOW_KEY
 
 
@@ -16,10 +17,13 @@ def fault_results(placed: DataFrame, rankings: DataFrame, inferred: DataFrame |
 
     `placed` holds the faults with their window and, when known, `time_hit`.
     """
-    own = rankings.select(*WINDOW_KEY, "entity", "rank")
-    joined = placed.join(own, [*WINDOW_KEY, "entity"])
+    key = [*WINDOW_KEY, "entity"]
+    # Many faults may ask for one rank: keep the ranks that are asked for, then join them salted.
+    own = rankings.select(*key, "rank").join(placed.select(*key).distinct(), key, "left_semi")
+    if inferred is not None:
+        own = own.join(inferred, list(WINDOW_KEY), "left")
+    joined = attach(placed, own, key, small=False)
     if inferred is not None:
-        joined = joined.join(inferred, list(WINDOW_KEY), "left")
         hit = F.coalesce(reason_hit(F.col("inferred_type"), F.coalesce("reason", F.lit(""))), F.lit(False))
         joined = joined.withColumn("reason_hit", hit)
     if "time_hit" not in joined.columns:

@@ -18,7 +18,7 @@ from faultline.functions.categories import (
 from faultline.functions.names import service_of
 from faultline.functions.values import ns_to_ms, ns_to_seconds, or_zero, pod_features
 from faultline.operators.grid import dense_grid
-from faultline.operators.joins import asof_step, attach, first_containing, fits
+from faultline.operators.joins import asof_step, attach, first_containing, fits, spread
 
 
 def service_means(pods: DataFrame, strict_denominator: bool = False) -> DataFrame:
@@ -184,7 +184,7 @@ def log_grid(lines: DataFrame, members: DataFrame, seconds: int = 60, small: boo
     width = F.lit(4096).cast("bigint")
     zero = F.lit(0).cast("bigint")
     blocks = reach.select("system", "_w", F.explode(F.sequence(zero, F.floor(F.col("_w") / width))).alias("_b"))
-    slots = blocks.repartition("system", "_b").select(
+    slots = spread(blocks, "system", "_b").select(
         "system",
         F.explode(F.sequence(F.col("_b") * width, F.least((F.col("_b") + 1) * width - 1, F.col("_w")))).alias("ts"),
     )

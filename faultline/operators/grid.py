@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.fixed_values import NODE_FEATURES
 from faultline.operators.blocks import forward_fill, number_rows
-from faultline.operators.joins import attach, fits
+from faultline.operators.joins import attach, fits, spread
 
 STEP_SPAN = 86_400 * 7
 PACKS = 256
@@ -33,7 +33,8 @@ def dense_grid(
     """Every step x every member, joined with the observed cells; `observed` marks the ones with rows.
 
     `on` names the member columns (an entity, or both ends of an edge). Members are packed into arrays
-    and exploded next to each step, so the grid grows from an equality join on the system.
+    and exploded next to each step, so the grid grows from an equality join on the system. Steps are a
+    short table that grows by the number of members, so they are spread over all tasks first.
     """
     on = list(on)
     if small is None:
@@ -42,7 +43,7 @@ def dense_grid(
     pack = F.pmod(F.xxhash64(*on), F.lit(packs)).cast("int")
     packed = members.groupBy("system", pack.alias("_pack")).agg(F.collect_list(F.struct(*on)).alias("_members"))
     tiles = steps.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    grid = attach(tiles, packed, ["system", "_pack"], small=small).select(
+    grid = attach(spread(tiles, "system", "ts"), packed, ["system", "_pack"], small=small).select(
         *steps.columns, F.inline("_members")
     )
     seen = cells.withColumn("observed", F.lit(True))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from faultline.fixed_values import FAULT_SECONDS, INFRA_WORDS
 from faultline.functions.names import squash
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 SALTS = 32
 
 
@@ -41,6 +41,15 @@ def attach(
     return fact.withColumn("_salt", salt).join(copies, on + ["_salt"], how).drop("_salt")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Send a short table to many tasks before it is unrolled into a long one.
+
+    The number is explicit, because adaptive execution would merge the small partitions again.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys)
+
+
 def keep_known(rows: DataFrame, members: DataFrame, on: Sequence[str], small: bool | None = None) -> DataFrame:
     """Rows whose key is in the dimension."""
     return attach(rows, members.select(*on).distinct(), on, "left_semi", small)

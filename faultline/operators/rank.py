@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.fixed_values import EVIDENCE_WEIGHTS, NEVER
-from faultline.operators.joins import in_range
+from faultline.operators.joins import SALTS, in_range
 
 WINDOW_KEY = ("system", "start", "stop")
 
@@ -30,6 +30,14 @@ def rank_in_windows(residuals: DataFrame, windows: DataFrame, missing: float = -
     return ranked(window_means(residuals, windows), "mean_residual", missing=missing)
 
 
+def for_faults(placed: DataFrame, per_window: DataFrame) -> DataFrame:
+    """Window results for each fault; faults that share a window are spread by salt."""
+    asked = placed.select("fault_id", F.col("entity").alias("labelled"), *WINDOW_KEY)
+    salt = F.pmod(F.xxhash64("fault_id"), F.lit(SALTS)).cast("int")
+    copies = per_window.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.withColumn("_salt", salt).join(copies, [*WINDOW_KEY, "_salt"]).drop("_salt")
+
+
 def top_names(rankings: DataFrame, k: int = 3) -> DataFrame:
     """The k best entities of each window, as one text in rank order."""
     best = rankings.where(F.col("rank") <= k)

@@ -157,7 +157,7 @@ def edge_error(rows: DataFrame, fit: DataFrame, keys: Sequence[str], features: S
 # --- category mixes --------------------------------------------------------------------------
 
 
-def mix_logits(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def mix_logits(counts: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
     """Counts per (key, category) to logits, with every category present in every key.
 
     The baseline mix is each category's mean count over the keys of its system.
@@ -169,7 +169,7 @@ def mix_logits(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         "system", "category", F.ln(1.0 + F.col("_total") / F.col("_keys")).alias("prior_logit")
     )
     packed = base.groupBy("system").agg(F.collect_list(F.struct("category", "prior_logit")).alias("_mix"))
-    full = attach(axes, packed, ["system"]).select(*keys, F.inline("_mix"))
+    full = attach(axes, packed, ["system"], small=small).select(*keys, F.inline("_mix"))
     joined = full.join(counts, [*keys, "category"], "left")
     return joined.select(
         *keys, "category", F.ln(1.0 + F.coalesce(F.col("n"), F.lit(0))).alias("post_logit"), "prior_logit"

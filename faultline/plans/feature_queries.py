@@ -244,8 +244,8 @@ def a17(t):
 def a18(t):
     key = ["system", "start", "stop", "entity"]
     ask = t.peak_faults.select("fault_id", *key)
-    by_residual = ask.join(t.peak_ranks.select(*key, "rank"), key)
-    by_fusion = ask.join(t.fused.select(*key, F.col("fused_rank").alias("rank")), key)
+    by_residual = attach(ask, t.peak_ranks.select(*key, "rank"), key, small=False)
+    by_fusion = attach(ask, t.fused.select(*key, F.col("fused_rank").alias("rank")), key, small=False)
     return evaluate.compare_rankings(by_residual, by_fusion).drop("system")
 
 
@@ -512,9 +512,8 @@ def w14(t):
     whole="rank",
 )
 def r1(t):
-    asked = t.peak_faults.select("system", "start", "stop", "fault_id", F.col("entity").alias("_own"))
-    return asked.join(t.peak_ranks, ["system", "start", "stop"]).select(
-        "fault_id", "entity", "mean_residual", "rank", (F.col("entity") == F.col("_own")).alias("is_labelled")
+    return rank.for_faults(t.peak_faults, t.peak_ranks).select(
+        "fault_id", "entity", "mean_residual", "rank", (F.col("entity") == F.col("labelled")).alias("is_labelled")
     )
 
 
@@ -597,7 +596,7 @@ def _edge_error(t: Tables):
 )
 def m6(t):
     """Drift of each step's event mix from the mean mix."""
-    logits = score.mix_logits(t.step_mix, ["system", "ts"])
+    logits = score.mix_logits(t.step_mix, ["system", "ts"], t.small)
     return score.mix_divergence(logits, ["system", "ts"], free_bits=0.05).drop("system")
 
 
@@ -614,7 +613,7 @@ def m7(t):
     rounded="metric_loss edge_loss kl_loss total_loss",
 )
 def m8(t):
-    divergence = score.mix_divergence(score.mix_logits(t.step_mix, ["system", "ts"]), ["system", "ts"])
+    divergence = score.mix_divergence(score.mix_logits(t.step_mix, ["system", "ts"], t.small), ["system", "ts"])
     kl = divergence.groupBy("system").agg(F.avg("kl_floored").alias("kl"))
     return score.objective(score.overall_nll(t.raw_residuals), _edge_error(t), kl).drop("system")
 

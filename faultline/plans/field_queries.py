@@ -260,8 +260,7 @@ def p20_pad(t):
        FROM peakranks WHERE rank <= 3 GROUP BY start, stop) x USING (start, stop)""",
 )
 def t1(t):
-    best = rank.top_names(t.peak_ranks, 3)
-    return t.peak_faults.join(best, ["system", "start", "stop"]).select("fault_id", "top")
+    return rank.for_faults(t.peak_faults, rank.top_names(t.peak_ranks, 3)).select("fault_id", "top")
 
 
 @query("t2_first_faults", "SELECT fault_id, ts, entity, type FROM faults ORDER BY ts, fault_id LIMIT 20", whole="ts")

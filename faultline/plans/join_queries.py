@@ -173,8 +173,8 @@ def j14(t):
     means = inside.groupBy("system", "start", "stop", "entity").agg(
         F.avg("residual").alias("mean_residual"), F.count("*").alias("n_steps_in")
     )
-    return t.reported_faults.join(means.withColumnRenamed("entity", "_e"), ["system", "start", "stop"]).select(
-        "fault_id", "start", "stop", F.col("_e").alias("entity"), "mean_residual", "n_steps_in"
+    return rank.for_faults(t.reported_faults, means).select(
+        "fault_id", "start", "stop", "entity", "mean_residual", "n_steps_in"
     )
 
 

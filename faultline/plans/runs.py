@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from faultline.fixed_values import EDGE_FEATURES, NODE_FEATURES, TRAIN_STRIDE, WINDOW
 from faultline.operators import detect, evaluate, rank, stats, windows
+from faultline.operators.joins import attach, fits
 from faultline.plans.views import Tables
 from faultline.session import scratch_path
 from faultline.sources import dataset
@@ -17,12 +18,13 @@ def build_dataset(t: Tables, root: str | None = None, size: int = WINDOW, stride
     splits = windows.split_windows(windows.label_windows(t.steps, size, stride), size).select(
         "system", "window_start", "split"
     )
+    few = fits(splits)
     edge_key = ["system", "src", "dst"]
     edge_stats = stats.normal_stats(t.edge_grid, edge_key, EDGE_FEATURES)
     edges = stats.apply_stats(t.edge_grid, edge_stats, edge_key, EDGE_FEATURES, t.edges_small)
     for kind, rows in (("nodes", t.normalized), ("edges", edges)):
         keys, features = dataset.KINDS[kind]
-        cut_up = windows.sliding_windows(rows, size, stride).join(splits, ["system", "window_start"])
+        cut_up = attach(windows.sliding_windows(rows, size, stride), splits, ["system", "window_start"], small=few)
         kept = cut_up.where(F.col("split") != "fault").select(
             "split", "system", "window_start", "offset", "t_idx", *keys, *features
         )

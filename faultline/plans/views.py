@@ -220,8 +220,8 @@ class Tables:
 
     @cached_property
     def paired(self) -> DataFrame:
-        """Filled grid with the previous step's values."""
-        return grid.fill_grid(self.grid, previous=True)
+        """Filled grid with the previous step's values; written once, since fitting and scoring both read it."""
+        return cut(grid.fill_grid(self.grid, previous=True))
 
     @cached_property
     def context(self) -> DataFrame:
@@ -286,7 +286,8 @@ class Tables:
         """Scored residuals pooled over the first validation windows."""
         rows = windows.sliding_windows(self.residuals)
         chosen = self.base_windows.select("system", "window_start")
-        return rows.join(chosen, ["system", "window_start"], "left_semi").where(F.col("residual").isNotNull())
+        kept = joins.attach(rows, chosen, ["system", "window_start"], "left_semi", self.small)
+        return kept.where(F.col("residual").isNotNull())
 
     @cached_property
     def base(self) -> DataFrame:
