@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from faultline.fixed_values import EDGE_FEATURES, NODE_FEATURES, WINDOW
 from faultline.operators import detect, evaluate, featurize, grid, rank, score, stats, windows
@@ -11,6 +11,7 @@ from faultline.operators.joins import attach
 from faultline.plans.oracle_views import F4, F8, SEV_CLASS, SEV_WEIGHT, each, mean_sql, nll_sql, slope_sql
 from faultline.plans.registry import query
 from faultline.plans.views import Tables
+from faultline.session import cut
 
 ALL8 = " ".join(F8)
 ALL4 = " ".join(F4)
@@ -271,10 +272,10 @@ def a19(t):
     """Fit quality with the actual call input, its mean over windows at the same offset, and none."""
     calls = t.edge_grid.groupBy("system", "ts", F.col("dst").alias("entity")).agg(F.sum("call_count").alias("actual"))
     fed = t.normalized.join(calls, ["system", "ts", "entity"], "left").withColumn("actual", F.coalesce("actual", F.lit(0.0)))
-    fed = fed.withColumn("_pos", F.col("t_idx") % WINDOW).withColumn("_win", F.floor(F.col("t_idx") / WINDOW))
+    fed = cut(fed.withColumn("_pos", F.col("t_idx") % WINDOW).withColumn("_win", F.floor(F.col("t_idx") / WINDOW)))
     fit = score.fit_line(fed, ["system", "entity"], NODE_FEATURES, "actual")
     means = fed.groupBy("system", "entity", "_pos").agg(F.avg("actual").alias("static"))
-    fed = attach(fed, means, ["system", "entity", "_pos"], small=t.small)
+    fed = attach(fed, means, ["system", "entity", "_pos"])
     inputs = F.array(
         F.struct(F.lit("actual").alias("variant"), F.col("actual").alias("input")),
         F.struct(F.lit("static").alias("variant"), F.col("static").alias("input")),
@@ -286,9 +287,9 @@ def a19(t):
     )
     per_window = scored.groupBy("system", "variant", "_win").agg(F.avg("residual").alias("m"))
     means = per_window.groupBy("system", "variant").agg(F.avg("m").alias("mean_nll"), F.stddev_pop("m").alias("std_nll"))
-    reference = means.where(F.col("variant") == "actual").select("system", F.col("mean_nll").alias("_b"))
+    own = F.max(F.when(F.col("variant") == "actual", F.col("mean_nll"))).over(Window.partitionBy("system"))
     change = 100 * (F.col("mean_nll") - F.col("_b")) / F.abs("_b")
-    return means.join(reference, "system").select("variant", "mean_nll", "std_nll", change.alias("change_pct"))
+    return means.withColumn("_b", own).select("variant", "mean_nll", "std_nll", change.alias("change_pct"))
 
 
 @query(
@@ -556,7 +557,7 @@ def m1(t):
 def m2(t):
     """Prediction from the total load alone; the entity's own past never enters."""
     load = featurize.workload_context(t.filled, keys=("system", "ts")).select("system", "ts", "total_qps")
-    rows = t.normalized.join(load, ["system", "ts"])
+    rows = cut(t.normalized.join(load, ["system", "ts"]))
     fit = score.fit_line(rows, ["system", "entity"], NODE_FEATURES, "total_qps")
     scored = score.score_rows(rows, fit, ["system", "entity"], NODE_FEATURES, ["total_qps"] * 8, small=t.small)
     return scored.select("t_idx", "entity", "residual")

@@ -9,8 +9,8 @@ from faultline.operators import detect, featurize, graph, grid, joins, rank
 from faultline.plans.field_queries import VARIED_SQL, varied_pods
 from faultline.plans.oracle_views import F8, each, service_sql
 from faultline.plans.registry import query
-from faultline.plans.views import ENTRY, Tables
-from faultline.functions.names import service_of, squash
+from faultline.plans.views import ENTRY, named
+from faultline.functions.names import service_of
 from faultline.functions.values import ns_to_seconds
 
 ALL8 = " ".join(F8)
@@ -141,7 +141,7 @@ def j10(t):
 )
 def j11(t):
     """A second system with the same services and no edges gets the chain."""
-    bare = t.entities.withColumn("system", F.lit("bare"))
+    bare = t.entities.withColumn("system", named("bare", "entity"))
     return graph.present_edges(t.edges, t.entities.unionByName(bare), t.small)
 
 

@@ -223,15 +223,15 @@ class Tables:
     def grid(self) -> DataFrame:
         return grid.dense_grid(self.steps, self.entities, self.cells, ["entity"], self.small)
 
-    @cached_property
-    def filled(self) -> DataFrame:
-        return grid.fill_grid(self.grid)
-
     @cached_property
     def paired(self) -> DataFrame:
-        """Filled grid with the previous step's values; written once, since fitting and scoring both read it."""
+        """Filled grid with the previous step's values; written once, since statistics, fits and scores read it."""
         return cut(grid.fill_grid(self.grid, previous=True))
 
+    @cached_property
+    def filled(self) -> DataFrame:
+        return self.paired.drop(*["prev_" + f for f in NODE_FEATURES])
+
     @cached_property
     def context(self) -> DataFrame:
         return featurize.workload_context(self.filled)
