@@ -10,13 +10,12 @@ from faultline.fixed_values import ENTRY_SERVICE, KPI_SLOTS, NODE_FEATURES
 from faultline.functions.categories import (
     failed_call,
     kpi_category,
-    kpi_slot,
     log_severity,
     severity_class,
     severity_weight,
 )
 from faultline.functions.names import service_of
-from faultline.functions.values import ns_to_ms, ns_to_seconds, or_zero, pod_features
+from faultline.functions.values import ns_to_ms, ns_to_seconds, pod_features
 from faultline.operators.grid import dense_grid
 from faultline.operators.joins import asof_step, attach, first_containing, fits, spread
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.fixed_values import KPI_SLOTS, NODE_FEATURES
+from faultline.fixed_values import NODE_FEATURES
 from faultline.functions import categories, names, values
-from faultline.operators import evaluate, featurize, graph, grid, rank, windows
+from faultline.operators import evaluate, featurize, graph, grid, rank
 from faultline.plans.oracle_views import (
     F8,
     SEVERITY,

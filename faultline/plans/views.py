@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from faultline.fixed_values import EDGE_CAP, EDGE_FEATURES, FAULT_SECONDS, NODE_FEATURES
 from faultline.functions.names import service_of
 from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, score, stats, windows
-from faultline.operators.blocks import with_previous
 from faultline.session import cut
 
 SYSTEM = "events"
