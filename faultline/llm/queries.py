@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import quality
+from faultline.llm import mixing, packing, quality, simhash
 from faultline.llm.common import read
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("frequent")
 
 
+def op4_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
+
+
+def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_subset_sum_mix,
+        op5_bit_sliced_simhash,
         op8_line_frequency,
+        op10_first_fit_packing,
     )
 }

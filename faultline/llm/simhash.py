@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from faultline.llm.common import attach_small, components, roots, unite
 from faultline.session import cut
@@ -37,7 +38,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
@@ -72,8 +73,8 @@ def close_lanes(planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid:
         differs = planes[b][word] ^ spread
         carry = ones & differs
         ones ^= differs
-        over |= twos & carry | twos & ones  # three differences, or a fourth
         twos |= carry
+        over |= twos & ones  # three differences
         if b % 8 == 7:
             open_ = np.flatnonzero(over != ALL)
             if len(open_) < len(unit):
@@ -145,10 +146,10 @@ def _links(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         k1, k2 = pdf.k1.to_numpy(), pdf.k2.to_numpy()
         last = int(np.flatnonzero((k1 != k1[-1]) | (k2 != k2[-1])).max(initial=-1)) + 1  # start of the open block
-        if last or (held and (held[-1].k1.iloc[-1], held[-1].k2.iloc[-1]) != (k1[0], k2[0])):
-            yield solve(pd.concat([*held, pdf.iloc[:last]]) if held else pdf.iloc[:last]) if last or held else solve(pdf)
-            held = []
-            pdf = pdf.iloc[last:]
+        closed = held and (held[-1].k1.iloc[-1], held[-1].k2.iloc[-1]) != (k1[0], k2[0])
+        if last or closed:
+            yield solve(pd.concat([*held, pdf.iloc[:last]]))
+            held, pdf = [], pdf.iloc[last:]
         held.append(pdf)
     if held:
         yield solve(pd.concat(held))
