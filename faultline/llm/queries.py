@@ -7,13 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import mixing, packing, quality, simhash
+from faultline.llm import mixing, packing, quality, simhash, token_files
 from faultline.llm.common import read
+from faultline.session import scratch_path
 
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op7_context_mixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "ids")
+    token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), out)
+    return token_files.read_documents(spark, out)
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("frequent")
 
@@ -35,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op4_subset_sum_mix,
         op5_bit_sliced_simhash,
+        op7_context_mixed_ids,
         op8_line_frequency,
         op10_first_fit_packing,
     )
