@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, packing, quality, simhash, token_files
+from faultline.llm import mixing, packing, quality, simhash, token_files, toxicity, urls, vptree
 from faultline.llm.common import read
 from faultline.session import scratch_path
 
@@ -25,6 +25,14 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("frequent")
 
 
+def op2_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("copies")
 
@@ -33,6 +41,10 @@ def op5_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
 def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -40,10 +52,13 @@ def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_convolutional_toxicity,
+        op3_vantage_point_trees,
         op4_subset_sum_mix,
         op5_bit_sliced_simhash,
         op7_context_mixed_ids,
         op8_line_frequency,
+        op9_association_rules,
         op10_first_fit_packing,
     )
 }
