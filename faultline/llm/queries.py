@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, packing, quality, simhash, token_files, toxicity, urls, vptree
+from faultline.llm import mixing, packing, pii, quality, simhash, token_files, toxicity, urls, vptree
 from faultline.llm.common import read
 from faultline.session import scratch_path
 
@@ -25,6 +25,11 @@ def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("frequent")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__n_entities").alias("n_entities"), "text", F.col("__spans").alias("spans"))
+
+
 def op2_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_surrogates,
         op2_convolutional_toxicity,
         op3_vantage_point_trees,
         op4_subset_sum_mix,
