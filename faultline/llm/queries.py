@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, packing, pii, quality, simhash, token_files, toxicity, urls, vptree
+from faultline.llm import mixing, packing, pii, quality, simhash, substrings, token_files, toxicity, urls, vptree
 from faultline.llm.common import read
 from faultline.session import scratch_path
 
@@ -15,6 +15,10 @@ from faultline.session import scratch_path
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op6_deep_shallow_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_context_mixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "ids")
     token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), out)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_vantage_point_trees,
         op4_subset_sum_mix,
         op5_bit_sliced_simhash,
+        op6_deep_shallow_substrings,
         op7_context_mixed_ids,
         op8_line_frequency,
         op9_association_rules,
