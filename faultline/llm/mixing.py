@@ -15,15 +15,15 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 4
 #: Words left to the exact fitting.
-FIT_WORDS = 1 << 16
+FIT_WORDS = 1 << 14
 #: Documents of one source and length that are ranked together.
-RANKED = 10_000
+RANKED = 500
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come as near below `budget` as can be.
 
-    First every length gives its share, rounded down; then the lengths with the largest remainders give one
+    First every length gives its share of all but `FIT_WORDS` words, rounded down; then the lengths with the largest remainders give one
     more while over `FIT_WORDS` words are open; what is left is filled by bounded-knapsack dynamic programming
     over the lengths still available, on a bit set of reachable sums. Works on the histogram, never on documents.
     """
@@ -31,9 +31,10 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     total = sum(n * k for n, k in zip(lengths, counts))
     if total <= budget:
         return np.array(counts)
-    take = [k * budget // total for k in counts]
+    rough = max(0, budget - FIT_WORDS)
+    take = [k * rough // total for k in counts]
     left = budget - sum(n * k for n, k in zip(lengths, take))
-    rest = [(-(k * budget % total), n, i) for i, (n, k) in enumerate(zip(lengths, counts))]
+    rest = [(-(k * rough % total), n, i) for i, (n, k) in enumerate(zip(lengths, counts))]
     for _, n, i in sorted(rest):
         if left <= FIT_WORDS:
             break
