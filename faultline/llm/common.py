@@ -13,12 +13,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a side may have to be broadcast; its rows are short keys and numbers, so this is a few MB.
 BROADCAST_ROWS = 50_000
 SALTS = 16
+#: Texts handed to a Python worker together.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def short_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, after asking the session for Arrow batches of few rows: texts can be long, and a Python worker holds a
+    batch several times over. A smaller setting stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def attach_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join `right`, unique in `keys` and made of short columns, to `left`, whose keys may be hot.
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.llm.common import parts_for
+from faultline.llm.common import parts_for, short_batches
 from faultline.llm.tokens import encoder
 from faultline.session import cut
 
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, group_pieces: int
     with a long document; token ids never move. NULL text: only the end id. Repeated rows are packed one by one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
+    rows = short_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     kind = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     pieces = cut(rows.mapInPandas(cut_pieces(path, sequence), kind).withColumn("row", F.monotonically_increasing_id()))
     n = pieces.count()

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from faultline.llm.common import BROADCAST_ROWS
+from faultline.llm.common import BROADCAST_ROWS, short_batches
 from faultline.session import cut
 
 KEY = b"surrogates"
@@ -258,7 +258,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     documents they are in. NULL and empty texts stay; repeated rows are treated alike; other columns pass through.
     """
     k = F.xxhash64(text_col).alias("k")
-    mentions = docs.select(k, F.col(text_col).alias("text")).mapInPandas(_entities, "k bigint, kind string, canon string")
+    mentions = short_batches(docs).select(k, F.col(text_col).alias("text")).mapInPandas(_entities, "k bigint, kind string, canon string")
     table = assignments(cut(mentions.select("kind", "canon").distinct()), key)
     retried = cut(table.where("attempt > 0").select("kind", "canon", "attempt"))
     some = retried.limit(BROADCAST_ROWS + 1).collect()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from faultline.llm.common import attach_small, components, roots, unite
+from faultline.llm.common import attach_small, components, roots, short_batches, unite
 from faultline.session import cut
 
 RADIUS = 2
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     NULL or blank texts have fingerprint zero and are linked like any other. Repeated rows each give a row. A NULL
     id never names a component unless no other id is in it. An empty table gives no rows. Other columns are not read.
     """
-    prints = cut(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
+    prints = cut(short_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")))
     groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = components(links(groups)).withColumnRenamed("node", "fp")
     owned = groups.join(reach, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

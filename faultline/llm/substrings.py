@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm.common import parts_for
+from faultline.llm.common import parts_for, short_batches
 from faultline.session import cut
 
 LENGTH = 100
@@ -378,7 +378,7 @@ def _removed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def numbered(docs: DataFrame) -> DataFrame:
     """(n, doc_id, text) with n unique and in the order of the documents: doc_id itself where that is unique, else a
     row number of a sorted copy (NULL last; rows of one id by hash of the text)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = short_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
         return rows.select(F.col("doc_id").alias("n"), "doc_id", "text")
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from faultline.llm.common import attach_small, parts_for
+from faultline.llm.common import attach_small, parts_for, short_batches
 from faultline.llm.rangecoder import decode_blocks, encode_blocks
 from faultline.llm.tokens import encoder
 
@@ -83,7 +83,7 @@ def write(docs: DataFrame, path: str, out: str, block: int = BLOCK, lanes: int =
     range as it reads it, in blocks that don't depend on each other; a long document spans several. Written by Spark,
     so tasks that are run again leave nothing behind.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = short_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     parts = parts_for(docs.sparkSession, rows.count(), PART_DOCS)
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)

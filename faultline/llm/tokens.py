@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 END = 1
 #: Words a worker keeps; beyond, the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 #: White space on which the tokenizer's idea of a word may differ from str.split; such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: New words that are encoded together.
