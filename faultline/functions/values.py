@@ -22,7 +22,8 @@ def number(text: Column) -> Column:
 
 
 def whole(text: Column) -> Column:
-    return text.try_cast("bigint")
+    """A whole number: as it is written, else a finite decimal without its fraction, else NULL."""
+    return F.coalesce(text.try_cast("bigint"), number(text).try_cast("bigint"))
 
 
 def log_scale(x: Column) -> Column:

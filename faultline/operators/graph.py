@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.fixed_values import EDGE_CAP, HOP_DECAY, HOP_DELAY, LEAK_SLOPE
+from faultline.fixed_values import HOP_DECAY, HOP_DELAY, LEAK_SLOPE
 from faultline.functions.names import clean_endpoint, is_address
 from faultline.operators.joins import attach
 from faultline.session import cut
@@ -30,7 +31,7 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return seen.select("system", "entity", (F.row_number().over(line) - 1).cast("bigint").alias("entity_idx"))
 
 
-def ring(nodes: DataFrame, cap: int | None = EDGE_CAP) -> DataFrame:
+def ring(nodes: DataFrame, cap: int | None = None) -> DataFrame:
     """Stand-in ring e -> e + 1 mod N with default edge features, capped by `cap`."""
     sized = nodes.groupBy("system").agg(F.count("*").alias("_n"))
     here = nodes.join(sized, "system")
@@ -78,18 +79,18 @@ def downstream_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def blast_radius(
-    edges: DataFrame, roots: DataFrame, max_depth: int = 4, intensity: float = 1.0, small: bool | None = None
+    edges: DataFrame, roots: DataFrame, max_depth: int | None = None, intensity: float = 1.0, small: bool | None = None
 ) -> DataFrame:
     """Services reached from each root, with shortest depth, expected delay and decayed impact.
 
     One join per hop over the frontier only; each hop's reach is written to the shared folder, so
-    lineage does not grow with depth.
+    lineage does not grow with depth. Without `max_depth` it goes on until nothing new is reached.
     """
     links = cut(edges.select("system", "src", "dst").where(F.col("src") != F.col("dst")).distinct())
     frontier = cut(roots.select("system", F.col("entity").alias("root"), F.col("entity").alias("node")).distinct())
     visited = frontier
     found = []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         hop = links.select("system", F.col("src").alias("node"), F.col("dst").alias("_next"))
         reached = frontier.join(hop, ["system", "node"]).select("system", "root", F.col("_next").alias("node")).distinct()
         frontier = cut(reached.join(visited, ["system", "root", "node"], "left_anti"))

@@ -445,7 +445,7 @@ def w10(t):
     whole="start stop first_idx",
 )
 def w11(t):
-    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, longest=30, small=t.small)
+    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, small=t.small)
     return rows.select("start", "stop", "entity", F.coalesce("first_idx", F.lit(9999)).alias("first_idx"))
 
 
@@ -456,7 +456,7 @@ def w11(t):
     whole="start stop first_idx",
 )
 def w12(t):
-    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, longest=30, small=t.small)
+    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, small=t.small)
     return detect.earliest(rows).drop("system")
 
 

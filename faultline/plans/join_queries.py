@@ -286,7 +286,7 @@ def g2(t):
         FROM (SELECT root, node, min(depth) AS depth FROM reach GROUP BY root, node) WHERE depth > 0""".replace(
         "FROM reach",
         "FROM (WITH RECURSIVE walk AS (SELECT DISTINCT entity AS root, entity AS node, 0 AS depth FROM faults UNION"
-        " SELECT w.root, g.dst, w.depth + 1 FROM walk w JOIN edges g ON g.src = w.node WHERE w.depth < 4) SELECT * FROM walk)",
+        " SELECT w.root, g.dst, w.depth + 1 FROM walk w JOIN edges g ON g.src = w.node WHERE w.depth < (SELECT count(DISTINCT src) + count(DISTINCT dst) FROM edges)) SELECT * FROM walk)",
     ),
     rounded="impact",
     whole="depth delay",

@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from faultline.fixed_values import (
-    EDGE_CAP,
     EDGE_FEATURES,
     FAULT_SECONDS,
     KNOWN_SERVICES,
@@ -107,7 +106,6 @@ VIEWS: dict[str, str] = {
         FROM (SELECT a, b, row_number() OVER (ORDER BY n DESC, a, b) - 1 AS pos
               FROM (SELECT CAST(l_suppkey % 10 AS VARCHAR) AS a, CAST(l_partkey % 10 AS VARCHAR) AS b, count(*) AS n
                     FROM lineitem WHERE l_suppkey % 10 <> l_partkey % 10 GROUP BY 1, 2))
-        WHERE pos < {EDGE_CAP}
         UNION ALL
         SELECT 'events', 'svc0', '10.0.0.' || n_nationkey, n_nationkey + 100 FROM nation""",
     "faults": f"""

@@ -59,7 +59,7 @@ def s2(t):
         F.concat(F.substring_index("pod", "-", 1), F.lit("_trace.csv")).alias("entry"),
     )
     files.write_by_name(rows, root, "entry")
-    return files.trace_files(t.spark, root, SYSTEM, max_files=50).drop("system")
+    return files.trace_files(t.spark, root, SYSTEM).drop("system")
 
 
 @query("s3_log_files", "SELECT time_ns, pod, log FROM logs", whole="time_ns")
@@ -72,7 +72,7 @@ def s3(t):
         F.concat(F.substring_index("pod", "-", 1), F.lit(".csv")).alias("entry"),
     )
     files.write_by_name(rows, root, "entry", escape='"')
-    return files.log_files(t.spark, root, SYSTEM, max_files=50).drop("system")
+    return files.log_files(t.spark, root, SYSTEM).drop("system")
 
 
 @query("s4_dependency_file", "SELECT src, dst FROM edges")

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from faultline.fixed_values import EDGE_CAP, EDGE_FEATURES, FAULT_SECONDS, NODE_FEATURES
+from faultline.fixed_values import EDGE_FEATURES, FAULT_SECONDS, NODE_FEATURES
 from faultline.functions.names import service_of
 from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, score, stats, windows
 from faultline.session import cut
@@ -143,12 +143,12 @@ class Tables:
 
     @cached_property
     def deps(self) -> DataFrame:
-        """The most frequent supplier/part pairs as calls, plus one address row per nation."""
+        """All supplier/part pairs as calls, most frequent first, plus one address row per nation."""
         pair = self.read("lineitem").select(
             (F.col("l_suppkey") % 10).cast("string").alias("a"), (F.col("l_partkey") % 10).cast("string").alias("b")
         )
         counts = pair.where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-        top = counts.orderBy(F.col("n").desc(), "a", "b").limit(EDGE_CAP).withColumn("system", F.lit(SYSTEM))
+        top = counts.withColumn("system", F.lit(SYSTEM))
         line = Window.partitionBy("system").orderBy(F.col("n").desc(), "a", "b")
         named = top.select(
             "system",
@@ -367,7 +367,7 @@ class Tables:
     @cached_property
     def fused(self) -> DataFrame:
         crossings = detect.window_crossings(
-            self.residuals, self.peak_faults, self.overall, k=2.0, longest=30, small=self.small
+            self.residuals, self.peak_faults, self.overall, k=2.0, small=self.small
         )
         means = rank.window_means(self.residuals, self.peak_faults)
         return rank.fuse_evidence(means, crossings, self.downstream, self.drift)

@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     root = sc.getConf().get("spark.checkpoint.dir") or current
     if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-faultline-")
     if not current:
         sc.setCheckpointDir(root)
