@@ -7,17 +7,22 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
-from faultline.llm.common import parts_for
 from faultline.session import cut
 
 K = 20
-SHARD_ROWS = 8192
+#: Components of the vectors of one shard: a task holds about four times these as doubles.
+SHARD_VALUES = 1 << 22
+#: Rows a shard has at least before another one is opened for the sake of parallel work.
+LEAST_ROWS = 2048
 LEAF = 64
 #: A branch is left out when its bound times this exceeds the distance to beat; 1 is exact.
 FACTOR = 1.05
 QUERY_ROWS = 1024
 EPS = 1e-9
+#: Error a matrix product may have, relative to the lengths.
+ROUGH = 1e-12
 
 
 class Tree:
@@ -92,8 +97,13 @@ class Tree:
             for one in np.unique(leaf):
                 who = active[leaf == one]
                 members = self.leaves[one]
-                s = queries[who] @ self.vectors[members].T
-                s[ids[who][:, None] == self.ids[members][None, :]] = -np.inf
+                rough = queries[who] @ self.vectors[members].T
+                rough[ids[who][:, None] == self.ids[members][None, :]] = -np.inf
+                slack = ROUGH * np.sqrt(square[who] * self.reach)
+                q, m = np.nonzero((rough >= score[who, -1:] - slack[:, None]) & (rough > -np.inf))
+                # added up in one order everywhere, so that equal vectors have equal scores in all leaves and shards
+                s = np.full(rough.shape, -np.inf)
+                s[q, m] = np.einsum("ij,ij->i", queries[who[q]], self.vectors[members[m]])
                 better = (s >= score[who, -1:]).any(axis=1)
                 who, s = who[better], s[better]
                 both = np.c_[score[who], s]
@@ -142,22 +152,28 @@ def nearest(
     is_query: Column,
     k: int = K,
     factor: float = FACTOR,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product, ties to the smaller id.
 
-    Rows are dealt to shards of bounded size by hash of the id; every query visits every shard, a block at a time, and
-    the shards' best are merged. Queries and candidates of different dimension don't meet. Rows without an id, and
+    Rows are dealt to shards of bounded size by hash of the id (`shard_rows`, else by `SHARD_VALUES`); every query visits
+    every shard, a block at a time, and the shards' best are merged. Queries and candidates of different dimension don't meet. Rows without an id, and
     vectors that are not `usable`, take no part. Repeated rows of an id are found as often as they are there.
     """
     ok = F.coalesce(usable(F.col(vector_col)), F.lit(False)) & F.col(id_col).isNotNull()
+    single = vectors.schema[vector_col].dataType.elementType == FloatType()  # moved as they are, half the bytes
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     rows = vectors.where(ok).select(
-        F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"),
+        F.col(id_col).cast("bigint").alias("vec_id"), vector.alias("v"),
         F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query"),
     )
-    shards = parts_for(vectors.sparkSession, rows.count(), shard_rows)
+    n, width = rows.agg(F.count("*"), F.max("dim")).first()
+    if shard_rows is None:
+        parallel = -(-n // int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        shard_rows = max(1, min(SHARD_VALUES // (width or 1), max(LEAST_ROWS, parallel)))
+    shards = max(1, -(-n // shard_rows))
     own = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(shards)).cast("int").alias("shard")
     candidates = rows.select("dim", own, F.lit(0).alias("kind"), "vec_id", "v")
     visits = rows.where("is_query").select(

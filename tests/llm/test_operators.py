@@ -172,10 +172,15 @@ def test_nearest_neighbours(spark, factor, recall):
         s[q] = -np.inf
         want = np.lexsort((np.arange(700), -s))[:20]
         part = part.sort_values("rank")
+        if factor == 1:
+            exact = np.einsum("ij,ij->i", y, y[[q]].repeat(700, 0))
+            exact[q] = -np.inf
+            assert list(part.vec_id) == np.lexsort((np.arange(700), -exact))[:20].tolist()  # copies stand in many shards
         assert np.allclose(part.score, y[part.vec_id] @ y[q]) and list(part["rank"]) == list(range(1, 21))
         hits += len(set(want) & set(part.vec_id))
     assert set(got.query_id) == set(range(0, 700, 20)) and hits >= recall * 35 * 20
-    assert vptree.nearest(frame.where("false"), F.lit(True)).count() == 0
+    whole = vptree.nearest(frame, F.col("vec_id") % 20 == 0, factor=factor)  # shards by size
+    assert whole.count() == 35 * 20 and vptree.nearest(frame.where("false"), F.lit(True)).count() == 0
 
 
 def test_mix_meets_targets(docs, none):
