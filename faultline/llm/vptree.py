@@ -16,7 +16,7 @@ K = 20
 SHARD_VALUES = 1 << 22
 #: Rows a shard has at least before another one is opened for the sake of parallel work.
 LEAST_ROWS = 2048
-LEAF = 64
+LEAF = 128
 #: A branch is left out when its bound times this exceeds the distance to beat; 1 is exact.
 FACTOR = 1.05
 QUERY_ROWS = 1024
@@ -34,7 +34,7 @@ class Tree:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.size = ids, vectors, leaf
         square = np.einsum("ij,ij->i", vectors, vectors)
         self.reach = float(square.max())
         self.points = np.c_[vectors, np.sqrt(np.maximum(self.reach - square, 0))]
@@ -61,8 +61,10 @@ class Tree:
                 open_.append((members[side], [*above, (node, float(d[side].min()), float(d[side].max()))]))
 
     def _leaf(self, members: np.ndarray, above: list) -> None:
-        self.leaves.append(members)
-        self.shells.append(above)
+        """Points that can't be told apart may be many; they become several leaves, so that work on one stays small."""
+        for i in range(0, len(members), self.size):
+            self.leaves.append(members[i : i + self.size])
+            self.shells.append(above)
 
     def _distance(self, members: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[members] - to) ** 2).sum(axis=1))
@@ -83,34 +85,34 @@ class Tree:
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids (query x k) of the largest inner products, the query's own id left out; -inf where none."""
         low = self.bounds(queries)
-        turn = np.argsort(low, axis=1, kind="stable")
         square = np.einsum("ij,ij->i", queries, queries)
         score, found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        active = np.arange(len(ids))
-        for r in range(len(self.leaves)):
-            leaf = turn[active, r]
-            beat = np.sqrt(np.maximum(square[active] + self.reach - 2 * score[active, -1], 0))
-            near = low[active, leaf] * factor <= beat + EPS  # later leaves are no nearer
-            active, leaf = active[near], leaf[near]
-            if not len(active):
-                break
-            for one in np.unique(leaf):
-                who = active[leaf == one]
-                members = self.leaves[one]
-                rough = queries[who] @ self.vectors[members].T
-                rough[ids[who][:, None] == self.ids[members][None, :]] = -np.inf
-                slack = ROUGH * np.sqrt(square[who] * self.reach)
-                q, m = np.nonzero((rough >= score[who, -1:] - slack[:, None]) & (rough > -np.inf))
-                # added up in one order everywhere, so that equal vectors have equal scores in all leaves and shards
-                s = np.full(rough.shape, -np.inf)
-                s[q, m] = np.einsum("ij,ij->i", queries[who[q]], self.vectors[members[m]])
-                better = (s >= score[who, -1:]).any(axis=1)
-                who, s = who[better], s[better]
-                both = np.c_[score[who], s]
-                names = np.c_[found[who], np.broadcast_to(self.ids[members], s.shape)]
-                order = np.lexsort((names, -both), axis=1)[:, :k]
-                score[who] = np.take_along_axis(both, order, 1)
-                found[who] = np.take_along_axis(names, order, 1)
+        nearest = low.argmin(axis=1)
+        # each query's nearest leaf sets the distance to beat; then every leaf takes the queries it may serve, at once
+        turns = [(leaf, True) for leaf in np.unique(nearest)] + [(leaf, False) for leaf in low.mean(axis=0).argsort(kind="stable")]
+        for leaf, first in turns:
+            who = np.flatnonzero((nearest == leaf) == first)
+            beat = np.sqrt(np.maximum(square[who] + self.reach - 2 * score[who, -1], 0))
+            who = who[low[who, leaf] * factor <= beat + EPS]
+            if not len(who):
+                continue
+            members = self.leaves[leaf]
+            rough = queries[who] @ self.vectors[members].T
+            rough[ids[who][:, None] == self.ids[members][None, :]] = -np.inf
+            slack = ROUGH * np.sqrt(square[who] * self.reach)
+            q, m = np.nonzero((rough >= score[who, -1:] - slack[:, None]) & (rough > -np.inf))
+            hit, q = np.unique(q, return_inverse=True)
+            who = who[hit]
+            # added up in one order everywhere, so that equal vectors have equal scores in all leaves and shards
+            exact = np.einsum("ij,ij->i", queries[who[q]], self.vectors[members[m]])
+            place = k + np.arange(len(q)) - np.searchsorted(q, np.arange(len(who)))[q]
+            both = np.full((len(who), int(place.max(initial=k - 1)) + 1), -np.inf)
+            names = np.full(both.shape, np.iinfo(np.int64).max)
+            both[:, :k], names[:, :k] = score[who], found[who]
+            both[q, place], names[q, place] = exact, self.ids[members[m]]
+            order = np.lexsort((names, -both), axis=1)[:, :k]
+            score[who] = np.take_along_axis(both, order, 1)
+            found[who] = np.take_along_axis(names, order, 1)
         return score, found
 
 
