@@ -140,5 +140,4 @@ LEAK_SLOPE = 0.2
 EDGE_WEIGHT = 0.3
 KL_WEIGHT = 0.1
 FREE_BITS = 1.0
-EDGE_CAP = 14
 FEATURE_COUNT = 8

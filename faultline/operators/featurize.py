@@ -34,14 +34,19 @@ def service_means(pods: DataFrame, strict_denominator: bool = False) -> DataFram
     return rows.groupBy("system", "ts", "entity").agg(*means)
 
 
-def workload_context(filled: DataFrame, active: Column | None = None, keys: Sequence[str] = ("system", "ts", "t_idx")) -> DataFrame:
-    """Total load, mean success and number of active services per step of a filled grid."""
-    if active is None:
-        active = F.col("workload_ops") > 0.1
+def workload_context(
+    filled: DataFrame, rules: dict[str, Column] | None = None, keys: Sequence[str] = ("system", "ts", "t_idx")
+) -> DataFrame:
+    """Total load, mean success and number of active services per step of a filled grid.
+
+    `rules` names each count of services and says which are active; by default those with a load above 0.1.
+    """
+    if rules is None:
+        rules = {"active_services": F.col("workload_ops") > 0.1}
     return filled.groupBy(*keys).agg(
         F.sum("workload_ops").alias("total_qps"),
         F.avg("success_rate").alias("avg_success_rate"),
-        F.count_if(active).cast("bigint").alias("active_services"),
+        *[F.count_if(active).cast("bigint").alias(name) for name, active in rules.items()],
     )
 
 
@@ -86,11 +91,17 @@ def call_features(calls: DataFrame) -> DataFrame:
 
 
 def edge_features(
-    spans: DataFrame, steps: DataFrame, names: DataFrame, edges: DataFrame, entry: str = ENTRY_SERVICE, small: bool | None = None
+    spans: DataFrame,
+    steps: DataFrame,
+    names: DataFrame,
+    edges: DataFrame,
+    entry: str = ENTRY_SERVICE,
+    small: bool | None = None,
+    edges_small: bool | None = None,
 ) -> DataFrame:
-    """Spans to features of the edges that the dependency graph knows."""
+    """Spans to features of the edges that the dependency graph knows; names and edges are counted each by themselves."""
     resolved = resolve_calls(spans, names, entry, small)
-    known = attach(resolved, edges.select("system", "src", "dst").distinct(), ["system", "src", "dst"], "left_semi", small)
+    known = attach(resolved, edges.select("system", "src", "dst").distinct(), ["system", "src", "dst"], "left_semi", edges_small)
     return call_features(timed_calls(known, steps))
 
 

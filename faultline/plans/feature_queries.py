@@ -8,7 +8,7 @@ from faultline.fixed_values import EDGE_FEATURES, NODE_FEATURES, WINDOW
 from faultline.operators import detect, evaluate, featurize, grid, rank, score, stats, windows
 from faultline.operators.blocks import forward_fill, with_previous
 from faultline.operators.joins import attach
-from faultline.plans.oracle_views import F4, F8, SEV_CLASS, SEV_WEIGHT, each, mean_sql, nll_sql, slope_sql
+from faultline.plans.oracle_views import F4, F8, SEV_CLASS, SEV_WEIGHT, VIEWS, each, mean_sql, nll_sql, rank_sql, slope_sql
 from faultline.plans.registry import query
 from faultline.plans.views import Tables
 from faultline.session import cut
@@ -59,14 +59,9 @@ def a2(t):
 )
 def a3(t):
     """The three activity rules side by side."""
-    rows = t.filled.groupBy("ts").agg(
-        F.sum("workload_ops").alias("total_qps"),
-        F.avg("success_rate").alias("avg_success_rate"),
-        F.count_if(F.col("workload_ops") > 0.1).alias("active_services"),
-        F.count_if(F.col("workload_ops") > 0).alias("any_load"),
-        F.count_if(featurize.any_feature_active()).alias("any_feature"),
-    )
-    return rows
+    load = F.col("workload_ops")
+    rules = {"active_services": load > 0.1, "any_load": load > 0, "any_feature": featurize.any_feature_active()}
+    return featurize.workload_context(t.filled, rules, keys=("system", "ts")).drop("system")
 
 
 @query(
@@ -528,6 +523,22 @@ def r2(t):
     return t.fused.drop("system", "mean_residual")
 
 
+_SENTINEL = VIEWS["evidence"].replace("max(first_idx) OVER w", "max(coalesce(first_idx, 9999)) OVER w")
+
+
+@query(
+    "r2_published_fusion",
+    "SELECT start, stop, entity, r, t, p, d, fused, fused_rank FROM ("
+    + rank_sql(f"(SELECT *, 0.40 * r + 0.15 * t + 0.15 * p + 0.30 * d AS fused FROM ({_SENTINEL}))", by="fused", out="fused_rank")
+    + ")",
+    rounded="r t p d fused",
+    whole="start stop fused_rank",
+)
+def r2_published(t):
+    """An entity without a crossing puts 9999 into the latest first crossing."""
+    return t.fusion(rank.published_fusion).drop("system", "mean_residual")
+
+
 # --- scoring ---------------------------------------------------------------------------------
 
 

@@ -85,7 +85,12 @@ def p6(t):
     whole="start_s",
 )
 def p7(t):
-    both = t.spans.join(t.pods.select("pod", "p90_s"), "pod")
+    both = t.events.select(
+        "pod",
+        (F.col("us") * 1000).alias("start_ns"),
+        F.round(F.col("value") * 1_000_000).cast("bigint").alias("duration_ns"),
+        (F.col("value") / 1000).alias("p90_s"),
+    )
     return both.select(
         "pod",
         values.ns_to_seconds(F.col("start_ns")).alias("start_s"),
@@ -286,7 +291,7 @@ def t3(t):
 
 @query("t4_first_windows", "SELECT window_start, window_rank FROM basew", whole="window_start window_rank")
 def t4(t):
-    return t.base_windows.select("window_start", "window_rank")
+    return t.first_val_windows.select("window_start", "window_rank")
 
 
 @query(

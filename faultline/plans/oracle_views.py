@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from faultline.fixed_values import (
+    CONTEXT_FEATURES,
     EDGE_FEATURES,
     FAULT_SECONDS,
     KNOWN_SERVICES,
@@ -140,6 +141,12 @@ VIEWS: dict[str, str] = {
     "context": """
         SELECT system, ts, t_idx, sum(workload_ops) AS total_qps, avg(success_rate) AS avg_success_rate,
                count(*) FILTER (WHERE workload_ops > 0.1) AS active_services FROM filled GROUP BY ALL""",
+    "ctx_norm": f"""
+        SELECT c.ts, c.t_idx, c.is_normal, {each('(c.$f - s.mean_$f) / s.std_$f AS $f', CONTEXT_FEATURES)}
+        FROM (SELECT x.*, n.is_normal FROM context x JOIN marked n USING (system, ts)) c JOIN
+             (SELECT {each('coalesce(avg($f) FILTER (WHERE is_normal), avg($f)) AS mean_$f', CONTEXT_FEATURES)},
+                     {each('coalesce(stddev_pop($f) FILTER (WHERE is_normal), stddev_pop($f)) + 1e-6 AS std_$f', CONTEXT_FEATURES)}
+              FROM context x JOIN marked n USING (system, ts)) s ON true""",
     "stats": f"""
         SELECT system, entity,
                {each('coalesce(avg($f) FILTER (WHERE is_normal), avg($f)) AS mean_$f')},
@@ -187,7 +194,7 @@ VIEWS: dict[str, str] = {
         SELECT * FROM (SELECT system, window_start, row_number() OVER (ORDER BY window_start) - 1 AS window_rank
                        FROM splits WHERE split = 'val') WHERE window_rank < 5""",
     "baseres": """
-        SELECT r.system, b.window_start, r.t_idx, r.entity, r.residual FROM res r JOIN basew b
+        SELECT r.system, b.window_start, r.t_idx, r.entity, r.residual FROM res r JOIN (SELECT * FROM splits WHERE split = 'val') b
           ON r.t_idx >= b.window_start AND r.t_idx < b.window_start + 24 WHERE r.residual IS NOT NULL""",
     "base": """
         SELECT o.system, coalesce(v.mu, o.mu) AS mu, coalesce(v.sigma, o.sigma) AS sigma, coalesce(v.n, o.n) AS n
@@ -292,12 +299,13 @@ VIEWS: dict[str, str] = {
         SELECT s.*, e.src, e.dst, c.ts IS NOT NULL AS observed, {each('coalesce(c.$f, 0) AS $f', F4)}
         FROM steps s JOIN (SELECT DISTINCT system, src, dst FROM edges) e USING (system)
         LEFT JOIN edge_cells c ON c.system = s.system AND c.ts = s.ts AND c.src = e.src AND c.dst = e.dst""",
+    "edge_norm": f"""
+        SELECT g.system, g.ts, g.t_idx, g.is_normal, g.use_step, g.src, g.dst, {each('(g.$f - s.mean_$f) / s.std_$f AS $f', F4)}
+        FROM edge_grid g JOIN (SELECT system, src, dst, {each('avg($f) FILTER (WHERE use_step) AS mean_$f', F4)},
+                                      {each('stddev_pop($f) FILTER (WHERE use_step) + 1e-6 AS std_$f', F4)}
+                               FROM edge_grid GROUP BY ALL) s USING (system, src, dst)""",
     "edge_pairs": f"""
-        SELECT *, {each('lag($f) OVER w AS prev_$f', F4)}
-        FROM (SELECT g.system, g.ts, g.t_idx, g.use_step, g.src, g.dst, {each('(g.$f - s.mean_$f) / s.std_$f AS $f', F4)}
-              FROM edge_grid g JOIN (SELECT system, src, dst, {each('avg($f) FILTER (WHERE use_step) AS mean_$f', F4)},
-                                            {each('stddev_pop($f) FILTER (WHERE use_step) + 1e-6 AS std_$f', F4)}
-                                     FROM edge_grid GROUP BY ALL) s USING (system, src, dst))
+        SELECT *, {each('lag($f) OVER w AS prev_$f', F4)} FROM edge_norm
         WINDOW w AS (PARTITION BY system, src, dst ORDER BY t_idx)""",
     "edge_err": f"""
         SELECT p.system, avg({mean_sql([f'pow(p.{f} - (l.alpha_{f} + l.beta_{f} * p.prev_{f}), 2)' for f in F4])}) AS edge_mse,
@@ -339,7 +347,7 @@ def _needs(sql: str) -> list[str]:
 
 
 # Tables whose CTE is read several times are computed once.
-_ONCE = {"filled", "norm", "pairs", "rawres", "res", "edge_grid", "edge_pairs", "steps", "peakmeans", "peakranks", "mixt"}
+_ONCE = {"filled", "norm", "pairs", "rawres", "res", "edge_grid", "edge_norm", "edge_pairs", "steps", "peakmeans", "peakranks", "mixt"}
 
 
 def statement(sql: str, rounded: tuple[str, ...] | list[str] = (), whole: tuple[str, ...] | list[str] = ()) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.fixed_values import EDGE_FEATURES, NODE_FEATURES, TRAIN_STRIDE, WINDOW
+from faultline.fixed_values import CONTEXT_FEATURES, EDGE_FEATURES, NODE_FEATURES, TRAIN_STRIDE, WINDOW
 from faultline.operators import detect, evaluate, rank, stats, windows
 from faultline.operators.joins import attach, fits
 from faultline.plans.views import Tables
@@ -22,7 +22,9 @@ def build_dataset(t: Tables, root: str | None = None, size: int = WINDOW, stride
     edge_key = ["system", "src", "dst"]
     edge_stats = stats.normal_stats(t.edge_grid, edge_key, EDGE_FEATURES)
     edges = stats.apply_stats(t.edge_grid, edge_stats, edge_key, EDGE_FEATURES, t.edges_small)
-    for kind, rows in (("nodes", t.normalized), ("edges", edges)):
+    context_stats = stats.normal_stats(t.step_context, ["system"], CONTEXT_FEATURES)
+    context = stats.apply_stats(t.step_context, context_stats, ["system"], CONTEXT_FEATURES)
+    for kind, rows in (("nodes", t.normalized), ("edges", edges), ("context", context)):
         keys, features = dataset.KINDS[kind]
         cut_up = attach(windows.sliding_windows(rows, size, stride), splits, ["system", "window_start"], small=few)
         kept = cut_up.where(F.col("split") != "fault").select(
@@ -31,9 +33,18 @@ def build_dataset(t: Tables, root: str | None = None, size: int = WINDOW, stride
         dataset.write_windows(root, kind, kept)
     dataset.write_stats(root, "nodes", t.stats)
     dataset.write_stats(root, "edges", edge_stats)
-    # Cells are stored as measured; a reader normalizes them once, with the stored stats.
-    cells = t.filled.select("system", "ts", "t_idx", "n_steps", "is_normal", "entity", *NODE_FEATURES)
-    dataset.write_episode(root, "faults", cells, t.faults)
+    dataset.write_stats(root, "context", context_stats)
+    dataset.write_names(root, t.entities, t.edges)
+    # An episode is stored as measured; a reader normalizes it once, with the stored stats.
+    step = ["system", "ts", "t_idx", "n_steps", "is_normal"]
+    dataset.write_episode(
+        root,
+        "faults",
+        t.faults,
+        nodes=t.filled.select(*step, "entity", *NODE_FEATURES),
+        edges=t.edge_grid.select(*step, "src", "dst", *EDGE_FEATURES),
+        context=t.step_context,
+    )
     dataset.write_metadata(root, t.spark, window_size=size, stride=stride, node_features=",".join(NODE_FEATURES))
     return root
 

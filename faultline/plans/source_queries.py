@@ -7,27 +7,33 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from faultline.fixed_values import CONTEXT_FEATURES
 from faultline.operators import graph
 from faultline.plans import runs
-from faultline.plans.oracle_views import F8, each, rank_sql, role_sql
+from faultline.plans.oracle_views import F4, F8, each, rank_sql, role_sql
 from faultline.plans.registry import query
 from faultline.plans.views import SYSTEM, Tables
 from faultline.session import scratch_path
 from faultline.sources import dataset, files
 
 ALL8 = " ".join(F8)
+ALL4 = " ".join(F4)
+ALL3 = " ".join(CONTEXT_FEATURES)
 
 
-def _metric_dir(t: Tables) -> str:
+def _metric_dir(t: Tables, decimal_time: bool = False) -> str:
     """Metric files, one entry per service, in the published column positions."""
     root = scratch_path(t.spark, "metrics")
     place = {1: "ts", 2: "pod", 4: "cpu", 6: "mem", 9: "net_rx", 10: "net_tx", 11: "p90_s", 15: "p99_s", 17: "ops", 18: "success"}
     columns = [
         F.col(place[i]).alias(f"m{i}_{place[i]}") if i in place else F.lit("x").alias(f"m{i}") for i in range(files.METRIC_COLUMNS)
     ]
-    rows = t.text_pods.select(*columns, F.concat(F.col("entity"), F.lit("-0-0_metric.csv")).alias("entry"))
+    pods = t.text_pods
+    if decimal_time:  # such as 1.7040672E9 and a fraction that is cut off
+        pods = pods.withColumn("ts", (F.col("ts") + 0.75).cast("string"))
+    rows = pods.select(*columns, F.concat(F.col("entity"), F.lit("-0-0_metric.csv")).alias("entry"))
     files.write_by_name(rows, root, "entry")
     return root
 
@@ -41,6 +47,15 @@ def s1(t):
     return files.metric_files(t.spark, _metric_dir(t), SYSTEM).select("ts", "pod", "cpu", "entity")
 
 
+@query(
+    "s1_metric_files_float_time",
+    """SELECT ts, pod, CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE CAST(cpu AS VARCHAR) END AS cpu, entity FROM pods""",
+    whole="ts",
+)
+def s1_float(t):
+    return files.metric_files(t.spark, _metric_dir(t, decimal_time=True), SYSTEM).select("ts", "pod", "cpu", "entity")
+
+
 @query("p3_pod_of_file", "SELECT entity AS file_pod, count(*) AS n FROM pods GROUP BY entity", whole="n")
 def p3(t):
     rows = files.metric_files(t.spark, _metric_dir(t), SYSTEM)
@@ -62,6 +77,24 @@ def s2(t):
     return files.trace_files(t.spark, root, SYSTEM).drop("system")
 
 
+@query("s2_trace_files_mixed_headers", "SELECT start_ns, duration_ns, pod, operation, parent FROM spans", whole="start_ns duration_ns")
+def s2_mixed(t):
+    """Two groups of files that hold their columns in different orders."""
+    root = scratch_path(t.spark, "traces")
+    rows = t.spans.select(
+        F.col("start_ns").alias("StartTimeUnixNano"),
+        F.col("duration_ns").alias("Duration"),
+        F.col("pod").alias("PodName"),
+        F.col("operation").alias("OperationName"),
+        F.col("parent").alias("ParentID"),
+        F.concat(F.substring_index("pod", "-", 1), F.lit("_trace.csv")).alias("entry"),
+    )
+    odd = F.pmod(F.xxhash64("PodName"), F.lit(2)) == 1
+    files.write_by_name(rows.where(odd), f"{root}/odd", "entry")
+    files.write_by_name(rows.where(~odd).select(*reversed(rows.columns)), f"{root}/even", "entry")
+    return files.trace_files(t.spark, f"{root}/*", SYSTEM).drop("system")
+
+
 @query("s3_log_files", "SELECT time_ns, pod, log FROM logs", whole="time_ns")
 def s3(t):
     root = scratch_path(t.spark, "logs")
@@ -75,11 +108,27 @@ def s3(t):
     return files.log_files(t.spark, root, SYSTEM).drop("system")
 
 
-@query("s4_dependency_file", "SELECT src, dst FROM edges")
-def s4(t):
+def _dependencies(t: Tables) -> DataFrame:
+    """Edges from a list of several files, written by ranges of the place."""
     root = scratch_path(t.spark, "dependency")
-    t.deps.orderBy("pos").select("source", "target").write.option("header", True).csv(root)
-    return graph.clean_dependencies(files.dependency_file(t.spark, root, SYSTEM)).select("src", "dst")
+    t.deps.repartitionByRange(4, "pos").sortWithinPartitions("pos").select("source", "target").write.option("header", True).csv(root)
+    return graph.clean_dependencies(files.dependency_file(t.spark, root, SYSTEM))
+
+
+@query("s4_dependency_file", "SELECT src, dst, row_number() OVER (ORDER BY pos) AS nth FROM edges", whole="nth")
+def s4(t):
+    nth = F.row_number().over(Window.partitionBy("system").orderBy("pos"))
+    return _dependencies(t).select("src", "dst", nth.alias("nth"))
+
+
+@query(
+    "g1_from_file",
+    """SELECT entity, row_number() OVER (ORDER BY min(place)) - 1 AS entity_idx
+       FROM (SELECT src AS entity, pos * 2 AS place FROM edges UNION ALL SELECT dst, pos * 2 + 1 FROM edges) GROUP BY entity""",
+    whole="entity_idx",
+)
+def g1_from_file(t):
+    return graph.graph_nodes(_dependencies(t)).drop("system")
 
 
 @query(
@@ -186,13 +235,7 @@ def s9(t):
     whole="n_windows n_rows",
 )
 def s10(t):
-    root = runs.build_dataset(t)
-    rows = dataset.read_split(t.spark, root, "train").unionByName(dataset.read_split(t.spark, root, "val"))
-    return rows.groupBy("split").agg(
-        F.count_distinct("window_start").alias("n_windows"),
-        F.count("*").alias("n_rows"),
-        *[F.avg(F.abs(f)).alias(f) for f in F8],
-    )
+    return _window_means(t, "nodes")
 
 
 @query(
@@ -207,11 +250,58 @@ def s11(t):
     return dataset.read_split(t.spark, root, "val").select("window_start", "offset", "entity", "cpu_rate", "success_rate")
 
 
+_WINDOWED = """SELECT s.split, count(DISTINCT s.window_start) AS n_windows, count(*) AS n_rows, {means}
+    FROM splits s JOIN {rows} n ON n.t_idx >= s.window_start AND n.t_idx < s.window_start + 24 WHERE s.split <> 'fault' GROUP BY s.split"""
+
+
+def _window_means(t: Tables, kind: str) -> DataFrame:
+    root = runs.build_dataset(t)
+    rows = dataset.read_split(t.spark, root, "train", kind).unionByName(dataset.read_split(t.spark, root, "val", kind))
+    return rows.groupBy("split").agg(
+        F.count_distinct("window_start").alias("n_windows"),
+        F.count("*").alias("n_rows"),
+        *[F.avg(F.abs(f)).alias(f) for f in dataset.KINDS[kind][1]],
+    )
+
+
+@query(
+    "s10_edges",
+    _WINDOWED.format(rows="edge_norm", means=each("avg(abs(n.$f)) AS $f", F4)),
+    rounded=ALL4,
+    whole="n_windows n_rows",
+)
+def s10_edges(t):
+    return _window_means(t, "edges")
+
+
+@query(
+    "s10_context",
+    _WINDOWED.format(rows="ctx_norm", means=each("avg(abs(n.$f)) AS $f", CONTEXT_FEATURES)),
+    rounded=ALL3,
+    whole="n_windows n_rows",
+)
+def s10_context(t):
+    return _window_means(t, "context")
+
+
+def _episode(t: Tables, kind: str) -> DataFrame:
+    root = runs.build_dataset(t)
+    return dataset.read_episode(t.spark, root, "faults", dataset.read_stats(t.spark, root, kind), kind)[0]
+
+
+@query("s11_episode_edges", f"SELECT t_idx, is_normal, src, dst, {each('$f', F4)} FROM edge_norm", rounded=ALL4, whole="t_idx")
+def s11_episode_edges(t):
+    return _episode(t, "edges").select("t_idx", "is_normal", "src", "dst", *F4)
+
+
+@query("s11_episode_context", f"SELECT t_idx, is_normal, {each('$f', CONTEXT_FEATURES)} FROM ctx_norm", rounded=ALL3, whole="t_idx")
+def s11_episode_context(t):
+    return _episode(t, "context").select("t_idx", "is_normal", *CONTEXT_FEATURES)
+
+
 @query("s11_read_episode", f"SELECT t_idx, is_normal, entity, {each('$f')} FROM norm", rounded=ALL8, whole="t_idx")
 def s11_episode(t):
-    root = runs.build_dataset(t)
-    cells, _ = dataset.read_episode(t.spark, root, "faults", dataset.read_stats(t.spark, root))
-    return cells.select("t_idx", "is_normal", "entity", *F8)
+    return _episode(t, "nodes").select("t_idx", "is_normal", "entity", *F8)
 
 
 # --- end-to-end runs -------------------------------------------------------------------------

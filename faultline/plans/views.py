@@ -16,7 +16,7 @@ CADENCE = 3600
 SEVERE = 150.0
 ENTRY = "svc0"
 PEAK_BEFORE, PEAK_AFTER = 5, 10
-BASE_WINDOWS = 5
+FIRST_WINDOWS = 5
 FAULT_TYPES = ("cpu_contention", "cpu_consumed", "network_delay", "exception", "return")
 KPI_NAMES = (
     "OSLinux-CPU_CPUCpuUtil",
@@ -235,15 +235,21 @@ class Tables:
     def context(self) -> DataFrame:
         return featurize.workload_context(self.filled)
 
+    @cached_property
+    def step_context(self) -> DataFrame:
+        """The same with what windows and statistics need of a step; one row per step, written once."""
+        return cut(featurize.workload_context(self.filled, keys=("system", "ts", "t_idx", "n_steps", "is_normal")))
+
     @cached_property
     def edge_cells(self) -> DataFrame:
-        return featurize.edge_features(self.spans, self.bare_steps, self.names, self.edges, ENTRY, self.small)
+        return featurize.edge_features(self.spans, self.bare_steps, self.names, self.edges, ENTRY, self.small, self.edges_small)
 
     @cached_property
     def edge_grid(self) -> DataFrame:
+        """Edges x steps; written once, since statistics, fits and errors each read it."""
         members = self.edges.select("system", "src", "dst").distinct()
         dense = grid.dense_grid(self.steps, members, self.edge_cells, ["src", "dst"], self.edges_small)
-        return grid.zero_fill(dense, EDGE_FEATURES)
+        return cut(grid.zero_fill(dense, EDGE_FEATURES))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -286,15 +292,15 @@ class Tables:
         return windows.split_windows(windows.label_windows(self.steps))
 
     @cached_property
-    def base_windows(self) -> DataFrame:
-        return windows.first_windows(self.splits, BASE_WINDOWS)
+    def first_val_windows(self) -> DataFrame:
+        return windows.first_windows(self.splits, FIRST_WINDOWS)
 
     @cached_property
     def base_residuals(self) -> DataFrame:
-        """Scored residuals pooled over the first validation windows."""
+        """Scored residuals pooled over all validation windows."""
         rows = windows.sliding_windows(self.residuals)
-        chosen = self.base_windows.select("system", "window_start")
-        kept = joins.attach(rows, chosen, ["system", "window_start"], "left_semi", self.small)
+        chosen = self.splits.where(F.col("split") == "val").select("system", "window_start")
+        kept = joins.attach(rows, chosen, ["system", "window_start"], "left_semi")
         return kept.where(F.col("residual").isNotNull())
 
     @cached_property
@@ -364,13 +370,16 @@ class Tables:
     def drift(self) -> DataFrame:
         return score.mix_concentration(self.type_counts, small=self.small)
 
-    @cached_property
-    def fused(self) -> DataFrame:
+    def fusion(self, how=rank.fuse_evidence) -> DataFrame:
         crossings = detect.window_crossings(
             self.residuals, self.peak_faults, self.overall, k=2.0, small=self.small
         )
         means = rank.window_means(self.residuals, self.peak_faults)
-        return rank.fuse_evidence(means, crossings, self.downstream, self.drift)
+        return how(means, crossings, self.downstream, self.drift)
+
+    @cached_property
+    def fused(self) -> DataFrame:
+        return self.fusion()
 
     @cached_property
     def results(self) -> DataFrame:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.fixed_values import EDGE_FEATURES, NODE_FEATURES
+from faultline.fixed_values import CONTEXT_FEATURES, EDGE_FEATURES, NODE_FEATURES
 from faultline.operators.stats import apply_stats
 
 KINDS = {
     "nodes": (("entity",), NODE_FEATURES),
     "edges": (("src", "dst"), EDGE_FEATURES),
+    "context": ((), CONTEXT_FEATURES),
 }
 
 
@@ -31,10 +31,16 @@ def write_metadata(root: str, spark: SparkSession, **values: int | str) -> None:
     spark.range(1).select(*row).write.mode("overwrite").parquet(posixpath.join(root, "metadata"))
 
 
-def write_episode(root: str, name: str, cells: DataFrame, labels: DataFrame) -> None:
-    """A fault episode: its cells with the normal flag, and its labels."""
-    cells.write.mode("overwrite").parquet(posixpath.join(root, "episodes", name, "nodes"))
-    labels.write.mode("overwrite").parquet(posixpath.join(root, "episodes", name, "labels"))
+def write_names(root: str, entities: DataFrame, edges: DataFrame) -> None:
+    """The service names with their positions, and the edge list."""
+    entities.write.mode("overwrite").parquet(posixpath.join(root, "names", "entities"))
+    edges.write.mode("overwrite").parquet(posixpath.join(root, "names", "edges"))
+
+
+def write_episode(root: str, name: str, labels: DataFrame, **kinds: DataFrame) -> None:
+    """A fault episode: its labels and, by kind, its rows with the normal flag."""
+    for kind, rows in {**kinds, "labels": labels}.items():
+        rows.write.mode("overwrite").parquet(posixpath.join(root, "episodes", name, kind))
 
 
 def read_split(spark: SparkSession, root: str, split: str, kind: str = "nodes") -> DataFrame:
@@ -49,12 +55,18 @@ def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(posixpath.join(root, "metadata"))
 
 
+def read_names(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Service names and edge list."""
+    return tuple(spark.read.parquet(posixpath.join(root, "names", kind)) for kind in ("entities", "edges"))
+
+
 def read_episode(
-    spark: SparkSession, root: str, name: str, stats: DataFrame | None = None, keys: Sequence[str] = ("system", "entity")
+    spark: SparkSession, root: str, name: str, stats: DataFrame | None = None, kind: str = "nodes"
 ) -> tuple[DataFrame, DataFrame]:
-    """Cells and labels of an episode; cells are normalized when stats are given (store raw cells then)."""
-    cells = spark.read.parquet(posixpath.join(root, "episodes", name, "nodes"))
+    """Rows of one kind and labels of an episode; rows are normalized when stats are given (store raw rows then)."""
+    rows = spark.read.parquet(posixpath.join(root, "episodes", name, kind))
     labels = spark.read.parquet(posixpath.join(root, "episodes", name, "labels"))
     if stats is not None:
-        cells = apply_stats(cells, stats, list(keys))
-    return cells, labels
+        keys, features = KINDS[kind]
+        rows = apply_stats(rows, stats, ["system", *keys], features)
+    return rows, labels

@@ -1,17 +1,20 @@
 """Telemetry files: metric, trace, log, KPI, dependency and fault files to DataFrames.
 
-Every scan is one Spark job over all files; the driver only handles paths and column names.
+Every scan is one Spark job over all files of one kind of header; the driver only handles paths and column names.
 """
 
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.fixed_values import METRIC_POSITIONS, SERVICE_COLUMNS, SERVICE_METRIC_FILES, TIME_COLUMNS
 from faultline.functions.names import pod_base, service_of
 from faultline.functions.values import number, ms_to_seconds, service_features, whole
+from faultline.operators.joins import attach
 
 METRIC_COLUMNS = 20
 FAULT_ENTRY = "map<string, array<struct<inject_time: string, inject_timestamp: string, inject_pod: string, inject_type: string>>>"
@@ -33,6 +36,58 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: str | None = N
     return reader.csv(paths)
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The files at or below a path, without markers and hidden ones, in name order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    names = []
+    while found.hasNext():
+        name = str(found.next().getPath())
+        if not posixpath.basename(name).startswith(("_", ".")):
+            names.append(name)
+    return sorted(names)
+
+
+def header_of(spark: SparkSession, path: str) -> str | None:
+    """First line of a text file, compressed or not; None if it is empty."""
+    at, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        text = spark._jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        return spark._jvm.java.io.BufferedReader(text).readLine()
+    finally:
+        stream.close()
+
+
+def read_by_header(
+    spark: SparkSession, paths: str | list[str], pick: Callable[[DataFrame], DataFrame | None], **options: str
+) -> DataFrame:
+    """`pick` of the rows of each distinct header, put together: a scan binds all its files to one column order.
+
+    `pick` selects by name and may return None for a header it has no use for. Files without a line are passed over.
+    """
+    files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in data_files(spark, p)]
+    kinds: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, header in zip(files, pool.map(lambda f: header_of(spark, f), files)):
+            if header:
+                kinds.setdefault(header, []).append(path)
+    out = None
+    for same in kinds.values():
+        part = pick(spark.read.options(header=True, **options).csv(same))
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(f"no file with usable columns at {paths}")
+    return out
+
+
+def text_column(raw: DataFrame, name: str) -> Column:
+    """A column by name, NULL where this header lacks it."""
+    return F.col(name) if name.lower() in map(str.lower, raw.columns) else F.lit(None).cast("string")
+
+
 def metric_files(spark: SparkSession, directory: str, system: str) -> DataFrame:
     """All `*_metric.csv` of a directory, columns taken by position, values still text."""
     schema = ", ".join(f"c{i} string" for i in range(METRIC_COLUMNS))
@@ -51,34 +106,55 @@ def metric_files(spark: SparkSession, directory: str, system: str) -> DataFrame:
 def trace_files(spark: SparkSession, directory: str, system: str, max_files: int | None = None) -> DataFrame:
     """`*_trace.csv` of a directory, optionally only the first files in name order."""
     paths = list_paths(spark, posixpath.join(directory, "*_trace.csv"))[:max_files]
-    rows = read_csv(spark, paths).select(
-        F.lit(system).alias("system"),
-        whole(F.col("StartTimeUnixNano")).alias("start_ns"),
-        whole(F.col("Duration")).alias("duration_ns"),
-        F.coalesce("PodName", F.lit("")).alias("pod"),
-        F.col("OperationName").alias("operation"),
-        F.coalesce("ParentID", F.lit("")).alias("parent"),
-    )
+
+    def pick(raw: DataFrame) -> DataFrame:
+        return raw.select(
+            F.lit(system).alias("system"),
+            whole(text_column(raw, "StartTimeUnixNano")).alias("start_ns"),
+            whole(text_column(raw, "Duration")).alias("duration_ns"),
+            F.coalesce(text_column(raw, "PodName"), F.lit("")).alias("pod"),
+            text_column(raw, "OperationName").alias("operation"),
+            F.coalesce(text_column(raw, "ParentID"), F.lit("")).alias("parent"),
+        )
+
+    rows = read_by_header(spark, paths, pick)
     return rows.where(F.col("start_ns").isNotNull() & F.col("duration_ns").isNotNull() & F.col("operation").isNotNull())
 
 
 def log_files(spark: SparkSession, directory: str, system: str, max_files: int | None = None) -> DataFrame:
     """Log `*.csv` of a directory; JSON inside the text keeps its quotes."""
     paths = list_paths(spark, posixpath.join(directory, "*.csv"))[:max_files]
-    raw = spark.read.option("header", True).option("escape", '"').csv(paths)
-    rows = raw.select(
-        F.lit(system).alias("system"),
-        whole(F.col("TimeUnixNano")).alias("time_ns"),
-        F.col("PodName").alias("pod"),
-        F.col("Log").alias("log"),
-    )
+
+    def pick(raw: DataFrame) -> DataFrame:
+        return raw.select(
+            F.lit(system).alias("system"),
+            whole(text_column(raw, "TimeUnixNano")).alias("time_ns"),
+            text_column(raw, "PodName").alias("pod"),
+            text_column(raw, "Log").alias("log"),
+        )
+
+    rows = read_by_header(spark, paths, pick, escape='"')
     return rows.where(F.col("time_ns").isNotNull() & F.col("pod").isNotNull())
 
 
 def dependency_file(spark: SparkSession, path: str, system: str) -> DataFrame:
-    """Two-column dependency list with the row's place; ids grow along a file."""
+    """Two-column dependency list with the row's place: files in name order, rows as they stand in their file.
+
+    `pos` grows along the list, with gaps. Ids within a task follow the rows of a file's split but not the order of
+    files, so each split is first given its own turn; there is one row for each split to order.
+    """
     raw = read_csv(spark, path, "source string, target string")
-    return raw.select(F.lit(system).alias("system"), "source", "target", F.monotonically_increasing_id().alias("pos"))
+    here = raw.select(
+        "source", "target", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    places = here.select("_file", "_from").distinct()
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file", "_from")) - 1
+    placed = attach(here, places.select("_file", "_from", turn.cast("bigint").alias("_turn")), ["_file", "_from"])
+    within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(
+        F.lit(system).alias("system"), "source", "target", (F.shiftleft("_turn", 33) + within).alias("pos")
+    )
 
 
 def fault_file(spark: SparkSession, path: str, system: str, lines: bool = False) -> DataFrame:
@@ -113,18 +189,21 @@ def record_file(spark: SparkSession, path: str, system: str) -> DataFrame:
 
 def kpi_file(spark: SparkSession, path: str | list[str], system: str) -> DataFrame:
     """Long KPI file; column names in any letter case, falling back to position."""
-    raw = read_csv(spark, path)
 
-    def pick(names: tuple[str, ...], fallback: str) -> str:
-        return next((c for c in raw.columns if c.lower() in names), fallback)
 
-    return raw.select(
-        F.lit(system).alias("system"),
-        whole(F.col(pick(("timestamp",), raw.columns[0]))).alias("ts"),
-        F.col(pick(("cmdb_id",), raw.columns[1])).alias("entity"),
-        F.col(pick(("kpi_name", "name"), raw.columns[2])).alias("kpi_name"),
-        number(F.col(pick(("value",), raw.columns[-1]))).alias("value"),
-    )
+    def pick(raw: DataFrame) -> DataFrame:
+        def column(names: tuple[str, ...], fallback: str) -> Column:
+            return F.col(next((c for c in raw.columns if c.lower() in names), fallback))
+
+        return raw.select(
+            F.lit(system).alias("system"),
+            whole(column(("timestamp",), raw.columns[0])).alias("ts"),
+            column(("cmdb_id",), raw.columns[1]).alias("entity"),
+            column(("kpi_name", "name"), raw.columns[2]).alias("kpi_name"),
+            number(column(("value",), raw.columns[-1])).alias("value"),
+        )
+
+    return read_by_header(spark, path, pick)
 
 
 def day_directories(spark: SparkSession, telemetry: str, max_days: int | None = None) -> list[str]:
@@ -135,24 +214,20 @@ def day_directories(spark: SparkSession, telemetry: str, max_days: int | None =
 def service_metric_files(spark: SparkSession, data_dir: str, system: str, max_days: int | None = None) -> DataFrame:
     """Service-level metrics of several days as the eight features.
 
-    Each day has one of two kinds of file, and each kind has its own column names; days of one kind are
+    Each day has one of two kinds of file. Column names are looked up in each header, and files of one header are
     read by one job. `day` stays a column, so seams between days can be told.
     """
     telemetry = posixpath.join(data_dir, "telemetry")
-    kinds: dict[str, list[str]] = {}
+    paths = []
     for day in day_directories(spark, telemetry, max_days):
         for name in SERVICE_METRIC_FILES:
             path = posixpath.join(telemetry, day, "metric", name)
             if list_paths(spark, path):
-                kinds.setdefault(name, []).append(path)
+                paths.append(path)
                 break
-    parts = [part for name, paths in kinds.items() if (part := _service_rows(read_csv(spark, paths), system)) is not None]
-    if not parts:
+    if not paths:
         raise FileNotFoundError(f"no service metric files below {telemetry}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return read_by_header(spark, paths, lambda raw: _service_rows(raw, system))
 
 
 def _service_rows(raw: DataFrame, system: str) -> DataFrame | None:
