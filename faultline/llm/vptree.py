@@ -181,7 +181,8 @@ def nearest(
     visits = rows.where("is_query").select(
         "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v"
     )
-    dealt = candidates.unionByName(visits).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "vec_id")
+    dealt = candidates.unionByName(visits).repartitionByRange(shards, "dim", "shard")  # a hash leaves several to one task
+    dealt = dealt.sortWithinPartitions("dim", "shard", "kind", "vec_id")
     found = cut(dealt.mapInPandas(_search_shards(k, factor), "query_id bigint, vec_id bigint, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
