@@ -8,8 +8,8 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from faultline.llm.common import attach_small, components, roots, short_batches, unite
 from faultline.session import cut
@@ -21,6 +21,14 @@ BLOCK_ROWS = 1000
 PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 UNITS = 1 << 19
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Near copies of the pipeline: words of a run, and the least Jaccard similarity as a fraction.
+COPY_SHINGLE = 5
+COPY_OF = (4, 5)
+#: Runs of words that so many of about so many sampled documents have come last in the order of all sets (at most so
+#: many of them). This decides on the work only, not on the result.
+SAMPLE_OFTEN = 4
+SAMPLE_DOCS = 20_000
+SAMPLE_KEPT = 200_000
 
 
 # --- fingerprints ----------------------------------------------------------------------------
@@ -211,9 +219,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# --- near copies by Jaccard similarity -------------------------------------------------------
+
+
+def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Ascending distinct hashes of the runs of `shingle` words; a shorter text is one run; none without words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), "<u8").view(np.int64))
+
+
+@F.pandas_udf(StructType().add("sig", StringType()).add("hs", ArrayType(LongType())))
+def _shingle_sets(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    return pd.DataFrame({"sig": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "hs": sets})
+
+
+def prefix(hs: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first members of a set, as many as one of them must be in any set of similarity 4/5 or more.
+
+    All sets are in one order: by count in the sample (0 if not in `common`, which is ascending), then by hash.
+    """
+    n = len(hs)
+    size = n - -(-COPY_OF[0] * n // COPY_OF[1]) + 1 if n else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hs), len(common) - 1)
+        hs = hs[np.lexsort((hs, np.where(common[at] == hs, counts[at], 0)))]
+    return hs[:size]
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray):
+    @F.pandas_udf(ArrayType(LongType()))
+    def run(sets: pd.Series) -> pd.Series:
+        return pd.Series([prefix(np.asarray(x, np.int64), common, counts) for x in sets])
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of the pairs (a, b) whose sets have a Jaccard similarity of 4/5 or more."""
+    one = sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha"))
+    two = sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb"))
+    num, den = COPY_OF
+    both = F.size(F.array_intersect("ha", "hb"))
+    close = both * (num + den) >= num * (F.size("ha") + F.size("hb"))
+    return pairs.join(one, "a").join(two, "b").where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, root) for rows (row, doc_id, sig, hs): root is the same for rows that chains of near copies link.
+
+    Near copies have a Jaccard similarity of 4/5 or more over runs of five words; pairs as far apart as 15 bits of a
+    SimHash were seen among them, so candidates come from the prefixes of the sets (exact for any one order; runs that
+    a sample of documents has often come last). Equal sets are one node. Neighbours in a prefix list are compared
+    first; then all pairs of a list that are not linked by then. Texts without words are one group.
+    """
+    reps = rows.groupBy("sig").agg(F.min("row").alias("rep"))
+    of = cut(rows.select("row", "doc_id", "sig").join(reps, "sig").select("row", "doc_id", "rep"))
+    more = of.where("row <> rep").select("row", F.lit(1).alias("more"))
+    sets = attach_small(rows.select("row", "hs"), more, ["row"]).where("more is null").select(F.col("row").alias("rep"), "hs")
+    every = max(1, of.where("row = rep").count() // SAMPLE_DOCS)
+    sample = sets.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select(F.explode("hs").alias("h"))
+    often = sample.groupBy("h").count().where(F.col("count") >= SAMPLE_OFTEN).orderBy(F.desc("count"), "h").limit(SAMPLE_KEPT)
+    often = often.toPandas().sort_values("h")
+    udf = _prefixes(often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
+    lists = sets.select("rep", F.size("hs").alias("n"), F.explode(udf("hs")).alias("h"))
+    shared = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1").drop("many")
+    lists = cut(shared)
+    active = cut(lists.select("rep").distinct().withColumn("active", F.lit(1)))
+    sets = cut(attach_small(sets, active, ["rep"], "inner").select("rep", "hs"))
+    num, den = COPY_OF
+    last = Window.partitionBy("h").orderBy("n", "rep")
+    next_to = lists.select("rep", "n", F.lag("rep").over(last).alias("o"), F.lag("n").over(last).alias("m"))
+    next_to = next_to.where(F.col("m") * den >= F.col("n") * num)
+    first = cut(_confirmed(next_to.select(F.least("o", "rep").alias("a"), F.greatest("o", "rep").alias("b")).distinct(), sets))
+    known = components(first)
+    named = cut(lists.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root")))
+    other = named.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    fits = (F.col("rep") < F.col("b")) & (F.col("root") != F.col("other"))
+    fits &= (F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num)
+    rest = named.join(other, (named.h == other.h) & fits).select(F.col("rep").alias("a"), "b").distinct()
+    reach = components(first.unionByName(_confirmed(rest, sets)))
+    joined = of.join(reach, F.col("rep") == F.col("node"), "left")
+    return joined.select("row", "doc_id", F.coalesce("root", "rep").alias("root"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest doc_id; repeated rows of it once."""
-    pairs = near_duplicates(docs)
-    keep = pairs.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of near copies: the one of smallest doc_id; repeated rows of it once."""
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__set", _shingle_sets("text"))
+    table = cut(short_batches(keyed))
+    of = cut(copy_groups(table.select(F.col("__row").alias("row"), "doc_id", "__set.sig", "__set.hs")))
+    least = of.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    named = docs.join(least, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return named.dropDuplicates(["doc_id"])

@@ -94,6 +94,49 @@ def test_simhash_matches_brute_force(docs, none):
     assert len(kept) == len(set(kept)) and 5 not in kept and 2 in kept
 
 
+def brute_copies(texts):
+    """For each text the index of the first one that chains of Jaccard similarity 0.8 or more over five words reach."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    return group
+
+
+def planted_copies():
+    """Texts with near copies of many similarities, some around 0.8, a hot passage, and short and blank ones."""
+    r = random.Random(8)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(n)]
+    passage, texts = fresh(60), []
+    for k in range(25):
+        base = fresh(r.randint(50, 120)) + (passage if k % 2 else [])
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5, 8, 12):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = "new" + str(r.randint(0, 999))
+            texts.append(" ".join(w))
+    return texts + ["one two", "ONE  two", "one two three", None, "", " \n", " ".join(passage), texts[0].upper()]
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    texts = planted_copies()
+    group = brute_copies(texts)
+    assert 40 < len(set(group)) < 150
+    ids = list(range(len(texts)))
+    frame = spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string").repartition(5)
+    want = {min(i for i in ids if group[i] == g) for g in group}
+    assert sorted(r.doc_id for r in simhash.keep_first(frame).collect()) == sorted(want)
+    monkeypatch.setattr(simhash, "SAMPLE_OFTEN", 10**9)  # another order of the runs: the same result
+    assert {r.doc_id for r in simhash.keep_first(frame).collect()} == want
+    assert simhash.keep_first(frame.where("false")).count() == 0
+
+
 def test_bit_slices_find_all_links_also_in_split_blocks(spark):
     rng = np.random.default_rng(1)
     values = {int(x) for x in rng.integers(0, 2**63, 40)}
