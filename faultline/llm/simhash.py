@@ -307,10 +307,12 @@ def copy_groups(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one of smallest doc_id; repeated rows of it once."""
+    """One row of each group of near copies: the one of smallest doc_id, NULL last, then the first in the table.
+
+    Rows have a key of their own, so NULL and repeated ids count as the rows they are.
+    """
     keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__set", _shingle_sets("text"))
     table = cut(short_batches(keyed))
-    of = cut(copy_groups(table.select(F.col("__row").alias("row"), "doc_id", "__set.sig", "__set.hs")))
-    least = of.groupBy("root").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
-    named = docs.join(least, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    of = copy_groups(table.select(F.col("__row").alias("row"), "doc_id", "__set.sig", "__set.hs"))
+    best = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best"))
+    return table.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)

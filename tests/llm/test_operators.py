@@ -137,6 +137,15 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     assert simhash.keep_first(frame.where("false")).count() == 0
 
 
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join(r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, c + " more"), (1, d), (1, e), (2, a), (3, e), (None, None), (None, "")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # of the two rows without words, and of c and its near copy, the first in the table stays
+    assert Counter(map(tuple, got)) == Counter([(2, a), (None, b), (None, c), (1, d), (1, e), (None, None)])
+
+
 def test_bit_slices_find_all_links_also_in_split_blocks(spark):
     rng = np.random.default_rng(1)
     values = {int(x) for x in rng.integers(0, 2**63, 40)}
