@@ -76,6 +76,16 @@ def test_frequent_lines_are_removed_and_depleted_documents_go(spark):
     assert 90 not in left and "MENU1" not in left[3] and left[91] == menu + "\nbye now" and left[100] == copy
 
 
+def test_lines_are_counted_by_documents_not_by_sizes(spark):
+    menu = "home about contact"
+    text = lambda i: menu + "\n" + " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, text(i), "h") for i in range(11)] + [(20 + i, text(i), "ten") for i in range(10)]
+    rows += [(40 + i, text(0), "copies") for i in range(30)]
+    left = {x.doc_id: x.text for x in quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i in left if menu not in left[i]} == set(range(11)) and len(left) == len(rows)
+    assert all(left[i] == t for i, t, _ in rows if i > 11)
+
+
 def test_simhash_matches_brute_force(docs, none):
     got = simhash.near_duplicates(docs).collect()
     prints = [simhash.fingerprint(r[1]) for r in sample()]
