@@ -45,6 +45,8 @@ MENTION = re.compile(
     r"""|(?:\b(?P<title>""" + "|".join(TITLES) + rf""")\.?[ ](?P<titled>{_WORD}(?:[ ]{_WORD})?))"""
     r"""|(?:\b(?P<given>""" + "|".join(GENDER) + rf""")[ ](?P<family>{_WORD}))"""
 )
+#: A capitalised whole word.
+NAME = re.compile(rf"(?<!\w){_WORD}(?!\w)")
 MARKED = re.compile("[0-9@]")
 SECRETS = ("token", "secret", "passw", "api")
 NAMES = (*TITLES, *GENDER)
@@ -74,8 +76,8 @@ def _script(word: str) -> str:
 
 
 def find(text: str | None) -> list[Mention]:
-    """Entities of a text, left to right. Names are found by title or common given name, and part by part, so that
-    a family name alone refers to the same surrogate as the full name."""
+    """Entities of a text, left to right. Names are found by title or common given name, and part by part; after that
+    each part is found wherever it stands alone further on in the text, as the same entity."""
     if not text or not _hinted(text):
         return []
     found, base = [], 0
@@ -83,7 +85,27 @@ def find(text: str | None) -> list[Mention]:
         if _hinted(line):
             found += _in_line(line, base)
         base += len(line) + 1
-    return found
+    return _with_later_names(text, found)
+
+
+def _with_later_names(text: str, found: list[Mention]) -> list[Mention]:
+    """Adds later mentions of name parts as capitalised whole words; a part of several kinds is of its first kind."""
+    parts: dict[str, Mention] = {}
+    for m in found:
+        if m.kind.startswith(("given", "family")):
+            parts.setdefault(text[m.start : m.end], m)
+    if not parts:
+        return found
+    taken, at, more = found, 0, []
+    for w in NAME.finditer(text, min(m.end for m in parts.values())):
+        first = parts.get(w[0])
+        if first is None or w.start() < first.end:
+            continue
+        while at < len(taken) and taken[at].end <= w.start():
+            at += 1
+        if at == len(taken) or taken[at].start >= w.end():
+            more.append(Mention(w.start(), w.end(), first.kind, first.canon))
+    return sorted([*found, *more], key=lambda m: m.start) if more else found
 
 
 def _in_line(line: str, base: int) -> list[Mention]:

@@ -197,6 +197,17 @@ def test_surrogates_are_distinct_typed_and_consistent(spark, docs, none):
     assert made.made.nunique() == len(made) == 169 and not set(made.made) & set(made.canon) and made.attempt.max() > 0
 
 
+def test_later_mentions_of_a_name_are_replaced(spark):
+    text = "Mr John Smith came.\nSmith said so, and John's wife (Smith) too. Smithson and smith stay; Smith@x.org, x@Smith.org.\nMs Anna Smith"
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    given, family = got.text.split()[1:3]
+    assert "John" not in got.text and "Smith " not in got.text and "Smith)" not in got.text
+    assert got.text.count(family) == 4 and got.text.count(given) == 2 and given + "'s wife (" + family + ")" in got.text
+    assert "Smithson and smith stay" in got.text and "Smith@x.org" not in got.text
+    assert got["__n_entities"] == len(got["__spans"]) == 9
+    assert [got.text[s.start : s.start + s.length] for s in got["__spans"] if s.kind == "family"] == [family] * 4
+
+
 def test_surrogates_by_join_equal_those_by_broadcast(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"write to {a}@{b}.org") for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")], "doc_id long, text string")
     few = {r.doc_id: r.text for r in pii.pseudonymise(frame).collect()}
