@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from faultline.llm.common import attach_small, components, roots, short_batches, unite
 from faultline.session import cut
@@ -27,7 +27,7 @@ COPY_OF = (4, 5)
 #: Runs of words that so many of about so many sampled documents have come last in the order of all sets (at most so
 #: many of them). This decides on the work only, not on the result.
 SAMPLE_OFTEN = 4
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 5_000
 SAMPLE_KEPT = 200_000
 
 
@@ -231,10 +231,15 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), "<u8").view(np.int64))
 
 
-@F.pandas_udf(StructType().add("sig", StringType()).add("hs", ArrayType(LongType())))
-def _shingle_sets(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingle_set(t) for t in texts]
-    return pd.DataFrame({"sig": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "hs": sets})
+@F.pandas_udf(StringType())
+def _signatures(texts: pd.Series) -> pd.Series:
+    """128 bits that are the same for equal sets."""
+    return pd.Series([xxhash.xxh3_128_hexdigest(shingle_set(t).tobytes()) for t in texts], dtype=object)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t) for t in texts], dtype=object)
 
 
 def prefix(hs: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -269,27 +274,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def copy_groups(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, root) for rows (row, doc_id, sig, hs): root is the same for rows that chains of near copies link.
+    """(row, doc_id, root) for rows (row, doc_id, sig, text): root is the same for rows that chains of near copies link.
 
     Near copies have a Jaccard similarity of 4/5 or more over runs of five words; pairs as far apart as 15 bits of a
     SimHash were seen among them, so candidates come from the prefixes of the sets (exact for any one order; runs that
     a sample of documents has often come last). Equal sets are one node. Neighbours in a prefix list are compared
-    first; then all pairs of a list that are not linked by then. Texts without words are one group.
+    first; then all pairs of a list that are not linked by then. Texts without words are one group. Sets are larger
+    than texts, so they are made from the text where needed and only those of candidates are written.
     """
     reps = rows.groupBy("sig").agg(F.min("row").alias("rep"))
     of = cut(rows.select("row", "doc_id", "sig").join(reps, "sig").select("row", "doc_id", "rep"))
     more = of.where("row <> rep").select("row", F.lit(1).alias("more"))
-    sets = attach_small(rows.select("row", "hs"), more, ["row"]).where("more is null").select(F.col("row").alias("rep"), "hs")
+    texts = attach_small(rows.select("row", "text"), more, ["row"]).where("more is null").select(F.col("row").alias("rep"), "text")
     every = max(1, of.where("row = rep").count() // SAMPLE_DOCS)
-    sample = sets.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select(F.explode("hs").alias("h"))
+    some = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0)
+    sample = some.select(F.explode(_shingle_sets("text")).alias("h"))
     often = sample.groupBy("h").count().where(F.col("count") >= SAMPLE_OFTEN).orderBy(F.desc("count"), "h").limit(SAMPLE_KEPT)
     often = often.toPandas().sort_values("h")
     udf = _prefixes(often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
+    sets = texts.select("rep", _shingle_sets("text").alias("hs"))
     lists = sets.select("rep", F.size("hs").alias("n"), F.explode(udf("hs")).alias("h"))
     shared = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1").drop("many")
     lists = cut(shared)
     active = cut(lists.select("rep").distinct().withColumn("active", F.lit(1)))
-    sets = cut(attach_small(sets, active, ["rep"], "inner").select("rep", "hs"))
+    sets = cut(attach_small(texts, active, ["rep"], "inner").select("rep", _shingle_sets("text").alias("hs")))
     num, den = COPY_OF
     last = Window.partitionBy("h").orderBy("n", "rep")
     next_to = lists.select("rep", "n", F.lag("rep").over(last).alias("o"), F.lag("n").over(last).alias("m"))
@@ -311,8 +319,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows have a key of their own, so NULL and repeated ids count as the rows they are.
     """
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__set", _shingle_sets("text"))
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__sig", _signatures("text"))
     table = cut(short_batches(keyed))
-    of = copy_groups(table.select(F.col("__row").alias("row"), "doc_id", "__set.sig", "__set.hs"))
+    of = copy_groups(table.select(F.col("__row").alias("row"), "doc_id", F.col("__sig").alias("sig"), "text"))
     best = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best"))
     return table.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
