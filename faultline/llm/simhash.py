@@ -263,14 +263,26 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Of (a, n, b, m), a row for each list of both, the pairs (a, b) that can be near copies: what is shared outside the
+    prefixes is at most the larger rest, so the prefixes must share what is missing."""
+    num, den = COPY_OF
+    rest = F.greatest(*[F.ceil(F.col(x) * num / den) - 1 for x in ("n", "m")])
+    enough = (F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("m"))
+    return cut(pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(enough).select("a", "b"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) of the pairs (a, b) whose sets have a Jaccard similarity of 4/5 or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    asked = cut(asked.withColumn("asked", F.lit(1)))
+    sets = cut(attach_small(texts, asked, ["rep"], "inner").select("rep", _shingle_sets("text").alias("hs")))
     one = sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha"))
     two = sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb"))
     num, den = COPY_OF
     both = F.size(F.array_intersect("ha", "hb"))
     close = both * (num + den) >= num * (F.size("ha") + F.size("hb"))
-    return pairs.join(one, "a").join(two, "b").where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return cut(pairs.join(one, "a").join(two, "b").where(close).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def copy_groups(rows: DataFrame) -> DataFrame:
@@ -296,20 +308,18 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     lists = sets.select("rep", F.size("hs").alias("n"), F.explode(udf("hs")).alias("h"))
     shared = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1").drop("many")
     lists = cut(shared)
-    active = cut(lists.select("rep").distinct().withColumn("active", F.lit(1)))
-    sets = cut(attach_small(texts, active, ["rep"], "inner").select("rep", _shingle_sets("text").alias("hs")))
     num, den = COPY_OF
     last = Window.partitionBy("h").orderBy("n", "rep")
     next_to = lists.select("rep", "n", F.lag("rep").over(last).alias("o"), F.lag("n").over(last).alias("m"))
     next_to = next_to.where(F.col("m") * den >= F.col("n") * num)
-    first = cut(_confirmed(next_to.select(F.least("o", "rep").alias("a"), F.greatest("o", "rep").alias("b")).distinct(), sets))
+    first = _confirmed(_counted(next_to.select(F.col("o").alias("a"), F.col("m").alias("n"), F.col("rep").alias("b"), F.col("n").alias("m"))), texts)
     known = components(first)
     named = cut(lists.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root")))
     other = named.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     fits = (F.col("rep") < F.col("b")) & (F.col("root") != F.col("other"))
     fits &= (F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num)
-    rest = named.join(other, (named.h == other.h) & fits).select(F.col("rep").alias("a"), "b").distinct()
-    reach = components(first.unionByName(_confirmed(rest, sets)))
+    rest = named.join(other, (named.h == other.h) & fits).select(F.col("rep").alias("a"), "n", "b", "m")
+    reach = components(first.unionByName(_confirmed(_counted(rest), texts)))
     joined = of.join(reach, F.col("rep") == F.col("node"), "left")
     return joined.select("row", "doc_id", F.coalesce("root", "rep").alias("root"))
 
