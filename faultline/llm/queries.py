@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultline.llm import mixing, packing, pii, quality, simhash, substrings, token_files, toxicity, urls, vptree
+from faultline.llm import filter_audit, mixing, packing, pii, quality, simhash, spelling, substrings, token_counts, token_files, toxicity, urls, vptree
 from faultline.llm.common import read
 from faultline.session import scratch_path
 
@@ -58,6 +58,18 @@ def op10_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,5 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_frequency,
         op9_association_rules,
         op10_first_fit_packing,
+        op11_merge_counts,
+        op12_permuterm_variants,
+        op13_filter_interactions,
     )
 }
