@@ -94,15 +94,18 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["key", "size", "n"]].assign(copies=copies, extra=np.where(pdf["size"] > 0, extra, 0))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (size times copies) of each row of `docs`.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (size times copies) of each row of `docs`, and `row`, the
+    column that `row_col` names, if any.
 
     Texts are read once; afterwards only ids, sources and sizes move. The plan of a source is made from its counts
     by length. Which documents of a length get a copy more goes by a seeded hash of the id: hash buckets of about
     `RANKED` documents are taken whole in order, and only the last one of each length is ranked. Repeated rows count
     one by one; NULL source is a source, last; NULL text has size 0 and is never taken; no rows: no result.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size")))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    own = ["doc_id", *(["row"] if row_col else [])]
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), *row, _key(F.col(source_col)).alias("key"), word_count(F.col(text_col)).alias("size")))
     counts = cut(rows.groupBy("key", "size").agg(F.count("*").alias("n")))
     sizes = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = cut(source_targets(sizes))
@@ -117,19 +120,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     gets = F.greatest(F.lit(0), F.least(F.col("extra") - before, F.col("here")))
     whole = cut(whole.select("key", "size", "bucket", "here", gets.alias("gets")))
     last = whole.where("gets > 0 and gets < here")
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h", *own))
     ranked = planned.join(last, ["key", "size", "bucket"]).select(
-        "doc_id", "key", "size", "copies", (rank <= F.col("gets")).cast("bigint").alias("more")
+        *own, "key", "size", "copies", (rank <= F.col("gets")).cast("bigint").alias("more")
     )
     sure = whole.where("gets = 0 or gets = here").select("key", "size", "bucket", (F.col("gets") > 0).cast("bigint").alias("more"))
-    rest = attach_small(planned, sure, ["key", "size", "bucket"], "inner").select("doc_id", "key", "size", "copies", "more")
+    rest = attach_small(planned, sure, ["key", "size", "bucket"], "inner").select(*own, "key", "size", "copies", "more")
     both = rest.unionByName(ranked).withColumn("copies", F.col("copies") + F.col("more"))
     out = attach_small(both, targets, ["key"], "inner")
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select(*own, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it, with its own columns; repeated rows of an id share its copies."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+    """Each row of `docs` as often as the mix takes it, with its own columns.
+
+    Rows have a key of their own, so NULL and repeated ids are taken as the rows they are. An empty table gives no rows.
+    """
+    table = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    copies = mix(table, row_col="__row").where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))
+    return table.join(copies, "__row").withColumn("__n", times).select(*docs.columns)

@@ -32,23 +32,25 @@ def _empty(kind: str) -> Column:
 
 
 def measures(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", row_col: str | None = None
 ) -> DataFrame:
-    """One row per row of `docs`: its base counts and its lines as (hash, words). A NULL text counts as empty.
-    `whole` adds `whole_text`, a hash of the text.
+    """One row per row of `docs`: its base counts, a hash of its text and its lines as (hash, words). A NULL text counts
+    as empty. `row_col` names a column that is carried along as `row`; by default rows get a key of their own.
 
     Everything is computed within the row: windows of three words are hashed, sorted and compared with their
     neighbours, so no word leaves its document. Values used more than once are columns of their own, so that
     they are computed once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("t"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("t"), row.alias("row"))
     words = F.regexp_extract_all("t", F.lit(WORD), F.lit(0))
-    own = ["whole_text"] if whole else []
+    own = ["row", "whole_text"]
     rows = rows.select(
         "doc_id",
         "host",
-        *[F.xxhash64("t").alias(c) for c in own],
+        "row",
+        F.xxhash64("t").alias("whole_text"),
         F.transform(words, lambda x: F.xxhash64(x)).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -90,15 +92,13 @@ def measures(
     return rows.withColumn("n_repeat_words", covered).drop("again")
 
 
-def frequent_lines(measured: DataFrame, limit: int = LINE_LIMIT, whole: bool = False) -> DataFrame:
+def frequent_lines(measured: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """(host, no_host, h) of the lines that more than `limit` distinct documents of one host have.
 
-    `whole`: documents are distinct if their texts differ, so exact copies count once. Otherwise, as in the SQL text of
-    op8, one per whole square root of the word count, which finds fewer lines: different documents of a class count
-    once too. Counts are combined before each of the two shuffles.
+    Documents are distinct if their texts differ, so exact copies of one text count once. Each document gives a line
+    once; equal (host, line, text) are combined before the first shuffle, counts before the second.
     """
-    what = F.col("whole_text") if whole else F.floor(F.sqrt("n_words")).alias("size_class")
-    lines = measured.select("host", what, F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
+    lines = measured.select("host", "whole_text", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
     docs = lines.distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
     often = docs.where(F.col("n_docs") > limit)
     return often.select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "h")
@@ -111,16 +111,17 @@ def judge(
     host_col: str = "source",
     limit: int = LINE_LIMIT,
     min_left_percent: int = MIN_LEFT_PERCENT,
-    whole: bool = False,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Base counts and verdict per row of `docs`: doc_id, the counts, left_words, frequent (hashes), base_failed, kept.
+    """Base counts and verdict per row of `docs`: row, doc_id, the counts, left_words, frequent (hashes), base_failed,
+    kept.
 
     A document fails the base rules with fewer than 50 words or over half of its words in repeated windows. It is
     depleted when under `min_left_percent` of its words stand outside frequent lines. NULL host: a host of its own.
     Repeated rows are judged one by one. An empty table gives no rows.
     """
-    rows = cut(measures(docs, id_col, text_col, host_col, whole).withColumn("row", F.monotonically_increasing_id()))
-    often = cut(frequent_lines(rows, limit, whole))
+    rows = cut(measures(docs, id_col, text_col, host_col, row_col))
+    often = cut(frequent_lines(rows, limit))
     lines = rows.select(
         "row", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.explode("lines").alias("l")
     ).select("row", "host", "no_host", "l.h", "l.n")
@@ -130,6 +131,7 @@ def judge(
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.join(gone, "row", "left").select(
+        "row",
         "doc_id",
         "n_words",
         "word_chars",
@@ -146,15 +148,12 @@ def judge(
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The kept documents with their own columns; frequent lines are taken out of the texts.
 
-    Lines are counted by documents whose texts differ, unless `whole=False` is asked for.
-    Rows without a doc_id can't be matched with their verdict and stay as they are.
+    Rows have a key of their own, so each row stands by its own text, whatever its doc_id: NULL or repeated ids are
+    judged like any other. An empty table gives no rows.
     """
-    verdict = judge(docs, **{"whole": True} | options)
-    word = verdict.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max("kept").alias("__kept"), F.array_distinct(F.flatten(F.collect_set("frequent"))).alias("__gone")
-    )
-    gone = F.coalesce("__gone", _empty("bigint"))
-    kept = F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains(gone, line_key(x)) & x.rlike(WORD)))
-    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    joined = docs.join(word, F.col("doc_id") == F.col("__id"), "left").where(F.coalesce("__kept", F.lit(True)))
-    return joined.withColumn("text", text).select(*docs.columns)
+    table = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    verdict = judge(table, row_col="__row", **options).where("kept")
+    verdict = verdict.select(F.col("row").alias("__row"), F.col("frequent").alias("__gone"))
+    kept = F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains("__gone", line_key(x)) & x.rlike(WORD)))
+    text = F.when(F.size("__gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return table.join(verdict, "__row").withColumn("text", text).select(*docs.columns)

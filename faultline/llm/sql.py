@@ -16,10 +16,10 @@ win AS (SELECT row, unnest(range(len(w) - 2)) AS i,
 again AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, x) > 1),
 covered AS (SELECT row, sum(n) AS n FROM (
           SELECT row, least(3, coalesce(lead(i) OVER (PARTITION BY row ORDER BY i) - i, 3)) AS n FROM again) GROUP BY row),
-lines AS (SELECT row, host, no_host, size_class, len(regexp_extract_all(l, {_WORD})) AS n,
+lines AS (SELECT row, host, no_host, t, len(regexp_extract_all(l, {_WORD})) AS n,
           lower(trim(regexp_replace(l, {_SPACE}, ' ', 'g'), ' ')) AS h
-          FROM (SELECT row, host, no_host, floor(sqrt(len(w))) AS size_class, unnest(lines) AS l FROM w)),
-often AS (SELECT host, no_host, h FROM lines GROUP BY ALL HAVING count(DISTINCT size_class) > 10),
+          FROM (SELECT row, host, no_host, md5(t) AS t, unnest(lines) AS l FROM w)),
+often AS (SELECT host, no_host, h FROM lines GROUP BY ALL HAVING count(DISTINCT t) > 10),
 gone AS (SELECT row, sum(n) AS n FROM lines JOIN often USING (host, no_host, h) GROUP BY row),
 f AS (SELECT w.row, doc_id, len(w) AS n_words, length(regexp_replace(t, {_SPACE}, '', 'g')) AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
