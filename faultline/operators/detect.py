@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from faultline.fixed_values import LOOKBACK, MIN_SCORED_STEPS, NEVER, SUSTAIN, TAIL, WINDOW
 from faultline.operators.blocks import BLOCK, number_rows
-from faultline.operators.joins import asof_step, attach, in_range
+from faultline.operators.joins import asof_step, attach
+from faultline.operators.spans import first_covering, first_hot_of, level_of, over_windows
 
 
 def step_peaks(residuals: DataFrame) -> DataFrame:
@@ -112,13 +113,12 @@ def detected_windows(
     """Window of each fault out of the detected intervals.
 
     The first interval in which the labelled service exceeds mu + sigma; else the first interval; else
-    [T/3, T/3 + 30). This uses the label, so it is not a blind evaluation. `axis` is (system, n_steps).
+    [T/3, T/3 + 30). This uses the label, so it is not a blind evaluation. `axis` is (system, n_steps). Each hot step
+    of a service meets one interval, the first that holds it.
     """
     line = residuals.where(F.col("residual").isNotNull())
     hot = attach(line, base, ["system"], small=small).where(F.col("residual") > F.col("mu") + F.col("sigma"))
-    inside = in_range(
-        hot.select("system", "entity", "t_idx"), intervals.select("system", "start", "stop"), "t_idx", "start", "stop"
-    )
+    inside = hot.select("system", "entity", "t_idx").join(first_covering(intervals), ["system", "t_idx"])
     own = inside.groupBy("system", "entity").agg(F.min(F.struct("start", "stop")).alias("_own"))
     early = intervals.groupBy("system").agg(F.min(F.struct("start", "stop")).alias("_first"))
     joined = attach(faults, own, ["system", "entity"], "left", small)
@@ -136,26 +136,18 @@ def detected_windows(
 # --- crossings -------------------------------------------------------------------------------
 
 
-def first_crossing(threshold: Column) -> Column:
-    """Aggregate: first step above the threshold, NULL when none."""
-    return F.min(F.when(F.col("residual") > threshold, F.col("t_idx")))
-
-
 def window_crossings(
     residuals: DataFrame,
     windows: DataFrame,
     base: DataFrame,
     k: float = 3.0,
     longest: int | None = None,
-    small: bool | None = None,
 ) -> DataFrame:
     """First crossing of mu + k sigma per (window, entity); optionally only the window's first steps."""
-    asked = windows.select("system", "start", "stop").distinct()
-    limits = attach(asked, base, ["system"], small=small).withColumn("_thr", F.col("mu") + k * F.col("sigma"))
-    inside = in_range(residuals, limits.select("system", "start", "stop", "_thr"), "t_idx", "start", "stop", block=32)
+    found = over_windows(residuals, windows, level_of(base, k), sums=False)
     if longest is not None:
-        inside = inside.where(F.col("t_idx") < F.col("start") + longest)
-    return inside.groupBy("system", "start", "stop", "entity").agg(first_crossing(F.col("_thr")).alias("first_idx"))
+        found = found.withColumn("first_idx", F.when(F.col("first_idx") < F.col("start") + longest, F.col("first_idx")))
+    return found
 
 
 def earliest(crossings: DataFrame) -> DataFrame:
@@ -172,7 +164,6 @@ def time_hits(
     residuals: DataFrame,
     base: DataFrame,
     rule: str,
-    small: bool | None = None,
 ) -> DataFrame:
     """Add `time_hit` to faults with their incident window.
 
@@ -191,10 +182,7 @@ def time_hits(
     )
     # Faults of one service and window share the answer, so ask once per distinct question.
     asked = limited.select("system", "entity", "_lo", "_hi").distinct()
-    levels = attach(asked, base, ["system"], small=small).withColumn("_thr", F.col("mu") + k * F.col("sigma"))
-    laid = levels.withColumnRenamed("entity", "_who").select("system", "_who", "_lo", "_hi", "_thr")
-    inside = in_range(residuals, laid, "t_idx", "_lo", "_hi", block=32).where(F.col("entity") == F.col("_who"))
-    seen = inside.groupBy("system", "entity", "_lo", "_hi").agg(first_crossing(F.col("_thr")).alias("first_idx"))
+    seen = first_hot_of(residuals, asked, level_of(base, k), "_lo", "_hi")
     joined = attach(limited, seen, ["system", "entity", "_lo", "_hi"], "left", small=False).drop("_lo", "_hi")
     first = F.col("first_idx")
     if rule == "any":

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.fixed_values import EVIDENCE_WEIGHTS, NEVER
-from faultline.operators.joins import SALTS, in_range
+from faultline.operators.joins import SALTS
+from faultline.operators.spans import over_windows
 
 WINDOW_KEY = ("system", "start", "stop")
 
@@ -13,11 +14,9 @@ WINDOW_KEY = ("system", "start", "stop")
 def window_means(residuals: DataFrame, windows: DataFrame) -> DataFrame:
     """Mean residual per (window, entity); NULL for entities without any scored step.
 
-    Windows are made distinct first: faults that share a window share the work.
+    Windows are made distinct first: faults that share a window share the work. Two lookups per window and entity.
     """
-    asked = windows.select(*WINDOW_KEY).distinct()
-    inside = in_range(residuals, asked, "t_idx", "start", "stop", block=32)
-    return inside.groupBy(*WINDOW_KEY, "entity").agg(F.avg("residual").alias("mean_residual"))
+    return over_windows(residuals, windows).select(*WINDOW_KEY, "entity", "mean_residual")
 
 
 def ranked(scores: DataFrame, by: str, out: str = "rank", missing: float = -99.0) -> DataFrame:
@@ -47,7 +46,7 @@ def top_names(rankings: DataFrame, k: int = 3) -> DataFrame:
 
 def fuse_evidence(
     means: DataFrame,
-    crossings: DataFrame,
+    crossings: DataFrame | None,
     downstream: DataFrame,
     drift: DataFrame,
     weights: dict[str, float] = EVIDENCE_WEIGHTS,
@@ -58,11 +57,12 @@ def fuse_evidence(
     r: min-max residual (0.1 when flat). t: 1 - first / (latest first + 1), 0 without a crossing.
     p: downstream / (max + 1). d: deviation / (max + 1e-8).
     `sentinel` puts entities without a crossing into the latest first (published behaviour: 9999),
-    which flattens t; by default only real crossings count.
+    which flattens t; by default only real crossings count. Without `crossings`, `means` has `first_idx` itself.
     """
+    if crossings is not None:
+        means = means.join(crossings.select(*WINDOW_KEY, "entity", "first_idx"), [*WINDOW_KEY, "entity"], "left")
     joined = (
-        means.join(crossings.select(*WINDOW_KEY, "entity", "first_idx"), [*WINDOW_KEY, "entity"], "left")
-        .join(downstream.select("system", "entity", "n_downstream"), ["system", "entity"], "left")
+        means.join(downstream.select("system", "entity", "n_downstream"), ["system", "entity"], "left")
         .join(drift.select("system", "entity", "deviation"), ["system", "entity"], "left")
         .withColumn("n_downstream", F.coalesce("n_downstream", F.lit(0)))
         .withColumn("deviation", F.coalesce("deviation", F.lit(0.0)))
@@ -82,6 +82,6 @@ def fuse_evidence(
     return ranked(parts.withColumn("fused", total), "fused", "fused_rank")
 
 
-def published_fusion(means: DataFrame, crossings: DataFrame, downstream: DataFrame, drift: DataFrame) -> DataFrame:
+def published_fusion(means: DataFrame, crossings: DataFrame | None, downstream: DataFrame, drift: DataFrame) -> DataFrame:
     """`fuse_evidence` with the published sentinel."""
     return fuse_evidence(means, crossings, downstream, drift, sentinel=NEVER)

@@ -440,7 +440,7 @@ def w10(t):
     whole="start stop first_idx",
 )
 def w11(t):
-    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, small=t.small)
+    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0)
     return rows.select("start", "stop", "entity", F.coalesce("first_idx", F.lit(9999)).alias("first_idx"))
 
 
@@ -451,7 +451,7 @@ def w11(t):
     whole="start stop first_idx",
 )
 def w12(t):
-    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, small=t.small)
+    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0)
     return detect.earliest(rows).drop("system")
 
 
@@ -493,7 +493,7 @@ def w14(t):
     )
     out = None
     for rule, placed, base in asked:
-        hits = detect.time_hits(placed, t.residuals, base, rule, t.small)
+        hits = detect.time_hits(placed, t.residuals, base, rule)
         part = hits.select(F.lit(rule).alias("rule"), "fault_id", "first_idx", "time_hit")
         out = part if out is None else out.unionByName(part)
     return out

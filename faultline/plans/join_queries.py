@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.fixed_values import HOP_DECAY, HOP_DELAY, NODE_FEATURES
-from faultline.operators import detect, featurize, graph, grid, joins, rank
+from faultline.operators import detect, featurize, graph, grid, joins, rank, spans
 from faultline.plans.field_queries import VARIED_SQL, varied_pods
 from faultline.plans.oracle_views import F8, each, service_sql
 from faultline.plans.registry import query
@@ -169,10 +169,7 @@ def j13(t):
 )
 def j14(t):
     windows = t.reported_faults.select("system", "start", "stop").distinct()
-    inside = joins.in_range(t.residuals, windows, "t_idx", "start", "stop", block=32)
-    means = inside.groupBy("system", "start", "stop", "entity").agg(
-        F.avg("residual").alias("mean_residual"), F.count("*").alias("n_steps_in")
-    )
+    means = spans.over_windows(t.residuals, windows).withColumnRenamed("n_rows", "n_steps_in")
     return rank.for_faults(t.reported_faults, means).select(
         "fault_id", "start", "stop", "entity", "mean_residual", "n_steps_in"
     )

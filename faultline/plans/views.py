@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.fixed_values import EDGE_FEATURES, FAULT_SECONDS, NODE_FEATURES
 from faultline.functions.names import service_of
-from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, score, stats, windows
+from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, score, spans, stats, windows
 from faultline.session import cut
 
 SYSTEM = "events"
@@ -371,11 +371,8 @@ class Tables:
         return score.mix_concentration(self.type_counts, small=self.small)
 
     def fusion(self, how=rank.fuse_evidence) -> DataFrame:
-        crossings = detect.window_crossings(
-            self.residuals, self.peak_faults, self.overall, k=2.0, small=self.small
-        )
-        means = rank.window_means(self.residuals, self.peak_faults)
-        return how(means, crossings, self.downstream, self.drift)
+        seen = spans.over_windows(self.residuals, self.peak_faults, spans.level_of(self.overall, 2.0))
+        return how(seen, None, self.downstream, self.drift)
 
     @cached_property
     def fused(self) -> DataFrame:
@@ -384,5 +381,5 @@ class Tables:
     @cached_property
     def results(self) -> DataFrame:
         """One row per fault, window around the labelled service's peak."""
-        hits = detect.time_hits(self.peak_faults, self.residuals, self.overall, "peak", self.small)
+        hits = detect.time_hits(self.peak_faults, self.residuals, self.overall, "peak")
         return evaluate.fault_results(hits, self.peak_ranks, evaluate.role_inference(self.peak_ranks))
