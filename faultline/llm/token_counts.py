@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 LIMIT = 2048
-#: Words whose counts a worker keeps; beyond, the cache starts anew, so a worker's memory stays bounded.
-CACHE_WORDS = 300_000
-POSITION_BITS = 32
+#: Words, and pieces of words, in one generation of a worker's cache, which keeps two.
+CACHE_WORDS = 400_000
+#: A word of these bytes is split into pieces by `ASCII_PIECE`, the tokenizer's own pattern on such bytes.
+PRINTABLE = bytes(range(0x21, 0x7F))
+ASCII_PIECE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
 class Merges:
@@ -25,8 +28,9 @@ class Merges:
 
     def __init__(self, vocabulary: dict[str, int], merges: list, word_end: str):
         self.symbol, self.word_end = vocabulary, word_end
+        self.bits = max(vocabulary.values(), default=0).bit_length()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        self.rank = {vocabulary[a] << 32 | vocabulary[b]: r for r, (a, b) in enumerate(pairs)}
+        self.rank = {vocabulary[a] << self.bits | vocabulary[b]: r for r, (a, b) in enumerate(pairs)}
         self.made = [vocabulary[a + b] for a, b in pairs]
 
     def count(self, piece: str) -> int:
@@ -35,39 +39,63 @@ class Merges:
         Symbols are linked both ways. The heap holds (rank, position) of adjacent pairs; the lowest is popped and
         merged into its left symbol unless one of its two symbols has changed since. O(n log n) for n symbols.
         """
-        known = self.symbol
+        known, bits = self.symbol, self.bits
         symbols = [known[c] for c in piece[:-1] if c in known]
         if piece and (last := piece[-1] + self.word_end) in known:
             symbols.append(known[last])
         n = live = len(symbols)
         if n < 2:
             return n
-        rank, made = self.rank, self.made
-        heap = [rank[pair] << POSITION_BITS | i for i in range(n - 1) if (pair := symbols[i] << 32 | symbols[i + 1]) in rank]
+        rank, made, place = self.rank, self.made, n.bit_length()
+        low = (1 << place) - 1
+        heap, left = [], symbols[0]
+        for i in range(1, n):
+            right = symbols[i]
+            if (pair := left << bits | right) in rank:
+                heap.append(rank[pair] << place | i - 1)
+            left = right
+        if not heap:
+            return n
         heapify(heap)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        symbols.append(-1)  # past the end; pairs with it have no rank
+        before, after = list(range(-1, n)), list(range(1, n + 2))
+        symbols.append(-1)  # past the end, as are symbols that were merged away: pairs with it have no rank
         while heap:
             top = heappop(heap)
-            i, r = top & (1 << POSITION_BITS) - 1, top >> POSITION_BITS
+            i = top & low
             j = after[i]
-            if symbols[i] < 0 or symbols[j] < 0 or rank.get(symbols[i] << 32 | symbols[j]) != r:
+            if symbols[i] < 0 or rank.get(symbols[i] << bits | symbols[j], -1) != top >> place:
                 continue
-            symbols[i], symbols[j] = made[r], -1
+            symbols[i] = new = made[top >> place]
+            symbols[j] = -1
             live -= 1
-            after[i] = right = after[j]
-            if right < n:
-                before[right] = i
-                if (pair := symbols[i] << 32 | symbols[right]) in rank:
-                    heappush(heap, rank[pair] << POSITION_BITS | i)
-            left = before[i]
-            if left >= 0 and (pair := symbols[left] << 32 | symbols[i]) in rank:
-                heappush(heap, rank[pair] << POSITION_BITS | left)
+            after[i] = j = after[j]
+            before[j] = i
+            if (pair := new << bits | symbols[j]) in rank:
+                heappush(heap, rank[pair] << place | i)
+            j = before[i]
+            if j >= 0 and (pair := symbols[j] << bits | new) in rank:
+                heappush(heap, rank[pair] << place | j)
         return live
 
 
-class Counter(dict):
-    """word (UTF-8 bytes without white space) -> tokens, counted when first met.
+class _Kept(dict):
+    """A cache of two generations: when the young one is full the old one goes, so what is in use stays."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count, self.old = count, {}
+
+    def __missing__(self, key):
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        n = self.old.get(key)
+        self[key] = n = self.count(key) if n is None else n
+        return n
+
+
+class Counter:
+    """Tokens of a text, word by word (UTF-8 bytes without white space); a word is counted when first met.
 
     A word is normalised and split into pieces as the tokenizer file says; its merges are done by `Merges`. The
     tokenizer joins nothing across white space, so a text has the sum of its words. A special token's string counts
@@ -75,7 +103,6 @@ class Counter(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         if held["model"]["type"] != "BPE" or held["model"].get("continuing_subword_prefix"):
@@ -84,24 +111,29 @@ class Counter(dict):
         tokenizer = Tokenizer.from_file(path)
         self.normalize = tokenizer.normalizer.normalize_str
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
-        special = sorted((t["content"] for t in held["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
-
-    def __missing__(self, word: bytes) -> int:
-        parts = self.special.split(text := word.decode())
-        n = len(self.special.findall(text))
-        for part in parts:
-            if part:
-                n += sum(self.merges.count(piece) for piece, _ in self.split(self.normalize(part)))
-        self[word] = n
-        return n
+        self.special = sorted((t["content"].encode() for t in held["added_tokens"]), key=len, reverse=True)
+        self.any_special = re.compile(b"|".join(map(re.escape, self.special)) or b"(?!)")
+        cuts = held["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        lowers = [n["type"] for n in held["normalizer"].get("normalizers", [])][-1:] == ["Lowercase"]
+        self.plain = cuts == ASCII_PIECE and lowers
+        self.pieces, self.words = _Kept(self.merges.count), _Kept(self._word)
+
+    def _part(self, part: bytes) -> int:
+        if self.plain and not part.translate(None, PRINTABLE):
+            found = ASCII_PIECES(part.decode().lower())
+        else:
+            found = [piece for piece, _ in self.split(self.normalize(part.decode()))]
+        if len(found) == 1:
+            return self.pieces[found[0]]
+        return sum(map(self.pieces.__getitem__, found))
+
+    def _word(self, word: bytes) -> int:
+        if any(s in word for s in self.special):
+            return len(self.any_special.findall(word)) + sum(map(self._part, filter(None, self.any_special.split(word))))
+        return self._part(word)
 
     def of(self, text: bytes | None) -> int:
-        if not text:
-            return 0
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return sum(map(self.__getitem__, text.split()))
+        return sum(map(self.words.__getitem__, text.split())) if text else 0
 
 
 @lru_cache(maxsize=2)
@@ -115,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
     A map without a shuffle: each worker reads whole texts and keeps the counts of the words it has met. NULL and
     empty texts have 0 bytes and 0 tokens. Repeated rows and NULL ids are counted row by row; an empty table gives no
-    rows; other columns, whatever their names, aren't read. A text, or a word of millions of letters, is held once.
+    rows; other columns, whatever their names, aren't read. A word of millions of letters takes n log n steps.
     """
 
     @F.pandas_udf("bigint")
