@@ -61,7 +61,7 @@ def any_feature_active(features: Sequence[str] = NODE_FEATURES) -> Column:
 # --- calls -----------------------------------------------------------------------------------
 
 
-def resolve_calls(spans: DataFrame, names: DataFrame, entry: str = ENTRY_SERVICE, small: bool | None = None) -> DataFrame:
+def resolve_calls(spans: DataFrame, names: DataFrame, entry: str = ENTRY_SERVICE) -> DataFrame:
     """Caller and callee of each span.
 
     The callee is the first known service named in the operation other than the caller. An unresolved
@@ -69,7 +69,7 @@ def resolve_calls(spans: DataFrame, names: DataFrame, entry: str = ENTRY_SERVICE
     unresolved is dropped.
     """
     read = spans.withColumn("src", service_of(F.col("pod"))).withColumn("op", F.lower("operation"))
-    named = first_containing(read.where(F.col("op").isNotNull()), "op", names, "named", exclude="src", small=small)
+    named = first_containing(read.where(F.col("op").isNotNull()), "op", names, "named", exclude="src")
     fallback = F.when((F.col("parent") == "root") & (F.col("src") != entry), F.lit(entry))
     return named.withColumn("dst", F.coalesce(F.col("named"), fallback)).where(F.col("dst").isNotNull())
 
@@ -100,7 +100,7 @@ def edge_features(
     edges_small: bool | None = None,
 ) -> DataFrame:
     """Spans to features of the edges that the dependency graph knows; names and edges are counted each by themselves."""
-    resolved = resolve_calls(spans, names, entry, small)
+    resolved = resolve_calls(spans, names, entry)
     known = attach(resolved, edges.select("system", "src", "dst").distinct(), ["system", "src", "dst"], "left_semi", edges_small)
     return call_features(timed_calls(known, steps))
 
@@ -151,7 +151,7 @@ def name_order_slots(kpis: DataFrame) -> DataFrame:
 # --- logs ------------------------------------------------------------------------------------
 
 
-def read_logs(logs: DataFrame, names: DataFrame, small: bool | None = None) -> DataFrame:
+def read_logs(logs: DataFrame, names: DataFrame) -> DataFrame:
     """Log lines with second, service and severity; lines of unknown services are dropped."""
     read = logs.select(
         "system",
@@ -159,7 +159,7 @@ def read_logs(logs: DataFrame, names: DataFrame, small: bool | None = None) -> D
         F.lower("pod").alias("pod"),
         log_severity(F.col("log")).alias("severity"),
     )
-    found = first_containing(read, "pod", names, "entity", small=small)
+    found = first_containing(read, "pod", names, "entity")
     return found.where(F.col("entity").isNotNull())
 
 

@@ -66,26 +66,50 @@ def encode_edges(edges: DataFrame, nodes: DataFrame, small: bool | None = None)
 # --- first substring match -------------------------------------------------------------------
 
 
-def _pieces(text: Column, sizes: Column) -> Column:
-    """All distinct substrings of `text` whose length is one of `sizes`."""
+#: Names that are tested one by one in a single expression; more go through the index.
+INLINE_NAMES = 32
+#: Letters of the pieces under which names are posted.
+GRAM = 3
 
-    def of_size(n: Column) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substring(text, i, n))
 
-    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+def grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct substrings of `size` letters; a shorter text is one piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
 
 
-def _hits(rows: DataFrame, text: str, names: DataFrame) -> DataFrame:
-    """(key text, name) pairs where the text contains the name, by an equality join on substrings.
+def _probes(text: Column) -> Column:
+    """All pieces under which a name inside `text` can be posted: of full size, shorter ones, and the empty one."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[grams(text, k) for k in range(1, GRAM + 1)]))
 
-    Every piece of the text that has the length of some name is looked up, so only true matches meet.
+
+def containing_pairs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(system, text, name) for distinct texts (system, text) and distinct names (system, name) inside them.
+
+    Each name is posted once, under the piece of it that the fewest names have. A text looks up its own pieces, and
+    what it meets is compared in full. Work follows the pieces of the texts and the postings they meet, not texts times
+    names. The texts' side is the fact of the join: postings are broadcast when counted as few, else both are salted.
     """
-    sizes = names.groupBy("system").agg(F.collect_set(F.length("name")).alias("_sizes"))
-    cut_up = rows.join(sizes, "system").select("system", text, F.explode(_pieces(F.col(text), F.col("_sizes"))).alias("name"))
-    return cut_up.join(names, ["system", "name"])
+    pieces = names.select("system", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    counts = pieces.groupBy("system", "gram").agg(F.count("*").alias("_n"))
+    rare = pieces.join(counts, ["system", "gram"]).groupBy("system", "name").agg(F.min(F.struct("_n", "gram")).alias("_g"))
+    postings = rare.select("system", F.col("_g.gram").alias("gram"), "name")
+    asked = texts.select("system", "text", F.explode(_probes(F.col("text"))).alias("gram"))
+    met = attach(asked, postings, ["system", "gram"])
+    return met.where(F.contains("text", "name")).select("system", "text", "name")
+
+
+def _inline(text: str, names: list, exclude: str | None, either: bool) -> Column:
+    """The first of a few names, tested in order within one expression."""
+    tests = []
+    for n in names:
+        hit = F.contains(F.col(text), F.lit(n.name))
+        if either:
+            hit = hit | F.contains(F.lit(n.name), F.col(text))
+        if exclude:
+            hit = hit & (F.lit(n.name) != F.col(exclude))
+        tests.append(F.when((F.col("system") == n.system) & hit, F.lit(n.name)))
+    return F.coalesce(*tests, F.lit(None).cast("string"))
 
 
 def first_containing(
@@ -95,50 +119,40 @@ def first_containing(
     out: str,
     exclude: str | None = None,
     either: bool = False,
-    small: bool | None = None,
+    inline: bool | None = None,
 ) -> DataFrame:
     """Add `out`: the first name (by `idx`) contained in `text`, or NULL.
 
     `names` holds (system, name, idx). `exclude` is a column whose value may not be chosen;
     with `either`, a text contained in the name counts as well.
 
-    A counted name list travels as one sorted array per system and is scanned map-side. Beyond the
-    limit, the distinct texts are cut into substrings and joined on equality.
+    At most `INLINE_NAMES` names are tested within the row. Beyond, the distinct texts find their names through an
+    index of rare pieces (`containing_pairs`), in both directions if asked; no row carries a list of names.
     """
-    if small is None:
-        small = fits(names)
-    if small:
-        lists = names.groupBy("system").agg(
-            F.sort_array(F.collect_list(F.struct("idx", "name"))).alias("_names")
-        )
-
-        def matches(entry: Column) -> Column:
-            hit = F.contains(F.col(text), entry["name"])
-            if either:
-                hit = hit | F.contains(entry["name"], F.col(text))
-            return hit & (entry["name"] != F.col(exclude)) if exclude else hit
-
-        found = F.get(F.filter("_names", matches), F.lit(0))["name"]
-        return attach(rows, lists, ["system"], "left", small=True).withColumn(out, found).drop("_names")
-
+    if inline is None:
+        inline = fits(names, INLINE_NAMES)
+    if inline:
+        few = sorted(names.select("system", "name", "idx").collect(), key=lambda n: (n.idx, n.name))
+        return rows.withColumn(out, _inline(text, few, exclude, either))
     keys = ["system", text] + ([exclude] if exclude else [])
     asked = rows.select(*keys).distinct()
-    texts = asked.select("system", text).distinct()
-    pairs = _hits(texts, text, names)
+    texts = asked.select("system", F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    whole = names.select("system", "name").distinct()
+    pairs = containing_pairs(texts, whole)
     if either:
-        as_names = texts.select("system", F.col(text).alias("name"))
-        back = _hits(names.withColumnRenamed("name", "_whole"), "_whole", as_names)
-        back = back.select("system", F.col("name").alias(text), F.col("_whole").alias("name")).join(
-            names, ["system", "name"]
-        )
-        pairs = pairs.select("system", text, "name", "idx").unionByName(back.select("system", text, "name", "idx"))
+        swapped = containing_pairs(whole.withColumnRenamed("name", "text"), texts.withColumnRenamed("text", "name"))
+        pairs = pairs.unionByName(swapped.select("system", F.col("name").alias("text"), F.col("text").alias("name")))
+    ranked = names.groupBy("system", "name").agg(F.min("idx").alias("idx"))
+    found = attach(pairs, ranked, ["system", "name"]).withColumnRenamed("text", text)
     if exclude:
-        pairs = asked.join(pairs, ["system", text]).where(F.col("name") != F.col(exclude))
-    best = pairs.groupBy(*keys).agg(F.min_by("name", "idx").alias(out))
-    return attach(rows, best, keys, "left", small=False)
+        own = asked.where(F.col(exclude).isNotNull())
+        found = attach(found, own, ["system", text]).where(F.col("name") != F.col(exclude))
+    best = found.groupBy(*keys).agg(F.min(F.struct("idx", "name")).alias("_best"))
+    best = best.select(*keys, F.col("_best.name").alias(out))
+    return attach(rows, best, keys, "left")
 
 
-def match_components(parts: DataFrame, names: DataFrame, small: bool | None = None) -> DataFrame:
+def match_components(parts: DataFrame, names: DataFrame, small: bool | None = None, inline: bool | None = None) -> DataFrame:
     """Map fault components to services in three tiers: equal, substring either way, infra word.
 
     Adds `service` and `tier` (1, 2, 3, or NULL when unmapped). Infra word i stands for slot i mod N.
@@ -150,7 +164,7 @@ def match_components(parts: DataFrame, names: DataFrame, small: bool | None = No
     equal = plain.groupBy("system", F.col("name").alias("_part")).agg(F.min_by("_full", "idx").alias("_s1"))
     step = attach(asked, equal, ["system", "_part"], "left", small)
     folded = plain.groupBy("system", "name").agg(F.min("idx").alias("idx"), F.min_by("_full", "idx").alias("_s2"))
-    step = first_containing(step, "_part", folded.drop("_s2"), "_n2", either=True, small=small)
+    step = first_containing(step, "_part", folded.drop("_s2"), "_n2", either=True, inline=inline)
     step = attach(step, folded.select("system", F.col("name").alias("_n2"), "_s2"), ["system", "_n2"], "left", small)
     word = F.array_position(
         F.transform(F.array(*[F.lit(w) for w in INFRA_WORDS]), lambda w: F.contains(F.col("_part"), w)), F.lit(True)
@@ -171,63 +185,65 @@ def match_components(parts: DataFrame, names: DataFrame, small: bool | None = No
 # --- time ------------------------------------------------------------------------------------
 
 
+#: Bytes that the packed steps may take to be sent to every executor.
+ASOF_BYTES = 8 << 20
+#: Steps looked through for one event, on average at most.
+ASOF_STEPS = 64
+
+
 def asof_step(
     events: DataFrame,
     steps: DataFrame,
     ts: str = "ts",
     after_last: str = "drop",
     span: int = 3600,
+    budget: int = ASOF_BYTES,
 ) -> DataFrame:
     """Add `step_ts`: the last time step at or before each event.
 
-    Events before the first step are dropped; events after the last are dropped too, or kept on the
-    last step with `after_last="keep"`.
+    Events without a time or before the first step are dropped; events after the last are dropped too, or kept on
+    the last step with `after_last="keep"`.
 
-    Steps are packed into arrays per `span` seconds (at most `span` values each) together with the
-    step carried in from the left, so an event needs one equality lookup and no sort: no event
-    is ever moved to a task that holds a whole system.
+    The steps are counted first: how many there are, how dense in buckets of `span` seconds, and how many buckets lie
+    between the first and the last. If they fit into `budget` bytes, events look them up where they are
+    (`_asof_lookup`); else, also where long gaps would make a long table, both sides are merged (`_asof_merge`).
     """
-    bucket = lambda c: F.floor(F.col(c) / span).cast("bigint")
-    packed = steps.groupBy("system", bucket("ts").alias("_b")).agg(
-        F.collect_list("ts").alias("_steps"), F.max("ts").alias("_top")
-    )
-    order = Window.partitionBy("system").orderBy("_b")
-    whole = Window.partitionBy("system")
-    spread = packed.select(
-        "system",
-        "_steps",
-        "_top",
-        F.col("_b").alias("_from"),
+    events = events.where(F.col(ts).isNotNull())
+    per = steps.groupBy("system", F.floor(F.col("ts") / span).alias("b")).agg(F.count("*").alias("n"))
+    of = per.groupBy("system").agg(F.sum("n").alias("n"), F.count("*").alias("held"), (F.max("b") - F.min("b") + 1).alias("all"))
+    n, held, whole = of.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "held", "all")]).first()
+    finer = max(1, min(span, n // max(1, held) // ASOF_STEPS))
+    if 8 * n + 64 * whole * finer <= budget:
+        return _asof_lookup(events, steps, ts, after_last, max(1, span // finer))
+    return _asof_merge(events, steps, ts, after_last, max(1, span // finer))
+
+
+def _asof_lookup(events: DataFrame, steps: DataFrame, ts: str, after_last: str, span: int) -> DataFrame:
+    """Steps packed per `span` seconds with the step carried in from the left and sent to all executors; an event needs
+    one equality lookup, and none is moved. Empty buckets between occupied ones have a row."""
+    bucket = lambda c: F.floor(F.col(c) / span).cast("bigint")
+    packed = steps.groupBy("system", bucket("ts").alias("_b")).agg(F.collect_list("ts").alias("_steps"), F.max("ts").alias("_top"))
+    order, whole = Window.partitionBy("system").orderBy("_b"), Window.partitionBy("system")
+    rows = packed.select(
+        "*",
         F.lag("_top").over(order).alias("_carry"),
         F.lead("_b").over(order).alias("_next"),
         F.max("_top").over(whole).alias("_last"),
-    ).select(
-        "system",
-        "_last",
-        "_from",
-        "_steps",
-        "_top",
-        "_carry",
-        F.explode(F.sequence("_from", F.coalesce(F.col("_next") - 1, F.col("_from")))).alias("_b"),
-    )
-    home = F.col("_b") == F.col("_from")
-    table = spread.select(
+    ).select("*", F.explode(F.sequence("_b", F.coalesce(F.col("_next") - 1, F.col("_b")))).alias("_at"))
+    home = F.col("_b") == F.col("_at")
+    table = rows.select(
         "system",
-        "_b",
+        F.col("_at").alias("_b"),
         "_last",
         F.when(home, F.col("_steps")).otherwise(F.array().cast("array<bigint>")).alias("_steps"),
         F.when(home, F.col("_carry")).otherwise(F.col("_top")).alias("_carry"),
     )
-    small = fits(table)
-    asked = events.withColumn("_b", bucket(ts))
     if after_last == "keep":
         ends = steps.groupBy("system").agg(F.max("ts").alias("_end"))
-        asked = attach(asked, ends, ["system"], small=small)
-        asked = asked.withColumn("_at", F.least(F.col(ts), F.col("_end")))
-        asked = asked.withColumn("_b", bucket("_at")).drop("_end")
+        events = attach(events, ends, ["system"], small=True).withColumn("_at", F.least(F.col(ts), F.col("_end"))).drop("_end")
     else:
-        asked = asked.withColumn("_at", F.col(ts))
-    joined = attach(asked, table, ["system", "_b"], small=small)
+        events = events.withColumn("_at", F.col(ts))
+    joined = attach(events.withColumn("_b", bucket("_at")), table, ["system", "_b"], small=True)
     inside = F.array_max(F.filter("_steps", lambda s: s <= F.col("_at")))
     found = joined.withColumn("step_ts", F.coalesce(inside, F.col("_carry"))).where(F.col("step_ts").isNotNull())
     if after_last == "drop":
@@ -235,6 +251,34 @@ def asof_step(
     return found.drop("_b", "_steps", "_carry", "_last", "_at")
 
 
+def _asof_merge(events: DataFrame, steps: DataFrame, ts: str, after_last: str, span: int) -> DataFrame:
+    """Events and steps sorted together in ranges of `span` seconds, and one step carried over each range's lower end.
+
+    Only ranges that hold an event or a step exist. Events of a range are dealt to `SALTS` tasks, steps go to each, so
+    a burst of events is no single task's work.
+    """
+    block = lambda c: F.floor(c / span).cast("bigint")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    known = steps.select("system", "ts").distinct()
+    held = F.struct(*[F.col(c) for c in events.columns])
+    asked = events.select("system", F.col(ts).alias("_at"), F.lit(None).cast("bigint").alias("_step"), held.alias("_e"), (F.rand(7) * SALTS).cast("int").alias("_salt"))
+    laid = known.select("system", F.col("ts").alias("_at"), F.col("ts").cast("bigint").alias("_step")).withColumn("_e", F.lit(None).cast(asked.schema["_e"].dataType)).withColumn("_salt", salts)
+    rows = asked.unionByName(laid).withColumn("_b", block(F.col("_at")))
+    # ranges with a step, and those of events, in order: what each takes over from the one before
+    ranges = events.select("system", block(F.col(ts)).alias("_b"), F.lit(None).cast("bigint").alias("_top")).distinct()
+    ranges = ranges.unionByName(known.groupBy("system", block(F.col("ts")).alias("_b")).agg(F.max("ts").cast("bigint").alias("_top")))
+    tops = ranges.groupBy("system", "_b").agg(F.max("_top").alias("_top"))
+    line = Window.partitionBy("system").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select("system", "_b", F.last("_top", ignorenulls=True).over(line).alias("_carry"), F.max("_top").over(Window.partitionBy("system")).alias("_last"))
+    inside = Window.partitionBy("system", "_b", "_salt").orderBy("_at", F.col("_e").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("_step", F.last("_step", ignorenulls=True).over(inside)).where(F.col("_e").isNotNull())
+    joined = attach(seen.select("system", "_b", "_at", "_step", "_e"), carry, ["system", "_b"])
+    found = joined.withColumn("step_ts", F.coalesce("_step", "_carry")).where(F.col("step_ts").isNotNull())
+    if after_last == "drop":
+        found = found.where(F.col("_at") <= F.col("_last"))
+    return found.select(*[F.col("_e")[c].alias(c) for c in events.columns], "step_ts")
+
+
 def fault_steps(steps: DataFrame, faults: DataFrame, duration: int = FAULT_SECONDS, how: str = "inner") -> DataFrame:
     """Steps with t0 <= ts < t0 + duration for some fault.
 

@@ -98,7 +98,7 @@ def a4_own(t):
     whole="w total errors warns severity_sum",
 )
 def a5(t):
-    lines = featurize.read_logs(t.logs, t.names, t.small)
+    lines = featurize.read_logs(t.logs, t.names)
     return featurize.log_grid(lines, t.entities, small=t.small).drop("system")
 
 
@@ -109,7 +109,7 @@ def a5(t):
     whole="ts n_logs",
 )
 def a6(t):
-    lines = featurize.read_logs(t.logs, t.names, t.small)
+    lines = featurize.read_logs(t.logs, t.names)
     return featurize.log_step_counts(lines, t.bare_steps).drop("system")
 
 
@@ -295,7 +295,7 @@ def a19(t):
     whole="n",
 )
 def a20(t):
-    lines = featurize.read_logs(t.logs, t.names, t.small)
+    lines = featurize.read_logs(t.logs, t.names)
     parts = [
         t.splits.groupBy(F.concat(F.lit("windows_"), F.col("split")).alias("item")).agg(F.count("*").alias("n")),
         t.steps.agg(F.count("*").alias("n")).select(F.lit("steps").alias("item"), "n"),

@@ -69,23 +69,23 @@ def j4_logs(t):
 @query("j5_named_callee", "SELECT pod, op, named FROM named")
 def j5(t):
     read = t.spans.select("system", "pod", service_of(F.col("pod")).alias("src"), F.lower("operation").alias("op"))
-    return joins.first_containing(read, "op", t.names, "named", exclude="src", small=t.small).select("pod", "op", "named")
+    return joins.first_containing(read, "op", t.names, "named", exclude="src").select("pod", "op", "named")
 
 
 @query("j6_callee_fallback", "SELECT pod, parent, src, dst FROM calls")
 def j6(t):
-    return featurize.resolve_calls(t.spans, t.names, ENTRY, t.small).select("pod", "parent", "src", "dst")
+    return featurize.resolve_calls(t.spans, t.names, ENTRY).select("pod", "parent", "src", "dst")
 
 
 @query("j7_known_calls", "SELECT pod, src, dst FROM known_calls")
 def j7(t):
-    calls = featurize.resolve_calls(t.spans, t.names, ENTRY, t.small)
+    calls = featurize.resolve_calls(t.spans, t.names, ENTRY)
     return joins.keep_known(calls, t.edges, ["system", "src", "dst"], t.edges_small).select("pod", "src", "dst")
 
 
 @query("j8_log_service", "SELECT pod, ts, severity, entity FROM lines_l WHERE entity IS NOT NULL", whole="ts")
 def j8(t):
-    return featurize.read_logs(t.logs, t.names, t.small).select("pod", "ts", "severity", "entity")
+    return featurize.read_logs(t.logs, t.names).select("pod", "ts", "severity", "entity")
 
 
 @query(
@@ -101,7 +101,7 @@ def j9(t):
         .otherwise(F.concat(F.lit("node-"), k.cast("string")))
     )
     rows = t.events.select("system", "event_id", word.alias("word"))
-    return joins.first_containing(rows, "word", t.names, "matched", either=True, small=t.small).select(
+    return joins.first_containing(rows, "word", t.names, "matched", either=True).select(
         "event_id", "word", "matched"
     )
 

@@ -30,15 +30,15 @@ def test_first_containing_both_ways(spark):
     rows = spark.createDataFrame([("s", w, rng.choice(["cart", "pay", "none"])) for w in words], "system string, w string, src string")
     for either in (False, True):
         for exclude in (None, "src"):
-            small = joins.first_containing(rows, "w", names, "hit", exclude, either, small=True)
-            large = joins.first_containing(rows, "w", names, "hit", exclude, either, small=False)
+            small = joins.first_containing(rows, "w", names, "hit", exclude, either, inline=True)
+            large = joins.first_containing(rows, "w", names, "hit", exclude, either, inline=False)
             assert bag(small) == bag(large), (either, exclude)
 
 
 def test_components_both_ways(spark):
     names = names_of(spark, ["cart_service", "payment", "front-end"])
     parts = spark.createDataFrame([("s", c) for c in ("CartService", "payment-1", "end", "Mysql02", "zzz", "node9")], "system string, component string")
-    small, large = (joins.match_components(parts, names, s) for s in (True, False))
+    small, large = (joins.match_components(parts, names, s, s) for s in (True, False))
     assert bag(small) == bag(large)
     got = {r.component: (r.service, r.tier) for r in small.collect()}
     assert got == {
