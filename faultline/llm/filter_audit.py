@@ -118,7 +118,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
 
     All files are read as available-now micro-batches, about `batches` of them. Texts are read where they lie and leave
     as digest and mask; equal ones of a task are combined, so a text in a third of all rows is a few rows per task.
-    State is keyed by text, `bucket_texts` keys to a group. Each micro-batch adds its changes to the counters in a
+    State is keyed by text, `bucket_texts` keys to a group; it lives in the state store that the session names, which for
+    a large corpus should be the one on disk (spark.sql.streaming.stateStore.providerClass). Each micro-batch adds its changes to the counters in a
     folder named by its number, so one that is run again after a failure replaces its own.
     """
     kinds = spark.read.parquet(path)
