@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from faultline.llm.common import BROADCAST_ROWS, short_batches
+from faultline.llm.common import BROADCAST_ROWS, attach_small, short_batches
 from faultline.session import cut
 
 KEY = b"surrogates"
@@ -33,6 +33,8 @@ SYLLABLES = {
     "cyrillic": ("б в г д з к л м н п р с т".split(), "а е и о у".split(), {"m": "н", "f": "а", "u": "е", "": "ов"}),
     "greek": ("β γ δ κ λ μ ν π ρ σ τ".split(), "α ε ι ο υ".split(), {"m": "ος", "f": "α", "u": "ι", "": "ης"}),
 }
+#: In the place of an attempt: the surrogate is that of a permutation of the format.
+PERMUTED = -1
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+"
 MENTION = re.compile(
     r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"""
@@ -162,6 +164,8 @@ def luhn(digits: str) -> int:
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """The canonical surrogate of an entity: same type and format, gender and script of a name; valid check digits
     stay valid. Later attempts give other values; where a format has little room, from the eighth on longer ones."""
+    if attempt == PERMUTED:
+        return permuted(key, kind, canon)
     s = _Stream(key, kind, canon, attempt)
     extra = attempt // 8
     if kind.startswith(("given", "family")):
@@ -190,6 +194,77 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     return "".join(chr(97 + s.pick(26)) for _ in range(extra)) + made + dot + top
 
 
+# --- formats that may fill up ---------------------------------------------------------------
+
+#: A format counts as crowded when more than one in so many of its values are entities of the corpus.
+CROWDED = 8
+ROUNDS = 8
+
+
+def closed_format(kind: str, canon: str) -> tuple[str, int, int, int] | None:
+    """(what stays of the value, sizes a and b of the part that changes, number in it) where a format has a fixed
+    number of values, a * b; None where longer surrogates can always be made."""
+    if kind == "ip":
+        octets = canon.split(".")
+        keep = 1 if octets[0] in ("10", "127") else 2 if octets[0] in ("192", "172") else 0
+        if not keep:
+            return None  # surrogates of public addresses have other first octets and much room
+        number = 0
+        for o in octets[keep:]:
+            number = number * 256 + int(o)
+        return ".".join(octets[:keep]), 256 ** (3 - keep), 256, number
+    if kind in ("card", "ssn", "phone"):
+        keep = len(canon) - 10 if canon.startswith("+") and len(canon) > 10 else 1 if kind == "card" else int(canon.startswith("+"))
+        body = canon[keep:-1] if kind == "card" else canon[keep:]
+        rest = f"-{luhn(canon)}" if kind == "card" else ""  # keeps valid numbers valid and others not
+        half = len(body) // 2
+        return f"{canon[:keep]}-{len(canon)}{rest}", 10 ** (len(body) - half), 10**half, int(body)
+    return None
+
+
+def permute(key: bytes, label: str, a: int, b: int, number: int) -> int:
+    """A keyed permutation of the numbers below a * b that moves every one of them.
+
+    An alternating Feistel walk on the pair (number // b, number % b) gives a permutation E; it is undone after a step
+    of a keyed distance, so the whole is E inverse (E(x) + d), which has no fixed point.
+    """
+
+    def noise(i: int, half: int, size: int) -> int:
+        seed = f"{label}\0{i}\0{half}".encode("utf-8", "replace")
+        return int.from_bytes(hmac.new(key, seed, hashlib.sha256).digest()[:16], "big") % size
+
+    x, y = divmod(number, b)
+    for i in range(ROUNDS):
+        if i % 2:
+            y = (y + noise(i, x, b)) % b
+        else:
+            x = (x + noise(i, y, a)) % a
+    x, y = divmod((x * b + y + 1 + noise(ROUNDS, 0, a * b - 1)) % (a * b), b)
+    for i in reversed(range(ROUNDS)):
+        if i % 2:
+            y = (y - noise(i, x, b)) % b
+        else:
+            x = (x - noise(i, y, a)) % a
+    return x * b + y
+
+
+def permuted(key: bytes, kind: str, canon: str) -> str:
+    """The surrogate of an entity of a closed format by `permute`: distinct entities can't share one."""
+    label, a, b, number = closed_format(kind, canon)
+    made = permute(key, f"{kind}\0{label}", a, b, number)
+    if kind == "ip":
+        octets = []
+        while len(octets) + len(label.split(".")) < 4:
+            made, o = divmod(made, 256)
+            octets.append(str(o))
+        return ".".join([label, *reversed(octets)])
+    head = label.split("-")[0]
+    digits = head + str(made).zfill(len(canon) - len(head) - (kind == "card"))
+    if kind == "card":
+        digits = next(d for d in (digits + c for c in "0123456789") if luhn(d) == luhn(canon))
+    return digits
+
+
 def render(raw: str, canon: str, kind: str) -> str:
     """A canonical surrogate in the case and with the separators of the mention."""
     if kind in ("card", "ssn", "phone"):
@@ -234,15 +309,30 @@ def _assign(key: bytes) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFr
     return run
 
 
+def _formats(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [closed_format(k, c) for k, c in zip(pdf.kind, pdf.canon)]
+        label = [f[0] if f else None for f in found]
+        yield pdf.assign(label=label, room=[float(f[1] * f[2]) if f else 0.0 for f in found])
+
+
 def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, canon, attempt, made) for distinct (kind, canon), where no two surrogates of a kind are the same and
-    none is another entity of the corpus.
+    none is another entity of the corpus, but in crowded formats.
 
-    Of entities that share a surrogate the first by code point keeps it, the others try again, until none is left;
-    each round is a table in the shared folder.
+    A format that has a fixed number of values, over one in `CROWDED` of which are entities, is crowded: its entities
+    get the values of a keyed permutation, which are distinct whatever the number of entities, and may be values that
+    others of them had. All others try a first value; of entities that share one the first by code point keeps it,
+    the others and those that met a real value try again, until none is left. As at least three in four free themselves
+    in a round on average, the rounds end. Each round is a table in the shared folder.
     """
     schema = "kind string, canon string, attempt int, made string"
-    table = cut(entities.select("kind", "canon", F.lit(0).alias("attempt")).mapInPandas(_assign(key), schema))
+    formed = cut(entities.select("kind", "canon").mapInPandas(_formats, "kind string, canon string, label string, room double"))
+    sizes = formed.where("label IS NOT NULL").groupBy("kind", "label").agg(F.count("*").alias("n"), F.max("room").alias("room"))
+    crowded = sizes.where(F.col("n") * CROWDED > F.col("room")).select("kind", "label", F.lit(PERMUTED).alias("attempt"))
+    started = attach_small(formed, crowded, ["kind", "label"]).select("kind", "canon", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    table = cut(started.mapInPandas(_assign(key), schema))
+    settled, table = table.where(F.col("attempt") == PERMUTED), table.where(F.col("attempt") != PERMUTED)
     while True:
         shared = table.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("canon").alias("first")).where("n > 1")
         twice = table.join(shared, ["kind", "made"]).where("canon <> first").select("kind", "canon")
@@ -250,7 +340,7 @@ def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         taken = table.join(real, ["kind", "made"], "left_semi").select("kind", "canon")
         again = cut(twice.unionByName(taken).distinct())
         if again.isEmpty():
-            return table
+            return table.unionByName(settled)
         retry = table.join(again, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1)
         kept = table.join(again, ["kind", "canon"], "left_anti")
         table = cut(kept.unionByName(retry.select("kind", "canon", "attempt").mapInPandas(_assign(key), schema)))
@@ -282,7 +372,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     k = F.xxhash64(text_col).alias("k")
     mentions = short_batches(docs).select(k, F.col(text_col).alias("text")).mapInPandas(_entities, "k bigint, kind string, canon string")
     table = assignments(cut(mentions.select("kind", "canon").distinct()), key)
-    retried = cut(table.where("attempt > 0").select("kind", "canon", "attempt"))
+    retried = cut(table.where("attempt <> 0").select("kind", "canon", "attempt"))
     some = retried.limit(BROADCAST_ROWS + 1).collect()
     if len(some) <= BROADCAST_ROWS:
         known = {(r.kind, r.canon): r.attempt for r in some}

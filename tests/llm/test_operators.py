@@ -419,3 +419,36 @@ def test_urls(spark):
     labels = spark.createDataFrame([(100 + i, int(not (i % 5 == 0 and i % 2)), 0) for i in range(0, 150)], "doc_id long, quality int, toxic int")
     blocked = {g.page_id for g in urls.judge(pages, labels, min_support=0.05).collect() if g.verdict == "block"}
     assert blocked == {100 + i for i in range(200) if i % 5 == 0 and i % 2}
+
+
+def test_words_of_the_last_generation_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 12)
+    r, held = random.Random(7), tokens.WordEncoder(PATH)
+    for _ in range(60):
+        texts = [" ".join(r.choice([*WORDS, "It's", "a.b", "é!", "x,y", "", "12"]) for _ in range(r.randint(0, 9))) for _ in range(3)]
+        ids, counts = held.encode(texts)
+        want = [[*held.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+    assert held.old and len(held.words) < 60
+
+
+def test_a_full_range_of_addresses_gets_distinct_surrogates(spark):
+    """Every address of 192.168/16: trying again would never end."""
+    rows = spark.range(65536).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("192.168"), (F.col("id") / 256).cast("int"), F.col("id") % 256).alias("canon"))
+    few = spark.createDataFrame([("ip", "192.168.0.1"), ("ip", "8.8.8.8"), ("ssn", "123456789"), ("phone", "5557713")], "kind string, canon string")
+    made = pii.assignments(rows.unionByName(few).distinct()).toPandas()
+    ip = made[made.canon.str.startswith("192.168.")]
+    assert len(ip) == 65536 and ip.made.nunique() == 65536 and (ip.made != ip.canon).all()
+    assert ip.made.str.fullmatch(r"192\.168(\.(25[0-5]|2[0-4]\d|1?\d?\d)){2}").all()
+    assert set(made[made.attempt >= 0].canon) == {"8.8.8.8", "123456789", "5557713"} and made.made.nunique() == len(made)
+
+
+def test_permutations_move_every_value_of_a_format():
+    assert sorted(pii.permute(b"k", "x", 7, 5, i) for i in range(35)) == list(range(35))
+    assert all(pii.permute(b"k", "x", 7, 5, i) != i for i in range(35))
+    cards = ["4" + str(i).zfill(3) + "111111111111" for i in range(300)]
+    made = [pii.permuted(b"k", "card", c) for c in cards]
+    assert len(set(made)) == 300 and all(m[0] == "4" and pii.luhn(m) == pii.luhn(c) for m, c in zip(made, cards))
+    phones = [f"+49{i:010d}" for i in range(50)] + [f"{i:07d}" for i in range(50)] + [f"+{i:08d}" for i in range(50)]
+    made = [pii.permuted(b"k", "phone", c) for c in phones]
+    assert len(set(made)) == 150 and all(len(m) == len(c) and m[: 1 + 2 * (len(c) == 13)] == c[: 1 + 2 * (len(c) == 13)] for m, c in zip(made[:50], phones))
