@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.fixed_values import NODE_FEATURES
 from faultline.operators.blocks import forward_fill, number_rows
-from faultline.operators.joins import attach, fits, spread
+from faultline.operators.joins import BROADCAST_ROWS, attach, fits, spread
 
 STEP_SPAN = 86_400 * 7
-PACKS = 256
+#: Members that travel in one array beside a step.
+PACK_MEMBERS = 2048
 
 
 def entities(rows: DataFrame) -> DataFrame:
@@ -33,13 +34,15 @@ def dense_grid(
     """Every step x every member, joined with the observed cells; `observed` marks the ones with rows.
 
     `on` names the member columns (an entity, or both ends of an edge). Members are packed into arrays
-    and exploded next to each step, so the grid grows from an equality join on the system. Steps are a
-    short table that grows by the number of members, so they are spread over all tasks first.
+    and exploded next to each step, so the grid grows from an equality join on the system. Arrays hold about
+    `PACK_MEMBERS` members each, however many there are. Steps are a short table that grows by the number of members,
+    so they are spread over all tasks first.
     """
     on = list(on)
+    most = members.groupBy("system").count().agg(F.max("count")).first()[0] or 0
+    packs = max(1, -(-most // PACK_MEMBERS))
     if small is None:
-        small = fits(members)
-    packs = 1 if small else PACKS
+        small = most <= BROADCAST_ROWS and fits(members)
     pack = F.pmod(F.xxhash64(*on), F.lit(packs)).cast("int")
     packed = members.groupBy("system", pack.alias("_pack")).agg(F.collect_list(F.struct(*on)).alias("_members"))
     tiles = steps.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))

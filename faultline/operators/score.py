@@ -140,6 +140,23 @@ def step_residuals(
     return score_rows(rows, fit, keys, features, ["prev_" + f for f in features], small)
 
 
+def run_residuals(
+    runs: DataFrame, fit: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES, small: bool | None = None
+) -> DataFrame:
+    """Runs with `at_start`, the residual of their first step (NULL for a member's first), and `inside`, that of the others."""
+    joined = attach(runs, scoring_form(fit, keys, features), keys, small=small)
+    of = lambda regressors: _mean([k["level"] + k["curve"] * e * e for k, e in _errors(features, regressors)])
+    return joined.withColumns({"at_start": of(["prev_" + f for f in features]), "inside": of(features)}).drop("_fit")
+
+
+def run_nll(scored: DataFrame) -> DataFrame:
+    """`overall_nll` from scored runs: the inside residual counts once for each step after the first."""
+    more = F.col("next_idx") - F.col("t_idx") - 1
+    total = F.coalesce("at_start", F.lit(0.0)) + F.when(more > 0, more * F.col("inside")).otherwise(0.0)
+    n = F.sum(F.col("at_start").isNotNull().cast("bigint") + more)
+    return scored.groupBy("system").agg((F.sum(total) / n).alias("nll"), n.alias("n"))
+
+
 def overall_nll(residuals: DataFrame) -> DataFrame:
     """Mean NLL over everything scored (each residual already averages the same number of features)."""
     return residuals.groupBy("system").agg(F.avg("residual").alias("nll"), F.count("residual").alias("n"))

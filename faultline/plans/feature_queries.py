@@ -581,7 +581,7 @@ def m3(t):
 
 @query("m4_overall_nll", "SELECT avg(residual) AS nll, count(residual) AS n FROM rawres", rounded="nll", whole="n")
 def m4(t):
-    return score.overall_nll(t.raw_residuals).drop("system")
+    return score.run_nll(t.scored_runs).drop("system")
 
 
 def _edge_pairs(t: Tables):
@@ -627,7 +627,7 @@ def m7(t):
 def m8(t):
     divergence = score.mix_divergence(score.mix_logits(t.step_mix, ["system", "ts"], t.small), ["system", "ts"])
     kl = divergence.groupBy("system").agg(F.avg("kl_floored").alias("kl"))
-    return score.objective(score.overall_nll(t.raw_residuals), _edge_error(t), kl).drop("system")
+    return score.objective(score.run_nll(t.scored_runs), _edge_error(t), kl).drop("system")
 
 
 @query(

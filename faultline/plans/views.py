@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.fixed_values import EDGE_FEATURES, FAULT_SECONDS, NODE_FEATURES
 from faultline.functions.names import service_of
-from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, score, spans, stats, windows
+from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, runs, score, spans, stats, windows
 from faultline.session import cut
 
 SYSTEM = "events"
@@ -251,9 +251,15 @@ class Tables:
         dense = grid.dense_grid(self.steps, members, self.edge_cells, ["src", "dst"], self.edges_small)
         return cut(grid.zero_fill(dense, EDGE_FEATURES))
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """The filled grid as runs of observed cells, with the steps that count in each; written once."""
+        made = runs.cell_runs(self.cells, self.steps, self.entities)
+        return cut(runs.weighted(made, runs.step_counts(self.steps)))
+
     @cached_property
     def stats(self) -> DataFrame:
-        return stats.normal_stats(self.filled, ["system", "entity"])
+        return self.fit.select("system", "entity", "feature", "mean", "std")
 
     @cached_property
     def normalized(self) -> DataFrame:
@@ -263,13 +269,19 @@ class Tables:
 
     @cached_property
     def fit(self) -> DataFrame:
-        return score.fit_step(self.paired, ["system", "entity"])
+        return runs.fit_runs(self.runs, ["system", "entity"])
+
+    @cached_property
+    def scored_runs(self) -> DataFrame:
+        return score.run_residuals(self.runs, self.fit, ["system", "entity"], small=self.small)
 
     @cached_property
     def raw_residuals(self) -> DataFrame:
-        """Residual of every (step, entity); NULL at the first step."""
-        scored = score.step_residuals(self.paired, self.fit, ["system", "entity"], small=self.small)
-        return scored.select("system", "ts", "t_idx", "n_steps", "is_normal", "entity", "residual")
+        """Residual of every (step, entity); NULL at the first step. Here runs become dense rows."""
+        steps = self.steps.select("system", "ts", "t_idx", "n_steps", "is_normal")
+        rows = runs.unrolled(self.scored_runs, steps, ["entity", "at_start", "inside"])
+        residual = F.when(F.col("begins"), F.col("at_start")).otherwise(F.col("inside"))
+        return rows.select("system", "ts", "t_idx", "n_steps", "is_normal", "entity", residual.alias("residual"))
 
     @cached_property
     def residual_rows(self) -> DataFrame:
