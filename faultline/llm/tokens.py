@@ -12,8 +12,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 END = 1
-#: Words a worker keeps; beyond, the cache starts anew.
-CACHE_WORDS = 120_000
+#: Words in one generation of a worker's cache, which keeps two.
+CACHE_WORDS = 200_000
 #: White space on which the tokenizer's idea of a word may differ from str.split; such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: New words that are encoded together.
@@ -49,6 +49,8 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
+        """A new generation; the last one is kept to look words up in, so words in use needn't be encoded again."""
+        self.old = (self.words, self.flat, self.start, self.length) if hasattr(self, "words") else None
         self.words = _Words()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -90,12 +92,28 @@ class WordEncoder:
             flat[np.repeat(start[members] - np.cumsum(own) + own, own) + np.arange(len(ids))] = ids
         return flat, lengths
 
+    def _from_old(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`_encode_words`, where words of the last generation are copied."""
+        known, flat, start, length = self.old
+        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        held, fresh = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        ids, sizes = self._encode_words([words[n] for n in fresh.tolist()])
+        lengths = np.zeros(len(words), np.int64)
+        lengths[held], lengths[fresh] = length[at[held]], sizes
+        first = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        for members, source, starts in ((held, flat, start[at[held]]), (fresh, ids, np.cumsum(sizes) - sizes)):
+            own = lengths[members]
+            within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            out[np.repeat(first[members], own) + within] = source[np.repeat(starts, own) + within]
+        return out, lengths
+
     def _learn(self) -> None:
         """Ids of the words noted since the last call."""
         new, self.words.new = self.words.new, []
         if not new:
             return
-        ids, lengths = self._encode_words(new)
+        ids, lengths = self._from_old(new) if self.old else self._encode_words(new)
         first, total = len(self.words) - len(new), len(ids)
         while len(self.words) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
@@ -133,9 +151,13 @@ class WordEncoder:
                 parts[n] = np.array(found, np.uint32)
             ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         if end is not None:
-            ids = np.insert(ids, np.cumsum(counts), end)
-            counts = counts + 1
-        return ids.astype(np.uint32), counts
+            ends = np.cumsum(counts + 1) - 1
+            out = np.empty(len(ids) + len(counts), np.uint32)
+            inner = np.ones(len(out), bool)
+            inner[ends] = False
+            out[inner], out[ends] = ids, end
+            ids, counts = out, counts + 1
+        return ids.astype(np.uint32, copy=False), counts
 
 
 @lru_cache(maxsize=2)
