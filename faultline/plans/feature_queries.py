@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from faultline.fixed_values import EDGE_FEATURES, NODE_FEATURES, WINDOW
-from faultline.operators import detect, evaluate, featurize, grid, rank, score, stats, windows
+from faultline.operators import detect, evaluate, featurize, grid, rank, score, stats, window_models, windows
 from faultline.operators.blocks import forward_fill, with_previous
 from faultline.operators.joins import attach
 from faultline.plans.oracle_views import F4, F8, SEV_CLASS, SEV_WEIGHT, VIEWS, each, mean_sql, nll_sql, rank_sql, slope_sql
@@ -645,3 +645,22 @@ def m9(t):
     )
     schema = "system string, window_start bigint, entity string, score double"
     return score.apply_model(rows, score.mean_step_change, schema).drop("system")
+
+
+@query(
+    "m9_window_model",
+    """WITH carried AS (SELECT e.t_idx, e.dst AS entity, sum(e.call_count * s.workload_ops / (1 + c.total_qps)) AS v
+         FROM edge_grid e JOIN filled s ON s.t_idx = e.t_idx AND s.entity = e.src JOIN context c ON c.t_idx = e.t_idx GROUP BY ALL)
+       SELECT w.window_start, f.entity, avg(coalesce(c.v, 0)) AS score
+       FROM score_starts w JOIN filled f ON f.t_idx >= w.window_start AND f.t_idx < w.window_start + 24
+       LEFT JOIN carried c ON c.t_idx = f.t_idx AND c.entity = f.entity GROUP BY w.window_start, f.entity""",
+    rounded="score",
+    whole="window_start",
+)
+def m9_window(t):
+    """A user's function over whole windows: each entity's score takes its neighbours' values, calls and the context."""
+    nodes = t.filled.select("system", "t_idx", "n_steps", "entity", "workload_ops")
+    edges = t.edge_grid.select("system", "t_idx", "src", "dst", "call_count")
+    context = t.step_context.select("system", "t_idx", "total_qps")
+    made = window_models.apply_to_windows(nodes, edges, context, window_models.neighbour_load, window_models.SCORE_KIND)
+    return made.drop("system")
