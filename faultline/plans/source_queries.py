@@ -150,6 +150,27 @@ def s5(t):
     return files.fault_file(t.spark, root, SYSTEM, lines=True).select("hour", "ts", "pod", "type", "entity")
 
 
+@query(
+    "s5_one_object",
+    "SELECT CAST(ts % 86400 // 3600 AS VARCHAR) AS hour, ts, component AS pod, type, CASE WHEN true THEN entity END AS entity FROM faults",
+    whole="ts",
+)
+def s5_one_object(t):
+    """The published form: one file that is one object, each hour with all its faults."""
+    root = scratch_path(t.spark, "faults")
+    hour = F.floor(F.col("ts") % 86_400 / 3600).cast("string")
+    pod, ts = F.col("component").alias("inject_pod"), F.col("ts")
+    entry = F.to_json(F.struct(ts.cast("string").alias("inject_time"), ts.alias("inject_timestamp"), pod, F.col("type").alias("inject_type")))
+    rows = t.faults.select(hour.alias("hour"), "fault_id", entry.alias("entry"))
+    turn = F.row_number().over(Window.partitionBy("hour").orderBy("fault_id"))
+    begins = F.when(turn == 1, F.concat(F.lit('"'), "hour", F.lit('": ['))).otherwise(F.lit(""))
+    last = turn == F.count("*").over(Window.partitionBy("hour"))
+    text = rows.select("hour", turn.alias("turn"), F.concat(begins, "entry", F.when(last, "],").otherwise(",")).alias("value"))
+    frame = t.spark.createDataFrame([("", 0, "{"), ("~", 0, '"none": []}')], "hour string, turn int, value string")
+    text.unionByName(frame).coalesce(1).sortWithinPartitions("hour", "turn").select("value").write.text(root)
+    return files.fault_file(t.spark, root, SYSTEM).select("hour", "ts", "pod", "type", "entity")
+
+
 @query(
     "s6_record_file",
     "SELECT component, reason, CAST(ts AS DOUBLE) AS timestamp, 'pod' AS level FROM faults",

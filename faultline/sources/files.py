@@ -15,9 +15,11 @@ from faultline.fixed_values import METRIC_POSITIONS, SERVICE_COLUMNS, SERVICE_ME
 from faultline.functions.names import pod_base, service_of
 from faultline.functions.values import number, ms_to_seconds, service_features, whole
 from faultline.operators.joins import attach
+from faultline.session import cut
 
 METRIC_COLUMNS = 20
-FAULT_ENTRY = "map<string, array<struct<inject_time: string, inject_timestamp: string, inject_pod: string, inject_type: string>>>"
+FAULT_RECORD = "struct<inject_time: string, inject_timestamp: string, inject_pod: string, inject_type: string>"
+FAULT_ENTRY = f"map<string, array<{FAULT_RECORD}>>"
 
 
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
@@ -157,11 +159,80 @@ def dependency_file(spark: SparkSession, path: str, system: str) -> DataFrame:
     )
 
 
-def fault_file(spark: SparkSession, path: str, system: str, lines: bool = False) -> DataFrame:
-    """JSON object hour -> list of faults, flattened; with `lines`, one such object per line."""
-    raw = spark.read.text(path, wholetext=not lines)
-    hours = raw.select(F.explode(F.from_json("value", FAULT_ENTRY)).alias("hour", "entries"))
-    faults = hours.select("hour", F.inline("entries"))
+#: Records of one file over which the hour is carried in one task.
+HOUR_BLOCK = 4096
+#: In a chunk of a fault object: the names of the arrays begun before the record, the last of them kept, and the record.
+FAULT_CHUNK = r'(?s)^(?:[\s\],]*"((?:[^"\\]|\\.)*)"\s*:\s*\[)*[\s\],]*(\{.*)$'
+
+
+def _before(rows: DataFrame, **parts: Column) -> DataFrame:
+    """Add for each named column its sum over all earlier rows of the file.
+
+    Rows are in order of (_from, _id). Each range of bytes is summed on its own; one row per range is ordered as a file.
+    """
+    home = ["_file", "_from"]
+    rows = rows.withColumns({"_p_" + k: v.cast("bigint") for k, v in parts.items()})
+    ranges = rows.groupBy(*home).agg(*[F.sum("_p_" + k).alias("_s_" + k) for k in parts])
+    line = Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranges.select(*home, *[F.coalesce(F.sum("_s_" + k).over(line), F.lit(0)).alias("_c_" + k) for k in parts])
+    inside = Window.partitionBy(*home).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {k: F.coalesce(F.sum("_p_" + k).over(inside), F.lit(0)) for k in parts}
+    met = rows.withColumns(sums).join(carry, home)
+    return met.withColumns({k: F.col(k) + F.col("_c_" + k) for k in parts}).drop(*[x + k for k in parts for x in ("_p_", "_c_")])
+
+
+def object_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(_file, turn, text): the text of JSON files that hold one object of arrays of records, one row per record with
+    what stands before it.
+
+    A file is read in byte ranges by several tasks, cut at closing braces. Whether a brace is inside a string follows
+    from the quotes before it, and how deep it is from the braces before it outside strings; both are counted per range
+    and added up over ranges. A record ends where a closing brace leads back to the depth of the whole object.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_id"),
+        "value",
+    )
+    rows = cut(rows)  # read once, with fixed row ids
+    bare = F.regexp_replace("value", r"\\.", "")  # without escapes, each quote opens or closes a string
+    quoted = _before(rows.withColumn("_bare", bare), quotes=F.length(bare) - F.length(F.replace(bare, F.lit('"'))))
+    pieces = F.split("_bare", '"')
+    outside = F.array_join(F.filter(pieces, lambda x, i: (i + F.col("quotes")) % 2 == 0), "")
+    open_ends = (F.size(pieces) - 1 + F.col("quotes")) % 2 == 0
+    opened = F.length(outside) - F.length(F.replace(outside, F.lit("{")))
+    braces = quoted.withColumn("_delta", opened - open_ends.cast("int")).withColumn("_real", open_ends)
+    deep = _before(braces, depth=F.col("_delta"))
+    done = F.col("_real") & (F.col("depth") + F.col("_delta") == 1)
+    placed = _before(deep, turn=done)
+    parts = F.sort_array(F.collect_list(F.struct("_from", "_id", "value")))
+    return placed.groupBy("_file", "turn").agg(F.array_join(F.transform(parts, lambda x: F.concat(x["value"], F.lit("}"))), "").alias("text"))
+
+
+def fault_file(spark: SparkSession, path: str | list[str], system: str, lines: bool = False) -> DataFrame:
+    """JSON object hour -> list of faults, flattened; with `lines`, one such object per line.
+
+    A file of one object is split between tasks (`object_chunks`), and each record is parsed on its own; the hour is
+    that of the nearest earlier record that begins an array. An empty file or object has no faults.
+    """
+    if lines:
+        hours = spark.read.text(path).select(F.explode(F.from_json("value", FAULT_ENTRY)).alias("hour", "entries"))
+        faults = hours.select("hour", F.inline("entries"))
+    else:
+        first = F.when(F.col("turn") == 0, F.regexp_replace("text", r"^\s*\{", "")).otherwise(F.col("text"))
+        chunks = object_chunks(spark, path).select("_file", "turn", first.alias("text"))
+        name, body = F.regexp_extract("text", FAULT_CHUNK, 1), F.regexp_extract("text", FAULT_CHUNK, 2)
+        begins = F.when(F.col("text").rlike(r'^[\s\],]*"'), F.get_json_object(F.concat(F.lit('{"k":"'), name, F.lit('"}')), "$.k"))
+        found = chunks.select("_file", "turn", begins.alias("hour"), body.alias("body")).where("body <> ''")
+        placed = found.withColumn("_block", F.floor(F.col("turn") / HOUR_BLOCK))
+        ends = placed.groupBy("_file", "_block").agg(F.max_by("hour", F.when(F.col("hour").isNotNull(), F.col("turn"))).alias("_end"))
+        line = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select("_file", "_block", F.last("_end", ignorenulls=True).over(line).alias("_carry"))
+        inside = Window.partitionBy("_file", "_block").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+        met = placed.withColumn("_own", F.last("hour", ignorenulls=True).over(inside)).join(carry, ["_file", "_block"])
+        faults = met.select(F.coalesce("_own", "_carry").alias("hour"), F.from_json("body", FAULT_RECORD).alias("_f")).select("hour", "_f.*")
     return faults.select(
         F.lit(system).alias("system"),
         "hour",
