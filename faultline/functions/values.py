@@ -75,8 +75,11 @@ def service_features(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys, *[known.get(f, F.lit(0.0)).alias(f) for f in NODE_FEATURES])
 
 
-def fit_features(df: DataFrame, keys: Sequence[str], have: Sequence[str]) -> DataFrame:
-    """Pad or cut a feature list to the eight standard slots, in order."""
+def fit_features(df: DataFrame, keys: Sequence[str], have: Sequence[str], drop_rest: bool = False) -> DataFrame:
+    """Pad a feature list to the eight standard slots, in order. More than eight are an error unless `drop_rest` is
+    given, which cuts the list."""
+    if len(have) > len(NODE_FEATURES) and not drop_rest:
+        raise ValueError(f"no slots for {', '.join(have[len(NODE_FEATURES):])}; drop_rest=True leaves them out")
     slots = list(have)[: len(NODE_FEATURES)]
     padded = [or_zero(F.col(c)) for c in slots]
     padded += [F.lit(0.0)] * (len(NODE_FEATURES) - len(slots))

@@ -11,7 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from faultline.session import cut
+
 BLOCK = 4096
+#: Rows that are ordered in one task where positions are given out.
+PART_ROWS = 1 << 20
 
 
 def number_rows(
@@ -23,17 +27,46 @@ def number_rows(
     """
     keys = list(keys)
     home = keys + ["_blk"]
-    cut = df.withColumn("_blk", F.floor(F.col(order) / span))
-    sizes = cut.groupBy(*home).agg(F.count("*").alias("_n"))
+    laid = df.withColumn("_blk", F.floor(F.col(order) / span))
+    sizes = laid.groupBy(*home).agg(F.count("*").alias("_n"))
     line = Window.partitionBy(*keys).orderBy("_blk")
     before = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(*home, before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
     inside = F.row_number().over(Window.partitionBy(*home).orderBy(order))
-    placed = cut.withColumn("_pos", inside).join(offsets, home)
+    placed = laid.withColumn("_pos", inside).join(offsets, home)
     extra = [F.col("_all").alias(total)] if total else []
     return placed.select(*df.columns, (F.col("_pos") - 1 + F.col("_before")).cast("bigint").alias(out), *extra)
 
 
+def positions(df: DataFrame, order: Sequence[str], out: str, per_part: int = PART_ROWS) -> DataFrame:
+    """0-based position of each row within its system by unique `order` columns, whatever their type.
+
+    Rows are dealt to sampled ranges of (system, order), `per_part` to each, and written in them; a position is the
+    place within the range and system, plus what the system's rows in earlier ranges count. Only the first system of
+    a range can have such rows, so the driver adds up one row per range. Fewer rows than one range holds are sorted in
+    one task. No system is ever gathered.
+    """
+    parts = -(-df.count() // per_part)
+    line = ["system", *order]
+    if parts <= 1:
+        place = F.row_number().over(Window.partitionBy("system").orderBy(*order)) - 1
+        return df.repartition(1).withColumn(out, place.cast("bigint"))
+    dealt = df.repartitionByRange(parts, *line).withColumn("_part", F.spark_partition_id())
+    held = cut(dealt)
+    inside = Window.partitionBy("_part", "system").orderBy(*order)
+    sizes = held.groupBy("_part", "system").agg(F.count("*").alias("n"))
+    ends = sizes.groupBy("_part").agg(F.min(F.struct("system", "n")).alias("head"), F.max(F.struct("system", "n")).alias("tail"))
+    carries, open_, count = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        before = count if r.head.system == open_ else 0
+        carries.append((r["_part"], r.head.system, before))
+        count = r.tail.n + (before if r.tail.system == r.head.system else 0)
+        open_ = r.tail.system
+    carry = df.sparkSession.createDataFrame(carries, "_part int, system string, _before bigint")
+    placed = held.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(carry), ["_part", "system"], "left")
+    return placed.select(*df.columns, (F.col("_in") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out))
+
+
 def forward_fill(
     df: DataFrame,
     keys: Sequence[str],
@@ -52,14 +85,14 @@ def forward_fill(
     keys = list(keys)
     home = keys + ["_blk"]
     cell = F.struct(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
-    cut = df.withColumn("_blk", F.floor(F.col(order) / block)).withColumn("_cell", F.when(F.col(observed), cell))
-    ends = cut.groupBy(*home).agg(F.max_by("_cell", F.when(F.col(observed), F.col(order))).alias("_end"))
+    laid = df.withColumn("_blk", F.floor(F.col(order) / block)).withColumn("_cell", F.when(F.col(observed), cell))
+    ends = laid.groupBy(*home).agg(F.max_by("_cell", F.when(F.col(observed), F.col(order))).alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*home, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     inside = Window.partitionBy(*home).orderBy(order)
     zero = F.struct(*[F.lit(0.0).alias(c) for c in cols])
     entering = F.coalesce(F.col("_carry"), zero)
-    filled = cut.join(carry, home, "left").withColumn(
+    filled = laid.join(carry, home, "left").withColumn(
         "_cell", F.coalesce(F.last("_cell", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), entering)
     )
     back = []

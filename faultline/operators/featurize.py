@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.fixed_values import ENTRY_SERVICE, KPI_SLOTS, NODE_FEATURES
 from faultline.functions.categories import (
@@ -17,6 +17,7 @@ from faultline.functions.categories import (
 from faultline.functions.names import service_of
 from faultline.functions.values import ns_to_ms, ns_to_seconds, pod_features
 from faultline.operators.grid import dense_grid
+from faultline.operators.blocks import positions
 from faultline.operators.joins import asof_step, attach, first_containing, fits, spread
 
 
@@ -140,12 +141,15 @@ def slot_features(wide: DataFrame) -> DataFrame:
     return wide.select("system", "ts", "entity", *sums)
 
 
-def name_order_slots(kpis: DataFrame) -> DataFrame:
-    """The other slot rule: the categories that occur, in name order; the first eight fill the slots."""
-    found = categorised(kpis).select("system", "category").distinct()
-    line = Window.partitionBy("system").orderBy("category")
-    ranked = found.withColumn("slot", (F.dense_rank().over(line) - 1).cast("bigint"))
-    return ranked.where(F.col("slot") < len(NODE_FEATURES))
+def name_order_slots(kpis: DataFrame, drop_rest: bool = False) -> DataFrame:
+    """The other slot rule: the categories that occur, in name order; the first eight fill the slots.
+
+    Categories beyond have slot NULL, so that it shows what the features leave out; `drop_rest` leaves them away.
+    """
+    found = positions(categorised(kpis).select("system", "category").distinct(), ["category"], "slot")
+    if drop_rest:
+        return found.where(F.col("slot") < len(NODE_FEATURES))
+    return found.withColumn("slot", F.when(F.col("slot") < len(NODE_FEATURES), F.col("slot")))
 
 
 # --- logs ------------------------------------------------------------------------------------

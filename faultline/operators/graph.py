@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.fixed_values import HOP_DECAY, HOP_DELAY, LEAK_SLOPE
 from faultline.functions.names import clean_endpoint, is_address
+from faultline.operators.blocks import positions
 from faultline.operators.joins import attach
 from faultline.session import cut
 
@@ -27,8 +28,7 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
         F.struct(F.col("dst").alias("entity"), (F.col("pos") * 2 + 1).alias("_at")),
     )
     seen = edges.select("system", F.inline(ends)).groupBy("system", "entity").agg(F.min("_at").alias("_at"))
-    line = Window.partitionBy("system").orderBy("_at")
-    return seen.select("system", "entity", (F.row_number().over(line) - 1).cast("bigint").alias("entity_idx"))
+    return positions(seen, ["_at"], "entity_idx").drop("_at")
 
 
 def ring(nodes: DataFrame, cap: int | None = None) -> DataFrame:

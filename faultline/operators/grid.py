@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from faultline.fixed_values import NODE_FEATURES
-from faultline.operators.blocks import forward_fill, number_rows
+from faultline.operators.blocks import forward_fill, number_rows, positions
 from faultline.operators.joins import BROADCAST_ROWS, attach, fits, spread
 
 STEP_SPAN = 86_400 * 7
@@ -17,9 +17,7 @@ PACK_MEMBERS = 2048
 
 def entities(rows: DataFrame) -> DataFrame:
     """Distinct entities with a position by name; the order only breaks ties."""
-    line = Window.partitionBy("system").orderBy("entity")
-    found = rows.select("system", "entity").distinct()
-    return found.withColumn("entity_idx", (F.row_number().over(line) - 1).cast("bigint"))
+    return positions(rows.select("system", "entity").distinct(), ["entity"], "entity_idx")
 
 
 def time_steps(rows: DataFrame, span: int = STEP_SPAN) -> DataFrame:
@@ -74,9 +72,9 @@ def zero_fill(grid: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def first_steps(rows: DataFrame, k: int, span: int = STEP_SPAN) -> DataFrame:
+def first_steps(rows: DataFrame, k: int) -> DataFrame:
     """Rows of the first k distinct time steps of each system."""
-    early = time_steps(rows, span).where(F.col("t_idx") < k).select("system", "ts")
+    early = positions(rows.select("system", "ts").distinct(), ["ts"], "_at").where(F.col("_at") < k).select("system", "ts")
     return rows.join(early, ["system", "ts"], "left_semi")
 
 

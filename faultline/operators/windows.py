@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.fixed_values import FAULT_SECONDS, MIN_WINDOW_STEPS, SCORE_STRIDE, TRAIN_STRIDE, WINDOW
-from faultline.operators.blocks import number_rows
+from faultline.operators.blocks import positions
 from faultline.operators.joins import fault_steps
 
 
@@ -99,9 +99,7 @@ def window_faults(
 def first_windows(split: DataFrame, k: int, which: str = "val") -> DataFrame:
     """The first k windows of one split per system."""
     chosen = split.where(F.col("split") == which)
-    return number_rows(chosen, ["system"], "window_start", span=1 << 20, out="window_rank").where(
-        F.col("window_rank") < k
-    )
+    return positions(chosen, ["window_start"], "window_rank").where(F.col("window_rank") < k)
 
 
 def nested_windows(windowed: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -369,20 +369,19 @@ def w4(t):
     return rows.select("window_start", "offset", "entity", "cpu_rate")
 
 
-LONG = 1000
-
-
 @query(
     "w5_padded_windows",
-    f"""SELECT o."offset", e.entity, coalesce(f.cpu_rate, 0) AS cpu_rate, coalesce(f.workload_ops, 0) AS workload_ops
-        FROM (SELECT unnest(range({LONG})) AS "offset") o CROSS JOIN ents e LEFT JOIN filled f ON f.t_idx = o."offset" AND f.entity = e.entity""",
+    """SELECT o."offset", e.entity, coalesce(f.cpu_rate, 0) AS cpu_rate, coalesce(f.workload_ops, 0) AS workload_ops
+       FROM (SELECT unnest(range((SELECT max(n_steps) + 24 FROM bare_steps))) AS "offset") o CROSS JOIN ents e
+       LEFT JOIN filled f ON f.t_idx = o."offset" AND f.entity = e.entity""",
     rounded="cpu_rate workload_ops",
     whole='"offset"',
 )
 def w5(t):
-    """One window longer than the series, so its end is padding."""
-    rows = windows.sliding_windows(t.filled, size=LONG, stride=LONG, form="score")
-    return windows.pad_windows(rows, NODE_FEATURES, LONG).select("offset", "entity", "cpu_rate", "workload_ops")
+    """One window, a training window longer than the series, so all steps are in it and its end is padding."""
+    size = t.axis.agg(F.max("n_steps")).first()[0] + WINDOW
+    rows = windows.sliding_windows(t.filled, size=size, stride=size, form="score")
+    return windows.pad_windows(rows, NODE_FEATURES, size).select("offset", "entity", "cpu_rate", "workload_ops")
 
 
 @query("w6_window_labels", "SELECT window_start, all_normal, first_ts, last_ts FROM labels_w", whole="window_start first_ts last_ts")
