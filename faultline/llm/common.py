@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.session import cut
@@ -21,6 +23,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def with_rows(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """`docs` with a text that tells its rows apart and is the same whenever `docs` is read.
+
+    Rows read from Parquet, perhaps filtered or projected, are named by file and place in it. Anything else is written
+    first, since its rows may come in another order the next time.
+    """
+    nodes = re.findall(r"(?m)^[\s:+\-]*(\w+)", docs._jdf.queryExecution().analyzed().toString())
+    if set(nodes) <= {"Relation", "Project", "Filter"}:
+        try:
+            place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+            return docs.withColumn(name, place)
+        except AnalysisException:  # another kind of file, or the metadata were projected away
+            pass
+    return cut(docs.withColumn(name, F.monotonically_increasing_id().cast("string")))
+
+
 def short_batches(docs: DataFrame) -> DataFrame:
     """`docs`, after asking the session for Arrow batches of few rows: texts can be long, and a Python worker holds a
     batch several times over. A smaller setting stays."""

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.llm.common import attach_small, word_count
+from faultline.llm.common import attach_small, with_rows, word_count
 from faultline.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -136,7 +136,7 @@ def take(docs: DataFrame) -> DataFrame:
 
     Rows have a key of their own, so NULL and repeated ids are taken as the rows they are. An empty table gives no rows.
     """
-    table = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    table = with_rows(docs)
     copies = mix(table, row_col="__row").where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
     times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))
     return table.join(copies, "__row").withColumn("__n", times).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.llm.common import WORD, attach_small
+from faultline.llm.common import WORD, attach_small, with_rows
 from faultline.session import cut
 
 MIN_WORDS = 50
@@ -151,7 +151,7 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     Rows have a key of their own, so each row stands by its own text, whatever its doc_id: NULL or repeated ids are
     judged like any other. An empty table gives no rows.
     """
-    table = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    table = with_rows(docs)
     verdict = judge(table, row_col="__row", **options).where("kept")
     verdict = verdict.select(F.col("row").alias("__row"), F.col("frequent").alias("__gone"))
     kept = F.filter(F.split("text", "\n"), lambda x: ~(F.array_contains("__gone", line_key(x)) & x.rlike(WORD)))
