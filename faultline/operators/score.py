@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.fixed_values import (
     EDGE_WEIGHT,
@@ -174,37 +174,30 @@ def edge_error(rows: DataFrame, fit: DataFrame, keys: Sequence[str], features: S
 # --- category mixes --------------------------------------------------------------------------
 
 
-def mix_logits(counts: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Counts per (key, category) to logits, with every category present in every key.
+def mix_divergence(counts: DataFrame, keys: Sequence[str], free_bits: float = FREE_BITS) -> DataFrame:
+    """KL of each key's softmax over categories from that of the mean mix, floored at `free_bits`, from counts alone.
 
-    The baseline mix is each category's mean count over the keys of its system.
+    `counts` holds (keys with the system, category, n), a row where n > 0. The logit of a category is ln(1 + n), that of
+    the mean mix ln(1 + mean n over the keys of the system), so softmax shares are (1 + n) over a sum. Categories that a
+    key lacks all have share 1 over that sum: together they are one term, made of the system's sum of mean logits less
+    those of the key's own categories. No row and no array holds categories that a key hasn't.
     """
-    axes = counts.select(*keys).distinct()
-    wide = counts.groupBy("system", "category").agg(F.sum("n").alias("_total"))
-    sized = axes.groupBy("system").agg(F.count("*").alias("_keys"))
-    base = wide.join(sized, "system").select(
-        "system", "category", F.ln(1.0 + F.col("_total") / F.col("_keys")).alias("prior_logit")
+    keys = list(keys)
+    axes = counts.select(*keys).distinct().groupBy("system").agg(F.count("*").alias("_keys"))
+    totals = attach(counts.groupBy("system", "category").agg(F.sum("n").alias("_total")), axes, ["system"])
+    base = totals.select("system", "category", F.ln(1.0 + F.col("_total") / F.col("_keys")).alias("_b"), (F.col("_total") / F.col("_keys")).alias("_m"))
+    whole = base.groupBy("system").agg(F.count("*").alias("_c"), F.sum("_b").alias("_all_b"), F.sum("_m").alias("_all_m"))
+    met = attach(counts.select(*keys, "category", "n"), base.select("system", "category", "_b"), ["system", "category"])
+    own = met.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        F.sum((1.0 + F.col("n")) * (F.ln(1.0 + F.col("n")) - F.col("_b"))).alias("_own"),
+        F.sum("_b").alias("_own_b"),
     )
-    packed = base.groupBy("system").agg(F.collect_list(F.struct("category", "prior_logit")).alias("_mix"))
-    full = attach(axes, packed, ["system"], small=small).select(*keys, F.inline("_mix"))
-    joined = full.join(counts, [*keys, "category"], "left")
-    return joined.select(
-        *keys, "category", F.ln(1.0 + F.coalesce(F.col("n"), F.lit(0))).alias("post_logit"), "prior_logit"
-    )
-
-
-def mix_divergence(logits: DataFrame, keys: Sequence[str], free_bits: float = FREE_BITS) -> DataFrame:
-    """KL of the softmax of `post_logit` from the softmax of `prior_logit` per key, floored at `free_bits`."""
-    group = Window.partitionBy(*keys)
-    # Nested windows are not allowed, so the shift and the sum are two steps over one partitioning.
-    step = logits
-    for c in ("post_logit", "prior_logit"):
-        step = step.withColumn(c, F.col(c) - F.max(c).over(group))
-    for c in ("post_logit", "prior_logit"):
-        step = step.withColumn(c, F.col(c) - F.ln(F.sum(F.exp(c)).over(group)))
-    term = F.exp("post_logit") * (F.col("post_logit") - F.col("prior_logit"))
-    kl = step.groupBy(*keys).agg(F.sum(term).alias("kl"))
-    return kl.withColumn("kl_floored", F.greatest(F.col("kl"), F.lit(free_bits)))
+    joined = attach(own, whole, ["system"])
+    total = F.col("_c") + F.col("_n")
+    lacking = F.col("_all_b") - F.col("_own_b")
+    kl = F.ln((F.col("_c") + F.col("_all_m")) / total) + (F.col("_own") - lacking) / total
+    return joined.select(*keys, kl.alias("kl")).withColumn("kl_floored", F.greatest(F.col("kl"), F.lit(free_bits)))
 
 
 def mix_concentration(counts: DataFrame, key: str = "entity", small: bool | None = None) -> DataFrame:

@@ -607,8 +607,7 @@ def _edge_error(t: Tables):
 )
 def m6(t):
     """Drift of each step's event mix from the mean mix."""
-    logits = score.mix_logits(t.step_mix, ["system", "ts"], t.small)
-    return score.mix_divergence(logits, ["system", "ts"], free_bits=0.05).drop("system")
+    return score.mix_divergence(t.step_mix, ["system", "ts"], free_bits=0.05).drop("system")
 
 
 @query("m7_mix_concentration", "SELECT entity, entropy, deviation FROM drift", rounded="entropy deviation")
@@ -624,7 +623,7 @@ def m7(t):
     rounded="metric_loss edge_loss kl_loss total_loss",
 )
 def m8(t):
-    divergence = score.mix_divergence(score.mix_logits(t.step_mix, ["system", "ts"], t.small), ["system", "ts"])
+    divergence = score.mix_divergence(t.step_mix, ["system", "ts"])
     kl = divergence.groupBy("system").agg(F.avg("kl_floored").alias("kl"))
     return score.objective(score.run_nll(t.scored_runs), _edge_error(t), kl).drop("system")
 
