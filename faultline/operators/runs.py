@@ -16,7 +16,7 @@ from faultline.operators.joins import attach, spread
 from faultline.operators.stats import by_feature
 
 
-def _beside(rows: DataFrame, keys: Sequence[str], order: str, kept: Sequence[str], block: int) -> DataFrame:
+def beside(rows: DataFrame, keys: Sequence[str], order: str, kept: Sequence[str], block: int) -> DataFrame:
     """Add `_prev` (struct of `kept` of the row before) and `_next` (`order` of the row after) within each key.
 
     Blocks of `block` units of `order` are ordered on their own; one row per occupied block is ordered as a whole.
@@ -54,7 +54,7 @@ def cell_runs(
     zero = [F.lit(0.0).alias(f) for f in features]
     rows = placed.unionByName(idle.select(*keys, F.lit(0).cast("bigint").alias("t_idx"), F.lit(False).alias("observed"), *zero))
     axis = steps.groupBy("system").agg(F.max("n_steps").alias("n_steps"))
-    seen = attach(_beside(rows, keys, "t_idx", features, block), axis, ["system"])
+    seen = attach(beside(rows, keys, "t_idx", features, block), axis, ["system"])
     return seen.select(
         *keys,
         "t_idx",

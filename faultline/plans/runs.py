@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.fixed_values import CONTEXT_FEATURES, EDGE_FEATURES, NODE_FEATURES, TRAIN_STRIDE, WINDOW
-from faultline.operators import detect, evaluate, rank, stats, windows
+from faultline.operators import detect, episodes, evaluate, rank, stats, windows
 from faultline.operators.joins import attach, fits
 from faultline.plans.views import Tables
-from faultline.session import scratch_path
+from faultline.session import cut, scratch_path
 from faultline.sources import dataset
 
 
@@ -37,13 +37,14 @@ def build_dataset(t: Tables, root: str | None = None, size: int = WINDOW, stride
     dataset.write_names(root, t.entities, t.edges)
     # An episode is stored as measured; a reader normalizes it once, with the stored stats.
     step = ["system", "ts", "t_idx", "n_steps", "is_normal"]
-    dataset.write_episode(
+    own = cut(episodes.in_episodes(t.steps.select("system", "ts"), t.sessions))
+    placed = lambda rows: attach(rows, own, ["system", "ts"], "left")
+    dataset.write_episodes(
         root,
-        "faults",
-        t.faults,
-        nodes=t.filled.select(*step, "entity", *NODE_FEATURES),
-        edges=t.edge_grid.select(*step, "src", "dst", *EDGE_FEATURES),
-        context=t.step_context,
+        episodes.in_episodes(t.faults, t.sessions),
+        nodes=placed(t.filled.select(*step, "entity", *NODE_FEATURES)),
+        edges=placed(t.edge_grid.select(*step, "src", "dst", *EDGE_FEATURES)),
+        context=placed(t.step_context),
     )
     dataset.write_metadata(root, t.spark, window_size=size, stride=stride, node_features=",".join(NODE_FEATURES))
     return root

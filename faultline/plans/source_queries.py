@@ -307,7 +307,7 @@ def s10_context(t):
 
 def _episode(t: Tables, kind: str) -> DataFrame:
     root = runs.build_dataset(t)
-    return dataset.read_episode(t.spark, root, "faults", dataset.read_stats(t.spark, root, kind), kind)[0]
+    return dataset.read_episode(t.spark, root, None, dataset.read_stats(t.spark, root, kind), kind)[0]
 
 
 @query("s11_episode_edges", f"SELECT t_idx, is_normal, src, dst, {each('$f', F4)} FROM edge_norm", rounded=ALL4, whole="t_idx")
@@ -325,6 +325,33 @@ def s11_episode(t):
     return _episode(t, "nodes").select("t_idx", "is_normal", "entity", *F8)
 
 
+@query(
+    "s11_episodes",
+    """WITH f AS (SELECT DISTINCT system, ts FROM faults),
+        marked AS (SELECT *, coalesce(ts - lag(ts) OVER w > 600 + 2 * 7200, true) AS begins FROM f WINDOW w AS (PARTITION BY system ORDER BY ts)),
+        numbered AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY system ORDER BY ts) AS k FROM marked),
+        e AS (SELECT system, system || '-' || min(ts) AS episode, min(ts) - 7200 AS start, max(ts) + 600 + 7200 AS stop FROM numbered GROUP BY system, k),
+        s AS (SELECT e.episode, count(*) AS n_steps_in, count(*) FILTER (NOT m.is_normal) AS n_abnormal, min(m.ts) AS first_ts, max(m.ts) AS last_ts
+              FROM e JOIN marked_steps m ON m.system = e.system AND m.ts >= e.start AND m.ts < e.stop GROUP BY e.episode)
+       SELECT e.episode, s.n_steps_in, s.n_abnormal, s.first_ts, s.last_ts, s.n_steps_in * (SELECT count(*) FROM ents) AS n_nodes,
+         s.n_steps_in * (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM edges)) AS n_edges,
+         (SELECT count(*) FROM faults l WHERE l.ts >= e.start AND l.ts < e.stop) AS n_labels
+       FROM e JOIN s USING (episode)""".replace("marked_steps", "steps"),
+    whole="n_steps_in n_abnormal first_ts last_ts n_nodes n_edges n_labels",
+)
+def s11_episodes(t):
+    """Every stored episode: its steps, mask, nodes, edges and labels, as read back."""
+    root = runs.build_dataset(t)
+    rows = {k: dataset.read_episode(t.spark, root, kind=k)[0].where("episode IS NOT NULL") for k in ("nodes", "edges", "context")}
+    labels = dataset.read_episode(t.spark, root)[1].where("episode IS NOT NULL")
+    steps = rows["context"].groupBy("episode").agg(
+        F.count("*").alias("n_steps_in"), F.count_if(~F.col("is_normal")).alias("n_abnormal"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    for name, part in (("n_nodes", rows["nodes"]), ("n_edges", rows["edges"]), ("n_labels", labels)):
+        steps = steps.join(part.groupBy("episode").agg(F.count("*").alias(name)), "episode")
+    return steps
+
+
 # --- end-to-end runs -------------------------------------------------------------------------
 
 _RATES = "mrr mean_rank top1_rate top3_rate time_rate ct_rate reason_rate"

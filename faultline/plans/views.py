@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline.fixed_values import EDGE_FEATURES, FAULT_SECONDS, NODE_FEATURES
 from faultline.functions.names import service_of
-from faultline.operators import detect, evaluate, featurize, graph, grid, joins, rank, runs, score, spans, stats, windows
+from faultline.operators import detect, episodes, evaluate, featurize, graph, grid, joins, rank, runs, score, spans, stats, windows
 from faultline.session import cut
 
 SYSTEM = "events"
@@ -216,6 +216,11 @@ class Tables:
     def bare_steps(self) -> DataFrame:
         return self.steps.select("system", "ts", "t_idx", "n_steps")
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        """Fault episodes by their time; written once."""
+        return cut(episodes.fault_sessions(self.faults, FAULT_SECONDS))
+
     # --- features ----------------------------------------------------------------------------
 
     @cached_property

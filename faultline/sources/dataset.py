@@ -37,10 +37,13 @@ def write_names(root: str, entities: DataFrame, edges: DataFrame) -> None:
     edges.write.mode("overwrite").parquet(posixpath.join(root, "names", "edges"))
 
 
-def write_episode(root: str, name: str, labels: DataFrame, **kinds: DataFrame) -> None:
-    """A fault episode: its labels and, by kind, its rows with the normal flag."""
+def write_episodes(root: str, labels: DataFrame, **kinds: DataFrame) -> None:
+    """Fault episodes: labels and, by kind, rows with the normal flag, each row once, in a folder for each `episode`.
+
+    Rows outside of every episode (NULL) are stored beside them, so the whole record can be read back.
+    """
     for kind, rows in {**kinds, "labels": labels}.items():
-        rows.write.mode("overwrite").parquet(posixpath.join(root, "episodes", name, kind))
+        rows.write.mode("overwrite").partitionBy("episode").parquet(posixpath.join(root, "episodes", kind))
 
 
 def read_split(spark: SparkSession, root: str, split: str, kind: str = "nodes") -> DataFrame:
@@ -61,11 +64,14 @@ def read_names(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_episode(
-    spark: SparkSession, root: str, name: str, stats: DataFrame | None = None, kind: str = "nodes"
+    spark: SparkSession, root: str, name: str | None = None, stats: DataFrame | None = None, kind: str = "nodes"
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of one kind and labels of an episode; rows are normalized when stats are given (store raw rows then)."""
-    rows = spark.read.parquet(posixpath.join(root, "episodes", name, kind))
-    labels = spark.read.parquet(posixpath.join(root, "episodes", name, "labels"))
+    """Rows of one kind and labels of an episode, or of the whole record without a name; rows are normalized when stats
+    are given (store raw rows then). Only the episode's own files are read."""
+    rows = spark.read.parquet(posixpath.join(root, "episodes", kind))
+    labels = spark.read.parquet(posixpath.join(root, "episodes", "labels"))
+    if name is not None:
+        rows, labels = rows.where(F.col("episode") == name), labels.where(F.col("episode") == name)
     if stats is not None:
         keys, features = KINDS[kind]
         rows = apply_stats(rows, stats, ["system", *keys], features)
