@@ -142,9 +142,10 @@ def window_crossings(
     base: DataFrame,
     k: float = 3.0,
     longest: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """First crossing of mu + k sigma per (window, entity); optionally only the window's first steps."""
-    found = over_windows(residuals, windows, level_of(base, k), sums=False)
+    found = over_windows(residuals, windows, level_of(base, k), sums=False, small=small)
     if longest is not None:
         found = found.withColumn("first_idx", F.when(F.col("first_idx") < F.col("start") + longest, F.col("first_idx")))
     return found
@@ -164,6 +165,7 @@ def time_hits(
     residuals: DataFrame,
     base: DataFrame,
     rule: str,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add `time_hit` to faults with their incident window.
 
@@ -182,7 +184,7 @@ def time_hits(
     )
     # Faults of one service and window share the answer, so ask once per distinct question.
     asked = limited.select("system", "entity", "_lo", "_hi").distinct()
-    seen = first_hot_of(residuals, asked, level_of(base, k), "_lo", "_hi")
+    seen = first_hot_of(residuals, asked, level_of(base, k), "_lo", "_hi", small=small)
     joined = attach(limited, seen, ["system", "entity", "_lo", "_hi"], "left", small=False).drop("_lo", "_hi")
     first = F.col("first_idx")
     if rule == "any":

@@ -11,12 +11,12 @@ from faultline.operators.spans import over_windows
 WINDOW_KEY = ("system", "start", "stop")
 
 
-def window_means(residuals: DataFrame, windows: DataFrame) -> DataFrame:
+def window_means(residuals: DataFrame, windows: DataFrame, small: bool | None = None) -> DataFrame:
     """Mean residual per (window, entity); NULL for entities without any scored step.
 
     Windows are made distinct first: faults that share a window share the work. Two lookups per window and entity.
     """
-    return over_windows(residuals, windows).select(*WINDOW_KEY, "entity", "mean_residual")
+    return over_windows(residuals, windows, small=small).select(*WINDOW_KEY, "entity", "mean_residual")
 
 
 def ranked(scores: DataFrame, by: str, out: str = "rank", missing: float = -99.0) -> DataFrame:
@@ -25,8 +25,8 @@ def ranked(scores: DataFrame, by: str, out: str = "rank", missing: float = -99.0
     return scores.withColumn(out, F.row_number().over(line).cast("bigint"))
 
 
-def rank_in_windows(residuals: DataFrame, windows: DataFrame, missing: float = -99.0) -> DataFrame:
-    return ranked(window_means(residuals, windows), "mean_residual", missing=missing)
+def rank_in_windows(residuals: DataFrame, windows: DataFrame, missing: float = -99.0, small: bool | None = None) -> DataFrame:
+    return ranked(window_means(residuals, windows, small), "mean_residual", missing=missing)
 
 
 def for_faults(placed: DataFrame, per_window: DataFrame) -> DataFrame:

@@ -37,24 +37,25 @@ def cell_runs(
     features: Sequence[str] = NODE_FEATURES,
     on: Sequence[str] = ("entity",),
     block: int = BLOCK,
+    small: bool | None = None,
 ) -> DataFrame:
     """Runs of the forward-filled grid: (system, *on, t_idx, next_idx, n_steps, observed, features, prev_ features).
 
     One run per observed cell (NULL values as 0), and one of zeros from step 0 for a member that isn't observed there.
     `prev_` columns are the values of the run before, NULL for a member's first run. Members that are never observed
-    have one run; cells at no step or of no member are left out.
+    have one run; cells at no step or of no member are left out. `small`: whether `members` was counted as small.
     """
     on = list(on)
     keys = ["system", *on]
     values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
     placed = attach(cells.select(*keys, "ts", *features), steps.select("system", "ts", "t_idx"), ["system", "ts"])
-    placed = attach(placed, members.select(*keys), keys, "left_semi").select(*keys, "t_idx", F.lit(True).alias("observed"), *values)
+    placed = attach(placed, members.select(*keys), keys, "left_semi", small).select(*keys, "t_idx", F.lit(True).alias("observed"), *values)
     begun = placed.where("t_idx = 0").select(*keys)
     idle = members.select(*keys).join(begun, keys, "left_anti").join(steps.select("system").distinct(), "system", "left_semi")
     zero = [F.lit(0.0).alias(f) for f in features]
     rows = placed.unionByName(idle.select(*keys, F.lit(0).cast("bigint").alias("t_idx"), F.lit(False).alias("observed"), *zero))
     axis = steps.groupBy("system").agg(F.max("n_steps").alias("n_steps"))
-    seen = attach(beside(rows, keys, "t_idx", features, block), axis, ["system"])
+    seen = attach(beside(rows, keys, "t_idx", features, block), axis, ["system"], small=small)
     return seen.select(
         *keys,
         "t_idx",
@@ -77,15 +78,18 @@ def step_counts(steps: DataFrame, use: str = "use_step", block: int = BLOCK) ->
     return rows.withColumn("_in", inside).join(ends, home).select("system", "t_idx", "used", (F.col("_base") + F.col("_in")).alias("upto"))
 
 
-def weighted(runs: DataFrame, counts: DataFrame) -> DataFrame:
+def weighted(runs: DataFrame, counts: DataFrame, small: bool | None = None) -> DataFrame:
     """Add `w`, the steps of the run that count, and `u`, 1 if its first one does."""
     at = counts.select("system", "t_idx", F.col("used").alias("u"), F.col("upto").alias("_a"))
     to = counts.select("system", F.col("t_idx").alias("_last"), F.col("upto").alias("_b"))
-    met = attach(attach(runs, at, ["system", "t_idx"]).withColumn("_last", F.col("next_idx") - 1), to, ["system", "_last"])
+    met = attach(runs, at, ["system", "t_idx"], small=small).withColumn("_last", F.col("next_idx") - 1)
+    met = attach(met, to, ["system", "_last"], small=small)
     return met.withColumn("w", F.col("_b") - F.col("_a") + F.col("u")).drop("_a", "_b", "_last")
 
 
-def fit_runs(weighed: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES) -> DataFrame:
+def fit_runs(
+    weighed: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES, small: bool | None = None
+) -> DataFrame:
     """What `score.fit_step` gives on the dense rows, from runs: mean, std, alpha, beta, sigma per key and feature.
 
     Inside a run a step equals the one before, at its start the pair is (value of the run before, value). Means come
@@ -105,7 +109,7 @@ def fit_runs(weighed: DataFrame, keys: Sequence[str], features: Sequence[str] =
         F.min(F.least(some("_f", "_r"), some("_i", "x"))).alias("_low"),
         F.max(F.greatest(some("_f", "_r"), some("_i", "x"))).alias("_high"),
     )
-    met = attach(long, means, [*keys, "feature"])
+    met = attach(long, means, [*keys, "feature"], small=small)
     x, r = F.col("x") - F.col("_mx"), F.col("_r") - F.col("_mr")
     inner = F.col("x") - F.col("_mr")
     sums = met.groupBy(*keys, "feature").agg(

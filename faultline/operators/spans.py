@@ -43,7 +43,9 @@ def _plus(a: Column, b: Column) -> Column:
     return F.struct(others[0], others[1], exact.alias("exact"), others[2], others[3])
 
 
-def series_index(residuals: DataFrame, levels: DataFrame | None = None, sums: bool = True, block: int = BLOCK) -> DataFrame:
+def series_index(
+    residuals: DataFrame, levels: DataFrame | None = None, sums: bool = True, block: int = BLOCK, small: bool | None = None
+) -> DataFrame:
     """(system, entity, t_idx) with `before` and `upto`, totals of the steps before and up to this one, and, with
     `levels` (system, level), `next_hot`, the first step from here on whose residual exceeds the level.
 
@@ -53,7 +55,7 @@ def series_index(residuals: DataFrame, levels: DataFrame | None = None, sums: bo
     home = ["system", "entity", "_blk"]
     rows = residuals.select("system", "entity", "t_idx", "residual", F.floor(F.col("t_idx") / block).alias("_blk"))
     if levels is not None:
-        rows = attach(rows, levels.select("system", "level"), ["system"], "left")
+        rows = attach(rows, levels.select("system", "level"), ["system"], "left", small)
         rows = rows.withColumn("_hot", F.when(F.col("residual") > F.col("level"), F.col("t_idx")))
     if sums:
         far = F.abs("residual") >= LARGE
@@ -100,20 +102,26 @@ def level_of(base: DataFrame, k: float) -> DataFrame:
 
 
 def over_windows(
-    residuals: DataFrame, windows: DataFrame, levels: DataFrame | None = None, sums: bool = True, block: int = BLOCK
+    residuals: DataFrame,
+    windows: DataFrame,
+    levels: DataFrame | None = None,
+    sums: bool = True,
+    block: int = BLOCK,
+    small: bool | None = None,
 ) -> DataFrame:
     """(system, start, stop, entity) for each distinct window and each entity, with `mean_residual` and `n_rows` of the
     steps in [start, stop), and with `levels` `first_idx`, the first step above the level.
 
-    Windows are clipped to the series. Joined rows: two per window and entity.
+    Windows are clipped to the series. Joined rows: two per window and entity. `small`: whether the systems were counted
+    as few.
     """
     key = ["system", "start", "stop"]
     ends = residuals.groupBy("system").agg((F.max("t_idx") + 1).alias("_n"))
-    asked = attach(windows.select(*key).distinct(), ends, ["system"])
+    asked = attach(windows.select(*key).distinct(), ends, ["system"], small=small)
     first, last = F.greatest(F.col("start"), F.lit(0)), F.least(F.col("stop"), F.col("_n")) - 1
     edges = F.array(F.struct(F.lit(True).alias("opens"), first.alias("t_idx")), F.struct(F.lit(False).alias("opens"), last.alias("t_idx")))
     edges = asked.where(first <= last).select(*key, F.explode(edges).alias("e")).select(*key, "e.opens", "e.t_idx")
-    met = edges.join(series_index(residuals, levels, sums, block), ["system", "t_idx"])
+    met = edges.join(series_index(residuals, levels, sums, block, small), ["system", "t_idx"])
     parts = []
     if sums:
         parts += [F.max(F.when(F.col("opens"), F.col("before"))).alias("_a"), F.max(F.when(~F.col("opens"), F.col("upto"))).alias("_b")]
@@ -130,9 +138,11 @@ def over_windows(
     return found.select(*key, "entity", *out)
 
 
-def first_hot_of(residuals: DataFrame, asked: DataFrame, levels: DataFrame, start: str, stop: str, block: int = BLOCK) -> DataFrame:
+def first_hot_of(
+    residuals: DataFrame, asked: DataFrame, levels: DataFrame, start: str, stop: str, block: int = BLOCK, small: bool | None = None
+) -> DataFrame:
     """`asked` (system, entity, start, stop under the given names) with `first_idx`, one lookup each; NULL without one."""
-    index = series_index(residuals, levels, sums=False, block=block)
+    index = series_index(residuals, levels, sums=False, block=block, small=small)
     index = index.select("system", "entity", F.col("t_idx").alias(start), "next_hot")
     met = asked.join(index, ["system", "entity", start], "left")
     return met.withColumn("first_idx", F.when(F.col("next_hot") < F.col(stop), F.col("next_hot"))).drop("next_hot")

@@ -180,7 +180,7 @@ def a11(t):
     whole="start stop",
 )
 def a12(t):
-    means = rank.window_means(t.residuals, t.peak_faults)
+    means = rank.window_means(t.residuals, t.peak_faults, t.small)
     return means.select("start", "stop", "entity", F.coalesce("mean_residual", F.lit(-99.0)).alias("mean_residual"))
 
 
@@ -439,7 +439,7 @@ def w10(t):
     whole="start stop first_idx",
 )
 def w11(t):
-    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0)
+    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, small=t.small)
     return rows.select("start", "stop", "entity", F.coalesce("first_idx", F.lit(9999)).alias("first_idx"))
 
 
@@ -450,7 +450,7 @@ def w11(t):
     whole="start stop first_idx",
 )
 def w12(t):
-    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0)
+    rows = detect.window_crossings(t.residuals, t.peak_faults, t.overall, k=2.0, small=t.small)
     return detect.earliest(rows).drop("system")
 
 
@@ -492,7 +492,7 @@ def w14(t):
     )
     out = None
     for rule, placed, base in asked:
-        hits = detect.time_hits(placed, t.residuals, base, rule)
+        hits = detect.time_hits(placed, t.residuals, base, rule, t.small)
         part = hits.select(F.lit(rule).alias("rule"), "fault_id", "first_idx", "time_hit")
         out = part if out is None else out.unionByName(part)
     return out

@@ -169,7 +169,7 @@ def j13(t):
 )
 def j14(t):
     windows = t.reported_faults.select("system", "start", "stop").distinct()
-    means = spans.over_windows(t.residuals, windows).withColumnRenamed("n_rows", "n_steps_in")
+    means = spans.over_windows(t.residuals, windows, small=t.small).withColumnRenamed("n_rows", "n_steps_in")
     return rank.for_faults(t.reported_faults, means).select(
         "fault_id", "start", "stop", "entity", "mean_residual", "n_steps_in"
     )

@@ -57,13 +57,13 @@ def evaluate_peaks(t: Tables) -> DataFrame:
 
 def evaluate_detected(t: Tables) -> DataFrame:
     """Summary with each fault's window taken from the detected intervals."""
-    placed = detect.time_hits(t.detected_faults, t.residuals, t.base, "any")
-    rankings = rank.rank_in_windows(t.residuals, t.detected_faults)
+    placed = detect.time_hits(t.detected_faults, t.residuals, t.base, "any", t.small)
+    rankings = rank.rank_in_windows(t.residuals, t.detected_faults, small=t.small)
     return evaluate.summary(evaluate.fault_results(placed, rankings, evaluate.role_inference(rankings)))
 
 
 def evaluate_reported(t: Tables) -> DataFrame:
     """Summary with each fault's window around its reported time."""
-    placed = detect.time_hits(t.reported_faults, t.residuals, t.base, "report")
-    rankings = rank.rank_in_windows(t.residuals, t.reported_faults)
+    placed = detect.time_hits(t.reported_faults, t.residuals, t.base, "report", t.small)
+    rankings = rank.rank_in_windows(t.residuals, t.reported_faults, small=t.small)
     return evaluate.summary(evaluate.fault_results(placed, rankings, evaluate.role_inference(rankings)))

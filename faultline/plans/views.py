@@ -259,8 +259,8 @@ class Tables:
     @cached_property
     def runs(self) -> DataFrame:
         """The filled grid as runs of observed cells, with the steps that count in each; written once."""
-        made = runs.cell_runs(self.cells, self.steps, self.entities)
-        return cut(runs.weighted(made, runs.step_counts(self.steps)))
+        made = runs.cell_runs(self.cells, self.steps, self.entities, small=self.small)
+        return cut(runs.weighted(made, runs.step_counts(self.steps), joins.fits(self.steps)))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -274,7 +274,7 @@ class Tables:
 
     @cached_property
     def fit(self) -> DataFrame:
-        return runs.fit_runs(self.runs, ["system", "entity"])
+        return runs.fit_runs(self.runs, ["system", "entity"], small=self.small)
 
     @cached_property
     def scored_runs(self) -> DataFrame:
@@ -368,7 +368,7 @@ class Tables:
 
     @cached_property
     def peak_ranks(self) -> DataFrame:
-        return rank.rank_in_windows(self.residuals, self.peak_faults)
+        return rank.rank_in_windows(self.residuals, self.peak_faults, small=self.small)
 
     @cached_property
     def downstream(self) -> DataFrame:
@@ -388,7 +388,7 @@ class Tables:
         return score.mix_concentration(self.type_counts, small=self.small)
 
     def fusion(self, how=rank.fuse_evidence) -> DataFrame:
-        seen = spans.over_windows(self.residuals, self.peak_faults, spans.level_of(self.overall, 2.0))
+        seen = spans.over_windows(self.residuals, self.peak_faults, spans.level_of(self.overall, 2.0), small=self.small)
         return how(seen, None, self.downstream, self.drift)
 
     @cached_property
@@ -398,5 +398,5 @@ class Tables:
     @cached_property
     def results(self) -> DataFrame:
         """One row per fault, window around the labelled service's peak."""
-        hits = detect.time_hits(self.peak_faults, self.residuals, self.overall, "peak")
+        hits = detect.time_hits(self.peak_faults, self.residuals, self.overall, "peak", self.small)
         return evaluate.fault_results(hits, self.peak_ranks, evaluate.role_inference(self.peak_ranks))

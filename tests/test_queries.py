@@ -11,7 +11,8 @@ from faultline.plans.registry import oracle_texts, spark_queries
 SOME = """p1_service_of_pod p10_log_severity p13_kpi_slots t1_top_entities j1_dense_grid j4_asof_logs j5_named_callee
 j10_component_tiers j12_normal_mask j15_detected_window a1_service_means a2_edge_features a8_normal_stats a15_summary
 w1_forward_fill w5_padded_windows w10_merged_scores w13_anomaly_intervals w14_time_hits r2_fused_ranking m3_node_residuals
-m6_mix_divergence g1_edge_list g3_blast_radius s1_metric_files s8_service_metrics u3_pooled_residuals m9_user_model""".split()
+m6_mix_divergence g1_edge_list g3_blast_radius s1_metric_files s5_one_object s8_service_metrics u3_pooled_residuals m9_user_model
+m9_window_model s11_episodes""".split()
 NAMES = sorted(spark_queries()) if os.environ.get("FAULTLINE_ALL") else SOME
 SF = "sf0.001"
 
