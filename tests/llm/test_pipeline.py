@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultline.llm import mixing, pii, quality, queries, sql
+from faultline.llm import common, mixing, pii, quality, queries, sql
 from faultline.session import scratch_path
 from test_operators import WORDS, brute_copies, brute_quality
 from tokenizers import Tokenizer
@@ -120,3 +120,14 @@ def test_extra_columns_with_clashing_names(spark):
 def test_which_corpus_queries_have_sql():
     assert set(sql.ORACLE_SQL) == {"op8_line_frequency", "op12_permuterm_variants", "op13_filter_interactions"}
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
+
+
+def test_rows_keep_their_names_when_read_again(spark):
+    folder = scratch_path(spark, "rows")
+    spark.range(100).selectExpr("id % 7 AS doc_id", "'t' AS text").repartition(5).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    for df in (docs, docs.where("doc_id < 5").select("text"), docs.union(docs), docs.groupBy("doc_id").count(), spark.createDataFrame([(1,)] * 4, "a int")):
+        named = common.with_rows(df)
+        one, two = (sorted(r["__row"] for r in named.collect()) for _ in range(2))
+        assert one == two and len(set(one)) == len(one) == df.count() and named.columns == [*df.columns, "__row"]
+    assert "file:" in common.with_rows(docs).first()["__row"]
