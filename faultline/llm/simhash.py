@@ -29,6 +29,10 @@ COPY_OF = (4, 5)
 SAMPLE_OFTEN = 4
 SAMPLE_DOCS = 5_000
 SAMPLE_KEPT = 200_000
+#: Members from which a list has pivots, random orders that give them, and size classes for a factor of e.
+LONG_LIST, PIVOTS, SIZE_CLASSES = 32, 4, 8
+#: Pairs that each component may have compared in the first turns, on either side.
+TURNS = (4, 32)
 
 
 # --- fingerprints ----------------------------------------------------------------------------
@@ -264,12 +268,12 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
-    """Of (a, n, b, m), a row for each list of both, the pairs (a, b) that can be near copies: what is shared outside the
-    prefixes is at most the larger rest, so the prefixes must share what is missing."""
+    """Of (a, n, b, m), a row for each list of both, the pairs (a, b, share) that can be near copies: what is shared outside
+    the prefixes is at most the larger rest, so the prefixes must share what is missing. `share` is the part they do."""
     num, den = COPY_OF
     rest = F.greatest(*[F.ceil(F.col(x) * num / den) - 1 for x in ("n", "m")])
     enough = (F.col("c") + rest) * (num + den) >= num * (F.col("n") + F.col("m"))
-    return cut(pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(enough).select("a", "b"))
+    return cut(pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(enough).select("a", "b", (F.col("c") / (F.col("n") + F.col("m"))).alias("share")))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -285,17 +289,61 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(pairs.join(one, "a").join(two, "b").where(close).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _early_pairs(lists: DataFrame) -> DataFrame:
+    """(a, n, b, m) for neighbours in each list (rep, n, h, many), by size, and in long lists for each member with the
+    pivots: the members of its size class that come first in each of a few random orders. The orders are the same in
+    all lists, so a group of near copies meets the same pivots in nearly all lists that it shares."""
+    num, den = COPY_OF
+    one = F.struct("n", "rep")
+    before = F.lag(one).over(Window.partitionBy("h").orderBy("n", "rep"))
+    alike = Window.partitionBy("h", F.floor(F.log("n") * SIZE_CLASSES))
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("order"), one.alias("one"))).over(alike)["one"] for k in range(PIVOTS)]
+    short = lists.where(F.col("many") <= LONG_LIST).select(one.alias("x"), before.alias("y")).where("y IS NOT NULL")
+    long = lists.where(F.col("many") > LONG_LIST).select(one.alias("x"), F.array_distinct(F.array_compact(F.array(before, *firsts))).alias("ys"))
+    pairs = short.unionByName(long.select("x", F.explode("ys").alias("y")).where("x <> y"))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("x.n").alias("n"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))
+    return pairs.where(F.col("n") * den >= F.col("m") * num)
+
+
+def _linked_in_turns(pairs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """`found` and links of `pairs`, as many as make the same components as the links of all of them.
+
+    Of the pairs between components, each turn compares those of each component that share most, some for each side,
+    and the last turn all that are left. So most members of a large group meet through few pairs.
+    """
+    for most in (*TURNS, None):
+        if pairs.isEmpty():
+            break
+        known = cut(components(found))
+        roots = attach_small(pairs, known.select(F.col("node").alias("a"), F.col("root").alias("of_a")), ["a"])
+        roots = attach_small(roots, known.select(F.col("node").alias("b"), F.col("root").alias("of_b")), ["b"])
+        roots = roots.select("a", "b", "share", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+        pairs = cut(roots.where("of_a <> of_b"))
+        if most is None:
+            return found.unionByName(_confirmed(pairs, texts))
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("part")
+        best = [pairs.groupBy(side, part).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.*") for side in ("of_a", "of_b")]
+        chosen = cut(best[0].unionByName(best[1]).distinct())
+        found = found.unionByName(_confirmed(chosen, texts))
+        pairs = pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b", "share")
+    return found
+
+
 def copy_groups(rows: DataFrame) -> DataFrame:
     """(row, doc_id, root) for rows (row, doc_id, sig, text): root is the same for rows that chains of near copies link.
 
     Near copies have a Jaccard similarity of 4/5 or more over runs of five words; pairs as far apart as 15 bits of a
     SimHash were seen among them, so candidates come from the prefixes of the sets (exact for any one order; runs that
     a sample of documents has often come last). Equal sets are one node. Neighbours in a prefix list are compared
-    first; then all pairs of a list that are not linked by then. Texts without words are one group. Sets are larger
-    than texts, so they are made from the text where needed and only those of candidates are written.
+    first, in long lists also each member and the pivots of its list; then pairs of a list that are not linked by then,
+    in turns, until none is left. Texts without words are one group. Sets are larger than texts, so they are made from the text where needed
+    and only those of candidates are written.
     """
-    reps = rows.groupBy("sig").agg(F.min("row").alias("rep"))
-    of = cut(rows.select("row", "doc_id", "sig").join(reps, "sig").select("row", "doc_id", "rep"))
+    copied = rows.groupBy("sig").agg(F.min("row").alias("rep"), F.count("*").alias("times"))
+    copied = cut(copied.where("times > 1").select("sig", "rep"))
+    of = attach_small(rows.select("row", "doc_id", "sig"), copied, ["sig"])
+    of = cut(of.select("row", "doc_id", F.coalesce("rep", "row").alias("rep")))
     more = of.where("row <> rep").select("row", F.lit(1).alias("more"))
     texts = attach_small(rows.select("row", "text"), more, ["row"]).where("more is null").select(F.col("row").alias("rep"), "text")
     every = max(1, of.where("row = rep").count() // SAMPLE_DOCS)
@@ -306,20 +354,18 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     udf = _prefixes(often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
     sets = texts.select("rep", _shingle_sets("text").alias("hs"))
     lists = sets.select("rep", F.size("hs").alias("n"), F.explode(udf("hs")).alias("h"))
-    shared = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1").drop("many")
-    lists = cut(shared)
+    lists = cut(lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1"))
     num, den = COPY_OF
-    last = Window.partitionBy("h").orderBy("n", "rep")
-    next_to = lists.select("rep", "n", F.lag("rep").over(last).alias("o"), F.lag("n").over(last).alias("m"))
-    next_to = next_to.where(F.col("m") * den >= F.col("n") * num)
-    first = _confirmed(_counted(next_to.select(F.col("o").alias("a"), F.col("m").alias("n"), F.col("rep").alias("b"), F.col("n").alias("m"))), texts)
+    first = _confirmed(_counted(_early_pairs(lists)), texts)
     known = components(first)
-    named = cut(lists.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root")))
+    named = lists.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
+    both = [end("root").over(Window.partitionBy("h")) for end in (F.min, F.max)]
+    named = cut(named.withColumn("open", both[0] != both[1]).where("open").drop("open"))
     other = named.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     fits = (F.col("rep") < F.col("b")) & (F.col("root") != F.col("other"))
     fits &= (F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num)
     rest = named.join(other, (named.h == other.h) & fits).select(F.col("rep").alias("a"), "n", "b", "m")
-    reach = components(first.unionByName(_confirmed(_counted(rest), texts)))
+    reach = components(_linked_in_turns(_counted(rest), first, texts))
     joined = of.join(reach, F.col("rep") == F.col("node"), "left")
     return joined.select("row", "doc_id", F.coalesce("root", "rep").alias("root"))
 
