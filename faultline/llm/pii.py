@@ -35,21 +35,24 @@ SYLLABLES = {
 }
 #: In the place of an attempt: the surrogate is that of a permutation of the format.
 PERMUTED = -1
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+"
+_UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
+_WORD = rf"[{_UPPER}](?:[a-zß-öø-ÿа-яёά-ώ]+|[{_UPPER}]+)(?!\w)"
 MENTION = re.compile(
     r"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"""
     r"""|(?i:(?:token|secret|password|passwd|api[_-]?key)["']?[ ]*[=:][ ]*["']?)(?P<secret>[A-Za-z0-9_+/-]{16,})"""
-    r"""|(?<![\w.])(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?!\w)"""
+    r"""|(?<![\w.])(?P<iban>[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ ][A-Z]{4})?(?:[ ][0-9]{4}){2,7}(?:[ ][0-9]{1,3})?))(?!\w)"""
+    r"""|(?<![\w:])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"""
     r"""|(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?![\w]|\.[0-9])"""
     r"""|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"""
     r"""|(?<![\w.-])(?P<card>[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![\w-])"""
-    r"""|(?<!\w)(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15})(?![\w-])"""
+    r"""|(?<!\w)(?P<phone>\+[1-9](?=(?:[ .-]?[0-9]){7,14}(?![0-9]))[0-9]{0,2}(?:[ .-][0-9]{2,8}){1,4}(?![\w-])"""
+    r"""|(?<![.-])1[3-9][0-9]{9}(?![\w-]|\.[0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{4}|\+[0-9]{8,15})(?![\w-])"""
     r"""|(?:\b(?P<title>""" + "|".join(TITLES) + rf""")\.?[ ](?P<titled>{_WORD}(?:[ ]{_WORD})?))"""
     r"""|(?:\b(?P<given>""" + "|".join(GENDER) + rf""")[ ](?P<family>{_WORD}))"""
 )
 #: A capitalised whole word.
-NAME = re.compile(rf"(?<!\w){_WORD}(?!\w)")
-MARKED = re.compile("[0-9@]")
+NAME = re.compile(rf"(?<!\w){_WORD}")
+MARKED = re.compile("[0-9@]|::|[0-9A-Fa-f]:[0-9A-Fa-f]")
 SECRETS = ("token", "secret", "passw", "api")
 NAMES = (*TITLES, *GENDER)
 
@@ -78,8 +81,8 @@ def _script(word: str) -> str:
 
 
 def find(text: str | None) -> list[Mention]:
-    """Entities of a text, left to right. Names are found by title or common given name, and part by part; after that
-    each part is found wherever it stands alone further on in the text, as the same entity."""
+    """Entities of a text, left to right. Names are found by title or common given name, and part by part; then each
+    part is found wherever it stands alone in the text, also in capitals or before, as the same entity."""
     if not text or not _hinted(text):
         return []
     found, base = [], 0
@@ -87,21 +90,21 @@ def find(text: str | None) -> list[Mention]:
         if _hinted(line):
             found += _in_line(line, base)
         base += len(line) + 1
-    return _with_later_names(text, found)
+    return _with_other_names(text, found)
 
 
-def _with_later_names(text: str, found: list[Mention]) -> list[Mention]:
-    """Adds later mentions of name parts as capitalised whole words; a part of several kinds is of its first kind."""
+def _with_other_names(text: str, found: list[Mention]) -> list[Mention]:
+    """Adds other mentions of name parts as capitalised whole words; a part of several kinds is of its first kind."""
     parts: dict[str, Mention] = {}
     for m in found:
         if m.kind.startswith(("given", "family")):
-            parts.setdefault(text[m.start : m.end], m)
+            parts.setdefault(m.canon, m)
     if not parts:
         return found
     taken, at, more = found, 0, []
-    for w in NAME.finditer(text, min(m.end for m in parts.values())):
-        first = parts.get(w[0])
-        if first is None or w.start() < first.end:
+    for w in NAME.finditer(text):
+        first = parts.get(w[0].lower())
+        if first is None:
             continue
         while at < len(taken) and taken[at].end <= w.start():
             at += 1
@@ -131,7 +134,7 @@ def _in_line(line: str, base: int) -> list[Mention]:
         if kind in ("card", "phone", "ssn"):
             canon = re.sub("[^0-9+]", "", raw)
         else:
-            canon = raw.lower() if kind in ("email", "secret") else raw
+            canon = raw.lower() if kind in ("email", "secret", "ipv6") else raw.replace(" ", "") if kind == "iban" else raw
         found.append(Mention(base + m.start(kind), base + m.end(kind), kind, canon))
     return found
 
@@ -177,6 +180,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         first = canon.split(".")[0]
         head = [first] if first in ("10", "127") else [first, canon.split(".")[1]] if first in ("192", "172") else [str(11 + s.pick(90))]
         return ".".join([*head, *(str(1 + s.pick(254)) for _ in range(4 - len(head)))])
+    if kind == "ipv6":  # the first group stays, all others are written out
+        return ":".join([canon.split(":")[0], *(f"{s.pick(1 << 16):x}" for _ in range(7))])
     if kind in ("card", "ssn", "phone"):
         keep = len(canon) - 10 if canon.startswith("+") and len(canon) > 10 else 1 if kind == "card" else 0
         digits = canon[:keep] + "".join(str(s.pick(10)) for _ in canon[keep:])
@@ -271,18 +276,25 @@ def render(raw: str, canon: str, kind: str) -> str:
         digits = iter(canon)
         shaped = "".join(next(digits) if c.isdigit() or c == "+" else c for c in raw)
         return shaped + "".join(digits)
+    if kind == "iban":
+        made = iter(canon)
+        return "".join(" " if c == " " else next(made) for c in raw)
     if kind.startswith(("given", "family")):
-        return canon.title()
-    if kind in ("email", "secret") and raw.upper() == raw and raw.lower() != raw:
+        return canon.upper() if raw.isupper() else canon.title()
+    if kind in ("email", "secret", "ipv6") and raw.upper() == raw and raw.lower() != raw:
         return canon.upper()
     return canon
 
 
-def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, int, list]:
-    """The text with surrogates, the number of entities, and their spans in the result as (start, length, kind)."""
+def replace(text: str | None, key: bytes, known: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, int, list]:
+    """The text with surrogates, the number of entities, and their spans in the result as (start, length, kind).
+
+    `known` has the kind and attempt of those (kind, canon) that don't have their own kind and the first attempt.
+    """
     out, at, size, spans = [], 0, 0, []
     for m in find(text):
-        new = render(text[m.start : m.end], surrogate(key, m.kind, m.canon, attempts.get((m.kind, m.canon), 0)), m.kind)
+        kind, attempt = known.get((m.kind, m.canon), (m.kind, 0))
+        new = render(text[m.start : m.end], surrogate(key, kind, m.canon, attempt), kind)
         out += [text[at : m.start], new]
         size += m.start - at
         spans.append({"start": size, "length": len(new), "kind": m.kind.partition("-")[0]})
@@ -346,15 +358,31 @@ def assignments(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         table = cut(kept.unionByName(retry.select("kind", "canon", "attempt").mapInPandas(_assign(key), schema)))
 
 
+def settled_kinds(entities: DataFrame) -> DataFrame:
+    """(kind, canon, as_kind) for distinct (kind, canon): the kinds of one given name in one script become one.
+
+    Its gender is the one that titles or the list of given names tell anywhere in the corpus, unknown if none or both
+    do. Other kinds stay.
+    """
+    gender = F.split("kind", "-")[1]
+    given = F.col("kind").startswith("given-")
+    who = ["canon", F.split("kind", "-")[2].alias("script")]
+    told = F.collect_set(F.when(gender != "u", gender))
+    names = entities.where(given).groupBy(*who).agg(F.when(F.size(told) == 1, told[0]).otherwise("u").alias("told"))
+    named = entities.where(given).withColumn("script", F.split("kind", "-")[2]).join(names, ["canon", "script"])
+    named = named.select("kind", "canon", F.concat_ws("-", F.lit("given"), "told", "script").alias("as_kind"))
+    return named.unionByName(entities.where(~given).select("kind", "canon", F.col("kind").alias("as_kind")))
+
+
 RESULT = StructType().add("text", StringType()).add("n", LongType()).add(
     "spans", ArrayType(StructType().add("start", LongType()).add("length", LongType()).add("kind", StringType()))
 )
 
 
-def _rewrite(key: bytes, known: dict[tuple[str, str], int]) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
+def _rewrite(key: bytes, known: dict[tuple[str, str], tuple[str, int]]) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
     def run(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
         made = [
-            replace(t, key, {(x["kind"], x["canon"]): x["attempt"] for x in o} if o is not None else known)
+            replace(t, key, {(x["kind"], x["canon"]): (x["as_kind"], x["attempt"]) for x in o} if o is not None else known)
             for t, o in zip(texts, own)
         ]
         return pd.DataFrame(made, columns=["text", "n", "spans"])
@@ -366,21 +394,25 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     """`docs` with surrogates in the text, and __n_entities and __spans (start, length, kind in the new text).
 
     Surrogates follow from the key and the entity alone, so mentions in different documents agree without a join.
-    Only entities that had to try again are looked up: from a broadcast when counted as few, else by a join on the
-    documents they are in. NULL and empty texts stay; repeated rows are treated alike; other columns pass through.
+    Only entities that had to try again, and given names whose gender other mentions tell, are looked up: from a broadcast when counted as few, else by a join on the
+    documents they are in. NULL and empty texts stay; long texts are searched whole, line by line; an empty table gives
+    no rows; repeated rows are treated alike; other columns pass through.
     """
     k = F.xxhash64(text_col).alias("k")
     mentions = short_batches(docs).select(k, F.col(text_col).alias("text")).mapInPandas(_entities, "k bigint, kind string, canon string")
-    table = assignments(cut(mentions.select("kind", "canon").distinct()), key)
-    retried = cut(table.where("attempt <> 0").select("kind", "canon", "attempt"))
+    kinds = cut(settled_kinds(cut(mentions.select("kind", "canon").distinct())))
+    table = assignments(kinds.select(F.col("as_kind").alias("kind"), "canon").distinct(), key)
+    retried = table.where("attempt <> 0").select(F.col("kind").alias("as_kind"), "canon", "attempt")
+    retried = kinds.join(retried, ["as_kind", "canon"], "left").where("attempt IS NOT NULL OR kind <> as_kind")
+    retried = cut(retried.select("kind", "canon", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt")))
     some = retried.limit(BROADCAST_ROWS + 1).collect()
     if len(some) <= BROADCAST_ROWS:
-        known = {(r.kind, r.canon): r.attempt for r in some}
-        rows = docs.withColumn("__own", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        known = {(r.kind, r.canon): (r.as_kind, r.attempt) for r in some}
+        rows = docs.withColumn("__own", F.lit(None).cast("array<struct<kind:string,canon:string,as_kind:string,attempt:int>>"))
     else:
         known = {}
         of = mentions.join(retried, ["kind", "canon"]).groupBy(F.col("k").alias("__k"))
-        of = of.agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("__own"))
+        of = of.agg(F.collect_set(F.struct("kind", "canon", "as_kind", "attempt")).alias("__own"))
         rows = docs.join(of, F.xxhash64(text_col) == F.col("__k"), "left")
     made = rows.withColumn("__made", F.pandas_udf(_rewrite(key, known), RESULT)(F.col(text_col), F.col("__own")))
     columns = [F.col("__made.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
