@@ -16,9 +16,21 @@ KINDS = {
 }
 
 
+def _write_parts(root: str, name: str, rows: DataFrame, by: str) -> None:
+    """Rows in a folder for each value of `by`; their columns are stored beside, since no rows leave no file to tell them."""
+    rows.write.mode("overwrite").partitionBy(by).parquet(posixpath.join(root, name))
+    shape = rows.select(*[c for c in rows.columns if c != by], by).schema
+    rows.sparkSession.createDataFrame([], shape).write.mode("overwrite").parquet(posixpath.join(root, "columns", name))
+
+
+def _read_parts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    shape = spark.read.parquet(posixpath.join(root, "columns", name)).schema
+    return spark.read.schema(shape).parquet(posixpath.join(root, name))
+
+
 def write_windows(root: str, kind: str, windowed: DataFrame) -> None:
     """Window rows, partitioned by split: a reader of one split touches only its files."""
-    windowed.write.mode("overwrite").partitionBy("split").parquet(posixpath.join(root, kind))
+    _write_parts(root, kind, windowed, "split")
 
 
 def write_stats(root: str, kind: str, stats: DataFrame) -> None:
@@ -43,11 +55,11 @@ def write_episodes(root: str, labels: DataFrame, **kinds: DataFrame) -> None:
     Rows outside of every episode (NULL) are stored beside them, so the whole record can be read back.
     """
     for kind, rows in {**kinds, "labels": labels}.items():
-        rows.write.mode("overwrite").partitionBy("episode").parquet(posixpath.join(root, "episodes", kind))
+        _write_parts(root, posixpath.join("episodes", kind), rows, "episode")
 
 
 def read_split(spark: SparkSession, root: str, split: str, kind: str = "nodes") -> DataFrame:
-    return spark.read.parquet(posixpath.join(root, kind)).where(F.col("split") == split)
+    return _read_parts(spark, root, kind).where(F.col("split") == split)
 
 
 def read_stats(spark: SparkSession, root: str, kind: str = "nodes") -> DataFrame:
@@ -68,8 +80,8 @@ def read_episode(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of one kind and labels of an episode, or of the whole record without a name; rows are normalized when stats
     are given (store raw rows then). Only the episode's own files are read."""
-    rows = spark.read.parquet(posixpath.join(root, "episodes", kind))
-    labels = spark.read.parquet(posixpath.join(root, "episodes", "labels"))
+    rows = _read_parts(spark, root, posixpath.join("episodes", kind))
+    labels = _read_parts(spark, root, posixpath.join("episodes", "labels"))
     if name is not None:
         rows, labels = rows.where(F.col("episode") == name), labels.where(F.col("episode") == name)
     if stats is not None:
