@@ -93,7 +93,8 @@ def fit_runs(
     """What `score.fit_step` gives on the dense rows, from runs: mean, std, alpha, beta, sigma per key and feature.
 
     Inside a run a step equals the one before, at its start the pair is (value of the run before, value). Means come
-    first, then sums about them, so nothing cancels; a constant regressor is told by its bounds.
+    first, then sums about them, so nothing cancels; a constant regressor is told by its bounds. Without any pair that
+    counts (the only normal step is the first) there are mean and std, but no line: its columns are NULL.
     """
     keys = list(keys)
     long = by_feature(weighed, [*keys, "w", "u", "t_idx"], features, ["prev_" + f for f in features])
@@ -104,8 +105,8 @@ def fit_runs(
         F.sum("w").alias("_w"),
         (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"),
         F.sum(F.col("_f") + F.col("_i")).alias("_n"),
-        (F.sum(F.col("_f") * F.col("_r") + F.col("_i") * F.col("x")) / F.sum(F.col("_f") + F.col("_i"))).alias("_mr"),
-        (F.sum((F.col("_f") + F.col("_i")) * F.col("x")) / F.sum(F.col("_f") + F.col("_i"))).alias("_mx"),
+        F.try_divide(F.sum(F.col("_f") * F.col("_r") + F.col("_i") * F.col("x")), F.sum(F.col("_f") + F.col("_i"))).alias("_mr"),
+        F.try_divide(F.sum((F.col("_f") + F.col("_i")) * F.col("x")), F.sum(F.col("_f") + F.col("_i"))).alias("_mx"),
         F.min(F.least(some("_f", "_r"), some("_i", "x"))).alias("_low"),
         F.max(F.greatest(some("_f", "_r"), some("_i", "x"))).alias("_high"),
     )
@@ -121,7 +122,8 @@ def fit_runs(
     )
     std = F.sqrt(F.col("_dev") / F.col("_w")) + STD_FLOOR
     slope = F.when((F.col("_high") > F.col("_low")) & (F.col("_srr") > 0), F.col("_srx") / F.col("_srr")).otherwise(0.0)
-    rest = F.greatest((F.col("_sxx") - F.col("_b") * F.col("_srx")) / F.col("_n"), F.lit(0.0))
+    rest = F.greatest(F.try_divide(F.col("_sxx") - F.col("_b") * F.col("_srx"), F.col("_n")), F.lit(0.0))
+    paired = F.col("_n") > 0
     level = F.col("_mx") - F.col("_b") * F.col("_mr")
     return sums.withColumns({"std": std, "_b": slope}).select(
         *keys,
@@ -129,8 +131,8 @@ def fit_runs(
         "mean",
         "std",
         ((level + F.col("_b") * F.col("mean") - F.col("mean")) / F.col("std")).alias("alpha"),
-        F.col("_b").alias("beta"),
-        (F.sqrt(rest) / F.col("std")).alias("sigma"),
+        F.when(paired, F.col("_b")).alias("beta"),
+        F.when(paired, F.sqrt(rest) / F.col("std")).alias("sigma"),
     )
 
 

@@ -143,7 +143,10 @@ def step_residuals(
 def run_residuals(
     runs: DataFrame, fit: DataFrame, keys: Sequence[str], features: Sequence[str] = NODE_FEATURES, small: bool | None = None
 ) -> DataFrame:
-    """Runs with `at_start`, the residual of their first step (NULL for a member's first), and `inside`, that of the others."""
+    """Runs with `at_start`, the residual of their first step (NULL for a member's first), and `inside`, that of the others.
+
+    Both are NULL for a member without a line.
+    """
     joined = attach(runs, scoring_form(fit, keys, features), keys, small=small)
     of = lambda regressors: _mean([k["level"] + k["curve"] * e * e for k, e in _errors(features, regressors)])
     return joined.withColumns({"at_start": of(["prev_" + f for f in features]), "inside": of(features)}).drop("_fit")
@@ -151,10 +154,10 @@ def run_residuals(
 
 def run_nll(scored: DataFrame) -> DataFrame:
     """`overall_nll` from scored runs: the inside residual counts once for each step after the first."""
-    more = F.col("next_idx") - F.col("t_idx") - 1
+    more = F.when(F.col("inside").isNotNull(), F.col("next_idx") - F.col("t_idx") - 1).otherwise(0)
     total = F.coalesce("at_start", F.lit(0.0)) + F.when(more > 0, more * F.col("inside")).otherwise(0.0)
     n = F.sum(F.col("at_start").isNotNull().cast("bigint") + more)
-    return scored.groupBy("system").agg((F.sum(total) / n).alias("nll"), n.alias("n"))
+    return scored.groupBy("system").agg(F.try_divide(F.sum(total), n).alias("nll"), n.alias("n"))
 
 
 def overall_nll(residuals: DataFrame) -> DataFrame:
@@ -212,10 +215,10 @@ def mix_concentration(counts: DataFrame, key: str = "entity", small: bool | None
 
 
 def objective(nll_row: DataFrame, edge_row: DataFrame, kl_row: DataFrame) -> DataFrame:
-    """Weighted fit report: NLL + 0.3 edge error + 0.1 divergence, one row per system."""
+    """Weighted fit report: NLL + 0.3 edge error + 0.1 divergence, one row per system; what is missing stays NULL."""
     joined = nll_row.select("system", F.col("nll").alias("metric_loss")).join(
-        edge_row.select("system", F.col("edge_mse").alias("edge_loss")), "system"
-    ).join(kl_row.select("system", F.col("kl").alias("kl_loss")), "system")
+        edge_row.select("system", F.col("edge_mse").alias("edge_loss")), "system", "left"
+    ).join(kl_row.select("system", F.col("kl").alias("kl_loss")), "system", "left")
     total = F.col("metric_loss") + EDGE_WEIGHT * F.col("edge_loss") + KL_WEIGHT * F.col("kl_loss")
     return joined.withColumn("total_loss", total)
 

@@ -242,7 +242,9 @@ def a18(t):
     ask = t.peak_faults.select("fault_id", *key)
     by_residual = attach(ask, t.peak_ranks.select(*key, "rank"), key, small=False)
     by_fusion = attach(ask, t.fused.select(*key, F.col("fused_rank").alias("rank")), key, small=False)
-    return evaluate.compare_rankings(by_residual, by_fusion).drop("system")
+    compared = evaluate.compare_rankings(by_residual, by_fusion)
+    counts = ["n", "top1_residual", "top1_fused", "improved"]
+    return t.axis.select("system").join(compared, "system", "left").fillna(0, counts).drop("system")
 
 
 # Calls into each service as the regressor of its features; the fit is kept, only the input changes.
@@ -550,7 +552,7 @@ def r2_published(t):
     rounded="alpha beta sigma",
 )
 def m1(t):
-    return t.fit.select("entity", "feature", "alpha", "beta", "sigma")
+    return t.fit.where("alpha IS NOT NULL").select("entity", "feature", "alpha", "beta", "sigma")
 
 
 @query(

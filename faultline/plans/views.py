@@ -282,9 +282,9 @@ class Tables:
 
     @cached_property
     def raw_residuals(self) -> DataFrame:
-        """Residual of every (step, entity); NULL at the first step. Here runs become dense rows."""
+        """Residual of every (step, entity) that has a line; NULL at the first step. Here runs become dense rows."""
         steps = self.steps.select("system", "ts", "t_idx", "n_steps", "is_normal")
-        rows = runs.unrolled(self.scored_runs, steps, ["entity", "at_start", "inside"])
+        rows = runs.unrolled(self.scored_runs.where("inside IS NOT NULL"), steps, ["entity", "at_start", "inside"])
         residual = F.when(F.col("begins"), F.col("at_start")).otherwise(F.col("inside"))
         return rows.select("system", "ts", "t_idx", "n_steps", "is_normal", "entity", residual.alias("residual"))
 
