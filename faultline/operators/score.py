@@ -166,8 +166,9 @@ def overall_nll(residuals: DataFrame) -> DataFrame:
 
 
 def edge_error(rows: DataFrame, fit: DataFrame, keys: Sequence[str], features: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Mean squared one-step error of edge features, in normalized units."""
-    joined = attach(rows, scoring_form(fit, keys, features), keys, small=small)
+    """Mean squared one-step error of edge features, in normalized units; edges without a line have none."""
+    lines = fit.where("alpha IS NOT NULL")
+    joined = attach(rows, scoring_form(lines, keys, features), keys, small=small)
     parts = [k["scale"] * e * e for k, e in _errors(features, ["prev_" + f for f in features])]
     return joined.select("system", _mean(parts).alias("_e")).groupBy("system").agg(
         F.avg("_e").alias("edge_mse"), F.count("_e").alias("n")

@@ -25,3 +25,11 @@ def test_no_pair_gives_statistics_but_no_line(spark):
     kl = spark.createDataFrame([("s", 1.0), ("q", 1.0)], "system string, kl double")
     whole = score.objective(score.run_nll(scored), edge, kl).collect()
     assert {(r.system, r.edge_loss, r.total_loss) for r in whole} == {("s", None, None), ("q", None, None)}
+
+
+def test_edges_without_a_line_have_no_error(spark):
+    rows = [(s, "a", "b", t, float(t), float(t - 1) if t else None, s == "q" or t == 0) for s in "sq" for t in range(4)]
+    pairs = spark.createDataFrame(rows, "system string, src string, dst string, t_idx bigint, x double, prev_x double, use_step boolean")
+    key = ["system", "src", "dst"]
+    got = score.edge_error(pairs, score.fit_step(pairs, key, ["x"]), key, ["x"], True).collect()
+    assert [(r.system, r.n) for r in got] == [("q", 3)]
