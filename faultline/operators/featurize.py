@@ -70,7 +70,7 @@ def resolve_calls(spans: DataFrame, names: DataFrame, entry: str = ENTRY_SERVICE
     unresolved is dropped.
     """
     read = spans.withColumn("src", service_of(F.col("pod"))).withColumn("op", F.lower("operation"))
-    named = first_containing(read.where(F.col("op").isNotNull()), "op", names, "named", exclude="src")
+    named = first_containing(read.where(F.col("op").isNotNull()), "op", names, "named", exclude="src", repeated=True)
     fallback = F.when((F.col("parent") == "root") & (F.col("src") != entry), F.lit(entry))
     return named.withColumn("dst", F.coalesce(F.col("named"), fallback)).where(F.col("dst").isNotNull())
 

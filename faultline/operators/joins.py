@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.fixed_values import FAULT_SECONDS, INFRA_WORDS
 from faultline.functions.names import squash
+from faultline.session import cut
 
 BROADCAST_ROWS = 50_000
 SALTS = 32
@@ -120,21 +121,27 @@ def first_containing(
     exclude: str | None = None,
     either: bool = False,
     inline: bool | None = None,
+    repeated: bool = False,
 ) -> DataFrame:
     """Add `out`: the first name (by `idx`) contained in `text`, or NULL.
 
     `names` holds (system, name, idx). `exclude` is a column whose value may not be chosen;
     with `either`, a text contained in the name counts as well.
 
-    At most `INLINE_NAMES` names are tested within the row. Beyond, the distinct texts find their names through an
+    At most `INLINE_NAMES` names are tested within the row, or, where texts are `repeated` and their distinct ones were
+    counted as few, once for each of those. Beyond, the distinct texts find their names through an
     index of rare pieces (`containing_pairs`), in both directions if asked; no row carries a list of names.
     """
     if inline is None:
         inline = fits(names, INLINE_NAMES)
+    keys = ["system", text] + ([exclude] if exclude else [])
     if inline:
         few = sorted(names.select("system", "name", "idx").collect(), key=lambda n: (n.idx, n.name))
+        if repeated:
+            held = cut(rows.select(*keys).distinct().limit(BROADCAST_ROWS + 1))
+            if held.count() <= BROADCAST_ROWS:
+                return attach(rows, held.withColumn(out, _inline(text, few, exclude, either)), keys, "left", True)
         return rows.withColumn(out, _inline(text, few, exclude, either))
-    keys = ["system", text] + ([exclude] if exclude else [])
     asked = rows.select(*keys).distinct()
     texts = asked.select("system", F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     whole = names.select("system", "name").distinct()
