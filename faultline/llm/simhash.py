@@ -290,18 +290,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _early_pairs(lists: DataFrame) -> DataFrame:
-    """(a, n, b, m) for neighbours in each list (rep, n, h, many), by size, and in long lists for each member with the
-    pivots: the members of its size class that come first in each of a few random orders. The orders are the same in
-    all lists, so a group of near copies meets the same pivots in nearly all lists that it shares."""
+    """(a, n, b, m) for neighbours in each list (rep, root, n, h, many), by size, and in long lists for each member with
+    the pivots: the members of its size class that come first in each of a few random orders. The orders are the same in
+    all lists, so a group of near copies meets the same pivots in nearly all lists that it shares. Members of one root
+    are linked already."""
     num, den = COPY_OF
-    one = F.struct("n", "rep")
+    one = F.struct("n", "rep", "root")
     before = F.lag(one).over(Window.partitionBy("h").orderBy("n", "rep"))
     alike = Window.partitionBy("h", F.floor(F.log("n") * SIZE_CLASSES))
     firsts = [F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("order"), one.alias("one"))).over(alike)["one"] for k in range(PIVOTS)]
     short = lists.where(F.col("many") <= LONG_LIST).select(one.alias("x"), before.alias("y")).where("y IS NOT NULL")
     long = lists.where(F.col("many") > LONG_LIST).select(one.alias("x"), F.array_distinct(F.array_compact(F.array(before, *firsts))).alias("ys"))
-    pairs = short.unionByName(long.select("x", F.explode("ys").alias("y")).where("x <> y"))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = short.unionByName(long.select("x", F.explode("ys").alias("y")))
+    pairs = pairs.where("x.root <> y.root").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("x.n").alias("n"), F.col("y.rep").alias("b"), F.col("y.n").alias("m"))
     return pairs.where(F.col("n") * den >= F.col("m") * num)
 
@@ -330,22 +331,37 @@ def _linked_in_turns(pairs: DataFrame, found: DataFrame, texts: DataFrame) -> Da
     return found
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes (rep, fp; a node may have several fingerprints) that connect all whose fingerprints
+    are within two bits."""
+    nodes = cut(nodes.distinct())
+    least = cut(nodes.groupBy("fp").agg(F.min("rep").alias("least")))
+    same = nodes.join(least, "fp").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in ("ua", "vb")]
+    near = links(least.select("fp")).join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    pairs = same.unionByName(near).where("a <> b")
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def copy_groups(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, root) for rows (row, doc_id, sig, text): root is the same for rows that chains of near copies link.
-
-    Near copies have a Jaccard similarity of 4/5 or more over runs of five words; pairs as far apart as 15 bits of a
-    SimHash were seen among them, so candidates come from the prefixes of the sets (exact for any one order; runs that
-    a sample of documents has often come last). Equal sets are one node. Neighbours in a prefix list are compared
-    first, in long lists also each member and the pivots of its list; then pairs of a list that are not linked by then,
-    in turns, until none is left. Texts without words are one group. Sets are larger than texts, so they are made from the text where needed
-    and only those of candidates are written.
+    """(row, doc_id, root) for rows (row, doc_id, sig, fp, text): root is the same for rows that chains of near copies link.
+
+    Near copies have a Jaccard similarity of 4/5 or more over runs of five words. SimHashes `fp` within two bits propose
+    the first pairs, which are compared exactly. Pairs as far apart as 15 bits were seen among near copies, so the groups
+    are then completed by a join that compares texts of different groups only: candidates come from the prefixes of the
+    sets (exact for any one order; runs that a sample of documents has often come last). Equal sets are one node.
+    Neighbours in a prefix list are compared first, in long lists also each member and the pivots of its list; then pairs
+    of a list that are not linked by then, in turns, until none is left. Texts without words are one group. Sets are
+    larger than texts, so they are made from the text where needed and only those of candidates are written.
     """
     copied = rows.groupBy("sig").agg(F.min("row").alias("rep"), F.count("*").alias("times"))
     copied = cut(copied.where("times > 1").select("sig", "rep"))
-    of = attach_small(rows.select("row", "doc_id", "sig"), copied, ["sig"])
-    of = cut(of.select("row", "doc_id", F.coalesce("rep", "row").alias("rep")))
+    of = attach_small(rows.select("row", "doc_id", "sig", "fp"), copied, ["sig"])
+    of = cut(of.select("row", "doc_id", "fp", F.coalesce("rep", "row").alias("rep")))
     more = of.where("row <> rep").select("row", F.lit(1).alias("more"))
     texts = attach_small(rows.select("row", "text"), more, ["row"]).where("more is null").select(F.col("row").alias("rep"), "text")
+    alike = _confirmed(print_pairs(of.select("rep", "fp")), texts)
+    grouped = cut(components(alike))
     every = max(1, of.where("row = rep").count() // SAMPLE_DOCS)
     some = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0)
     sample = some.select(F.explode(_shingle_sets("text")).alias("h"))
@@ -354,11 +370,13 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     udf = _prefixes(often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
     sets = texts.select("rep", _shingle_sets("text").alias("hs"))
     lists = sets.select("rep", F.size("hs").alias("n"), F.explode(udf("hs")).alias("h"))
-    lists = cut(lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1"))
+    lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1")
+    lists = lists.join(grouped, F.col("rep") == F.col("node"), "left")
+    lists = cut(lists.select("rep", F.coalesce("root", "rep").alias("root"), "n", "h", "many"))
     num, den = COPY_OF
-    first = _confirmed(_counted(_early_pairs(lists)), texts)
+    first = alike.unionByName(_confirmed(_counted(_early_pairs(lists)), texts))
     known = components(first)
-    named = lists.join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
+    named = lists.drop("root").join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
     both = [end("root").over(Window.partitionBy("h")) for end in (F.min, F.max)]
     named = cut(named.withColumn("open", both[0] != both[1]).where("open").drop("open"))
     other = named.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
@@ -375,8 +393,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows have a key of their own, so NULL and repeated ids count as the rows they are.
     """
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__sig", _signatures("text"))
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
+    keyed = keyed.withColumns({"__sig": _signatures("text"), "__fp": _fingerprints("text")})
     table = cut(short_batches(keyed))
-    of = copy_groups(table.select(F.col("__row").alias("row"), "doc_id", F.col("__sig").alias("sig"), "text"))
+    of = copy_groups(table.select(F.col("__row").alias("row"), "doc_id", F.col("__sig").alias("sig"), F.col("__fp").alias("fp"), "text"))
     best = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best"))
     return table.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -149,6 +149,34 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     assert simhash.keep_first(frame.where("false")).count() == 0
 
 
+def test_simhash_finds_near_copies_and_the_exact_check_follows(spark, monkeypatch):
+    """Without the join that completes the groups, those are left that texts within two bits and near by their runs make."""
+    r = random.Random(3)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(n)]
+
+    def pair(make):
+        while True:
+            a, b = make()
+            if 1 <= (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 2:
+                return a, b
+
+    def changed():
+        words = fresh(120)
+        return " ".join(words), " ".join([*words[:-1], "changed"])
+
+    def repeated():  # alike by their SimHash, far apart by their sets of runs
+        body = fresh(41) * 12
+        return " ".join(body + fresh(30)), " ".join(body + fresh(30))
+
+    (a, b), (c, d) = pair(changed), pair(repeated)
+    assert brute_copies([a, b, c, d]) == [0, 0, 2, 3]
+    frame = spark.createDataFrame([(3, a), (1, b), (4, c), (5, d), (6, c)], "doc_id long, text string")
+    assert {x.doc_id for x in simhash.keep_first(frame).collect()} == {1, 4, 5}
+    monkeypatch.setattr(simhash, "_early_pairs", lambda lists: spark.createDataFrame([], "a bigint, n int, b bigint, m int"))
+    monkeypatch.setattr(simhash, "_linked_in_turns", lambda pairs, found, texts: found)
+    assert {x.doc_id for x in simhash.keep_first(frame).collect()} == {1, 4, 5}
+
+
 def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     r = random.Random(9)
     a, b, c, d, e = (" ".join(r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(60)) for _ in range(5))
