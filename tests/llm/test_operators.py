@@ -283,6 +283,20 @@ def test_classifier_learns_and_keeps_whole_texts(spark, none):
     assert toxicity.score(none, labels.where("false")).count() == 0
 
 
+def test_classifier_learns_from_every_labelled_row_that_it_may(spark, monkeypatch):
+    """Long texts and all rows of both labels are in the fit; several tasks learn what is in few rows of one."""
+    rows = [(i, "plain words here " * (9000 if i == 3 else 5) + ("vile" if i % 4 == 0 else ""), "en", int(i % 4 == 0)) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int").repartition(6)
+    labels = docs.select("doc_id", F.col("y").alias("toxic"))
+    usable = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    kept = toxicity.training_rows(docs, labels)
+    assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(usable)
+    assert kept.rdd.getNumPartitions() > 1 and 0.2 < kept.where("cut").count() / len(usable) < 0.3
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    got = toxicity.score(docs, labels)
+    assert got.where("predicted <> CAST(doc_id % 4 = 0 AS int)").count() == 0
+
+
 @pytest.mark.parametrize("factor, recall", [(1.0, 1.0), (1.2, 0.9)])
 def test_nearest_neighbours(spark, factor, recall):
     rng = np.random.default_rng(4)
