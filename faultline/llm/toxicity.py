@@ -16,14 +16,20 @@ from faultline.llm.common import attach_small, short_batches
 from faultline.session import cut
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Byte -> its lower-case letter, or a space.
+LETTERS = bytes(ord(chr(i).lower()) if chr(i).isalpha() and i < 128 else 32 for i in range(256))
 BUCKETS = 1 << 15
 WIDTH = 16
 FILTERS = 16
 SPANS = (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
-#: Labelled rows of one partition of the fit, and rounds over all of them.
+#: Labelled rows of one partition, rows that one task of the fit learns from in a round, and rounds over all of them.
+#: A task hands on a whole net, so its size bounds what rounds write, however many files the rows lie in.
 PART_ROWS = 4096
+FIT_ROWS = 8192
 EPOCHS = 5
+#: Labels (id and flag) that are broadcast; with more, the texts that may be learned from are shuffled once.
+LABEL_ROWS = 500_000
 #: Texts of one step of the fit, and the words from which it has fewer.
 BATCH = 64
 BATCH_WORDS = 200_000
@@ -33,32 +39,47 @@ CHUNK = 1024
 STEPS = 1000
 #: Words scored in one go; longer texts go in pieces that overlap, so no window is lost.
 PIECE = 20_000
+#: Words whose filter responses are held at once.
+BLOCK_WORDS = 8_000
 CUT = 0.7
 SEED = 2
 
 
-def hashed(word: str) -> list[int]:
-    """Buckets of a word: the word itself and its beginnings."""
-    found = [zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS]
-    for n in PREFIXES:
-        found.append(zlib.crc32(f"{n}{word[:n]}".encode("utf-8", "replace")) % BUCKETS if len(word) >= n else found[0])
-    return found
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased words of letters; ASCII texts are cut by a table of bytes, with the same result."""
+    if text and text.isascii():
+        return text.encode().translate(LETTERS).decode().split()
+    return WORDS.findall((text or "").lower())
 
 
-class Vocabulary:
+def hashed(words: list[str]) -> np.ndarray:
+    """Buckets of each word: the word itself and its beginnings (the word again where it is shorter)."""
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint32, len(words)) % BUCKETS
+    most = max(PREFIXES)
+    heads = np.array([w[:most] for w in words], f"U{most}").view(np.uint32).reshape(-1, most)  # code points, then 0
+    found, state = [own], np.full(len(words), 0x811C9DC5, np.uint32)
+    for n in range(1, most + 1):
+        state = (state ^ heads[:, n - 1]) * np.uint32(0x9E3779B1)
+        state ^= state >> np.uint32(15)
+        if n in PREFIXES:
+            mixed = (state * np.uint32(0x85EBCA6B) + np.uint32(n)) >> np.uint32(16)
+            found.append(np.where(heads[:, n - 1] > 0, mixed % BUCKETS, own))
+    return np.stack(found, axis=1).astype(np.int64)
+
+
+class Vocabulary(dict):
     """word -> number within a batch; the buckets of each number. Number 0 stands between texts and has no vector."""
 
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.buckets: list[list[int]] = [[0] * (len(PREFIXES) + 1)]
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        return n
 
     def numbers(self, text: str | None) -> np.ndarray:
-        words = WORDS.findall((text or "").lower())
-        for w in words:
-            if w not in self.number:
-                self.number[w] = len(self.buckets)
-                self.buckets.append(hashed(w))
-        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def buckets(self) -> np.ndarray:
+        return np.concatenate([np.zeros((1, len(PREFIXES) + 1), np.int64), hashed(list(self))])
 
 
 @dataclass
@@ -98,32 +119,41 @@ class Net:
         return flat
 
     def vectors(self, buckets: np.ndarray) -> np.ndarray:
-        found = self.table[buckets].sum(axis=1)
+        found = self.table[buckets[:, 0]]
+        for column in buckets.T[1:]:
+            found += self.table[column]
         found[0] = 0
         return found
 
-    def maps(self, x: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
-        """Filter responses at each word of a joined sequence, 0 between texts."""
-        made = []
-        for f, b in zip(self.filters, self.bias):
-            y = x @ f[0]
-            for j in range(1, len(f)):
-                y[:-j] += x[j:] @ f[j]
-            y += b
-            np.maximum(y, 0, out=y)
-            y[~text] = 0
-            made.append(y)
+    def maps(self, x: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Responses of all filters, by span, at each word of a joined sequence, 0 between texts."""
+        made = x @ np.concatenate([f[0] for f in self.filters], axis=1)
+        for j in range(1, max(SPANS)):
+            wide = [k for k, span in enumerate(SPANS) if span > j]  # the last ones
+            made[:-j, wide[0] * FILTERS :] += (x @ np.concatenate([self.filters[k][j] for k in wide], axis=1))[j:]
+        made += np.concatenate(self.bias)
+        np.maximum(made, 0, out=made)
+        made[~text] = 0
         return made
 
     def logits(self, sequences: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
         """One number per text: largest response of each filter over the whole text, then the last layer."""
-        pieces = [s[i : i + PIECE] for s in sequences for i in range(0, max(1, len(s)), PIECE - max(SPANS) + 1)]
-        owner = [n for n, s in enumerate(sequences) for _ in range(0, max(1, len(s)), PIECE - max(SPANS) + 1)]
-        seq, starts = join_texts(pieces)
-        maps = self.maps(self.vectors(buckets)[seq], seq > 0)
-        pooled = np.concatenate([np.maximum.reduceat(y, starts) for y in maps], axis=1)
+        ahead = max(SPANS) - 1
+        pieces = [s[i : i + PIECE] for s in sequences for i in range(0, max(1, len(s)), PIECE - ahead)]
+        owner = [n for n, s in enumerate(sequences) for _ in range(0, max(1, len(s)), PIECE - ahead)]
+        goes_on = np.diff(owner, append=-1) == 0
+        block = np.cumsum([len(s) for s in pieces]) // BLOCK_WORDS
+        bounds = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(pieces)].tolist()
+        vectors, found = self.vectors(buckets), []
+        for a, b in zip(bounds, bounds[1:]):
+            seq, starts = join_texts(pieces[a:b])
+            text = seq > 0
+            for n in np.flatnonzero(goes_on[a:b]).tolist():  # windows from its last words are whole in the next piece
+                end = starts[n] + len(pieces[a + n])
+                text[end - ahead : end] = False
+            found.append(np.maximum.reduceat(self.maps(vectors[seq], text), starts))
         first = np.searchsorted(owner, np.arange(len(sequences)))
-        return np.maximum.reduceat(pooled, first) @ self.out + self.out_bias + self.shift
+        return np.maximum.reduceat(np.concatenate(found), first) @ self.out + self.out_bias + self.shift
 
 
 def join_texts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,18 +168,18 @@ def step(flat: np.ndarray, sums: np.ndarray, sequences: list[np.ndarray], bucket
     net, acc = Net.over(flat), Net.over(sums)
     seq, starts = join_texts(sequences)
     ends = np.r_[starts[1:], len(seq)]
-    local, at = np.unique(seq, return_inverse=True)
-    own = net.vectors(buckets[np.r_[0, local[local > 0]]])[at]  # 0 is always there
+    own = net.vectors(buckets)[seq]
     maps = net.maps(own, seq > 0)
-    peak = [np.array([a + y[a:b].argmax(axis=0) for a, b in zip(starts, ends)]) for y in maps]
-    value = [np.take_along_axis(y, p, 0) for y, p in zip(maps, peak)]
-    pooled = np.concatenate(value, axis=1)
+    peak = np.array([a + maps[a:b].argmax(axis=0) for a, b in zip(starts, ends)])
+    pooled = np.take_along_axis(maps, peak, 0)
     p = 1 / (1 + np.exp(-(pooled @ net.out + net.out_bias)))
     slope = ((p - toxic) * weight / len(toxic)).astype(np.float32)
     rows, changes = [], []
     steps = []  # parameter, gradient, sums
-    for k, (f, position) in enumerate(zip(net.filters, peak)):
-        g = slope[:, None] * net.out[k * FILTERS : (k + 1) * FILTERS] * (value[k] > 0)
+    pulls = slope[:, None] * net.out * (pooled > 0)
+    for k, f in enumerate(net.filters):
+        own_filters = slice(k * FILTERS, (k + 1) * FILTERS)
+        g, position = pulls[:, own_filters], peak[:, own_filters]
         grad = np.zeros_like(f)
         for j in range(len(f)):
             where = np.minimum(position + j, len(seq) - 1)
@@ -159,10 +189,11 @@ def step(flat: np.ndarray, sums: np.ndarray, sequences: list[np.ndarray], bucket
             changes.append(np.repeat((g[:, :, None] * f[j].T)[real], buckets.shape[1], axis=0))
         steps += [(f, grad, acc.filters[k]), (net.bias[k], g.sum(axis=0), acc.bias[k])]
     steps += [(net.out, pooled.T @ slope, acc.out), (flat[-1, :1], slope.sum(keepdims=True), sums[-1, :1])]
-    touched, of = np.unique(np.concatenate(rows), return_inverse=True)
+    every = np.concatenate(rows)
+    order = np.argsort(every, kind="stable")
+    touched, first = np.unique(every[order], return_index=True)
     if len(touched):
-        total = np.zeros((len(touched), WIDTH), np.float32)
-        np.add.at(total, of, np.concatenate(changes))
+        total = np.add.reduceat(np.concatenate(changes)[order], first)
         sums[touched] += total**2
         net.table[touched] -= 0.05 * total / np.sqrt(sums[touched])
     for param, grad, total in steps:
@@ -171,8 +202,46 @@ def step(flat: np.ndarray, sums: np.ndarray, sequences: list[np.ndarray], bucket
     return touched
 
 
+PACK = "words binary, lengths binary, buckets binary, toxic binary"
+
+
+def _pack(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of a step in one row: their words as numbers, words and label of each, and the buckets of each number.
+
+    A step has `BATCH` texts, or fewer from `BATCH_WORDS` words. Made once, so no round takes the texts apart again.
+    """
+    vocabulary, held, toxic = Vocabulary(), [], []
+
+    def row() -> pd.DataFrame:
+        parts = (np.concatenate(held).astype(np.int32), np.array([len(s) for s in held], np.int32), vocabulary.buckets().astype(np.uint16), np.array(toxic, np.int8))
+        return pd.DataFrame({name: [x.tobytes()] for name, x in zip(("words", "lengths", "buckets", "toxic"), parts)})
+
+    for pdf in batches:
+        for text, y in zip(pdf.text.tolist(), pdf.toxic.tolist()):
+            held.append(vocabulary.numbers(text))
+            toxic.append(y)
+            if len(held) == BATCH or sum(map(len, held)) > BATCH_WORDS:
+                yield row()
+                vocabulary, held, toxic = Vocabulary(), [], []
+    if held:
+        yield row()
+
+
+def unpack(row) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Numbered words of each text of a step, buckets of each number, labels."""
+    ends = np.cumsum(np.frombuffer(row.lengths, np.int32))
+    buckets = np.frombuffer(row.buckets, np.uint16).reshape(-1, len(PREFIXES) + 1).astype(np.int64)
+    return np.split(np.frombuffer(row.words, np.int32), ends[:-1]), buckets, np.frombuffer(row.toxic, np.int8)
+
+
+def packs(rows: DataFrame, n: int) -> DataFrame:
+    """The `n` rows (text, toxic) as steps of the fit, written once, in about `n / FIT_ROWS` partitions."""
+    made = cut(short_batches(rows.select("text", "toxic")).mapInPandas(_pack, PACK))
+    return made.coalesce(max(1, -(-n // FIT_ROWS)))
+
+
 def _train_part(model, weight: dict[int, float], epoch: int) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Steps over the rows of a task from the net of the last round; then its parameters in chunks.
+    """The steps of a task from the net of the last round; then its parameters in chunks.
 
     `n` is how often the task changed a row of parameters.
     """
@@ -182,19 +251,12 @@ def _train_part(model, weight: dict[int, float], epoch: int) -> Callable[[Iterab
         changed, part = np.zeros(len(flat), np.float32), TaskContext.get().partitionId()
         rng = np.random.default_rng([SEED, epoch, part])
         for pdf in batches:
-            vocabulary, toxic = Vocabulary(), pdf.toxic.to_numpy()
-            weights = np.array([weight[y] for y in toxic.tolist()])
-            sequences = [vocabulary.numbers(t) for t in pdf.text.tolist()]
-            buckets = np.array(vocabulary.buckets)
-            some: list[int] = []
-            order = rng.permutation(len(pdf)).tolist()
-            for place, n in enumerate(order):
-                some.append(n)
-                if len(some) == BATCH or place + 1 == len(order) or sum(len(sequences[x]) for x in some) > BATCH_WORDS:
-                    touched = step(flat, sums, [sequences[x] for x in some], buckets, toxic[some], weights[some])
-                    changed[touched] += 1
-                    changed[BUCKETS:] += 1
-                    some = []
+            steps = list(pdf.itertuples())
+            for n in rng.permutation(len(steps)).tolist():
+                sequences, buckets, toxic = unpack(steps[n])
+                touched = step(flat, sums, sequences, buckets, toxic, np.where(toxic == 1, weight[1], weight[0]))
+                changed[touched] += 1
+                changed[BUCKETS:] += 1
         if changed.any():
             for at in range(0, len(flat), CHUNK):
                 own = slice(at, at + CHUNK)
@@ -220,11 +282,10 @@ def _bucket_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of each label that a task has, and those with each bucket."""
     seen = np.zeros((2, BUCKETS), np.int64)
     for pdf in batches:
-        vocabulary = Vocabulary()
-        sequences = [vocabulary.numbers(t) for t in pdf.text.tolist()]
-        buckets = np.array(vocabulary.buckets)
-        for s, y in zip(sequences, pdf.toxic.tolist()):
-            seen[y, np.unique(buckets[np.unique(s)])] += 1
+        for row in pdf.itertuples():
+            sequences, buckets, toxic = unpack(row)
+            for s, y in zip(sequences, toxic.tolist()):
+                seen[y, np.unique(buckets[np.unique(s)])] += 1
     label, bucket = np.nonzero(seen)
     yield pd.DataFrame({"toxic": label, "bucket": bucket, "n": seen[label, bucket]})
 
@@ -236,16 +297,17 @@ def fit(rows: DataFrame, count: dict[int, int], epochs: int = EPOCHS) -> np.ndar
     same net over its rows, and the nets are merged by chunks; only the merged one comes to the driver.
     """
     sc = rows.sparkSession.sparkContext
+    steps = packs(rows, sum(count.values()))
     flat = Net.fresh()
     seen = np.ones((2, BUCKETS))
-    for y, bucket, n in rows.mapInPandas(_bucket_counts, "toxic int, bucket int, n bigint").groupBy("toxic", "bucket").agg(F.sum("n")).collect():
+    for y, bucket, n in steps.mapInPandas(_bucket_counts, "toxic int, bucket int, n bigint").groupBy("toxic", "bucket").agg(F.sum("n")).collect():
         seen[y, bucket] += n
     flat[:BUCKETS, 0] = np.clip(np.log(seen[1] / (count[1] + 2)) - np.log(seen[0] / (count[0] + 2)), -2, 4) * 0.3
     sums = np.full_like(flat, 1e-6)
     weight = {y: 0.5 * sum(count.values()) / count[y] for y in (0, 1)}
     for epoch in range(epochs):
         model = sc.broadcast((flat, sums))
-        trained = rows.mapInPandas(_train_part(model, weight, epoch), "chunk int, part int, n binary, flat binary, sums binary")
+        trained = steps.mapInPandas(_train_part(model, weight, epoch), "chunk int, part int, n binary, flat binary, sums binary")
         merged = trained.repartition("chunk").sortWithinPartitions("chunk", "part").mapInPandas(_merge, "chunk int, n binary, flat binary, sums binary")
         flat, sums = flat.copy(), sums.copy()
         for x in merged.collect():
@@ -258,7 +320,7 @@ def fit(rows: DataFrame, count: dict[int, int], epochs: int = EPOCHS) -> np.ndar
 def score_texts(net: Net, texts: list[str | None]) -> np.ndarray:
     vocabulary = Vocabulary()
     sequences = [vocabulary.numbers(t) for t in texts]
-    return 1 / (1 + np.exp(-np.clip(net.logits(sequences, np.array(vocabulary.buckets)).astype(np.float64), -40, 40)))
+    return 1 / (1 + np.exp(-np.clip(net.logits(sequences, vocabulary.buckets()).astype(np.float64), -40, 40)))
 
 
 def best_cut(bins: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> float:
@@ -315,7 +377,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     each = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    found = attach_small(docs.select("doc_id", "text", "lang"), each, ["doc_id"], "inner")
+    ours = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    found = attach_small(ours, each, ["doc_id"], "inner", LABEL_ROWS)
     parts = max(1, -(-each.count() // PART_ROWS))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     marked = found.withColumn("cut", F.crc32(F.concat(F.lit("cut"), F.col("doc_id").cast("string"))) % 4 == 0)

@@ -297,6 +297,40 @@ def test_classifier_learns_from_every_labelled_row_that_it_may(spark, monkeypatc
     assert got.where("predicted <> CAST(doc_id % 4 = 0 AS int)").count() == 0
 
 
+def test_fit_has_tasks_by_its_rows_and_takes_texts_apart_once(spark, monkeypatch):
+    """211 files give as many nets to merge as one would; steps hold every word of every row."""
+    rows = [(i, "plain words here " * (200 if i == 3 else 2) + ("vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(1200)] + [(1200, None, 0), (1201, "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(211, "doc_id")
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 400)
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 300)
+    steps = toxicity.packs(frame, len(rows))
+    assert steps.rdd.getNumPartitions() == 4
+    got, want = Counter(), Counter()
+    for row in steps.collect():
+        sequences, buckets, toxic = toxicity.unpack(row)
+        got.update((y, tuple(buckets[s].ravel().tolist())) for s, y in zip(sequences, toxic.tolist()))
+    for _, text, y in rows:
+        want[y, tuple(b for w in toxicity.WORDS.findall((text or "").lower()) for b in toxicity.hashed([w])[0].tolist())] += 1
+    assert got == want
+    net = toxicity.Net.over(toxicity.fit(frame, {1: 300, 0: 902}, 2))
+    low, high = toxicity.score_texts(net, ["plain words here", "plain words here vile"])
+    assert low < 0.3 < 0.6 < high
+
+
+def test_words_by_bytes_equal_words_by_pattern_and_blocks_equal_one_pass(monkeypatch):
+    texts = ["".join(map(chr, range(128))) * 2, "Don't stop_it9now X", "Ünï ÇODE ascii", "", None, "a" * 70, "one two three " * 40]
+    for t in texts:
+        assert toxicity.words_of(t) == toxicity.WORDS.findall((t or "").lower())
+    buckets = toxicity.hashed(["as", "east", "eastern", "easterly"])
+    assert (buckets[0] == buckets[0, 0]).all() and (buckets[2, 1:] == buckets[3, 1:]).all() and (buckets[1, 1:3] == buckets[2, 1:3]).all()
+    assert buckets.min() >= 0 and buckets.max() < toxicity.BUCKETS
+    net = toxicity.Net.over(toxicity.Net.fresh())
+    whole = toxicity.score_texts(net, texts)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(toxicity, "PIECE", 30)
+    assert np.allclose(toxicity.score_texts(net, texts), whole, atol=1e-6)
+
+
 @pytest.mark.parametrize("factor, recall", [(1.0, 1.0), (1.2, 0.9)])
 def test_nearest_neighbours(spark, factor, recall):
     rng = np.random.default_rng(4)
