@@ -317,6 +317,15 @@ def test_fit_has_tasks_by_its_rows_and_takes_texts_apart_once(spark, monkeypatch
     assert low < 0.3 < 0.6 < high
 
 
+def test_training_rows_by_join_equal_those_by_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50 if i < 120 else None, f"t{i}", "en") for i in range(130)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 60, 2)], "doc_id long, toxic int")
+    few = sorted(toxicity.training_rows(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "LABEL_ROWS", 0)
+    assert sorted(toxicity.training_rows(docs, labels).collect()) == few
+    assert Counter(r.doc_id for r in few) == Counter(i % 50 for i in range(120) if i % 2 == 0 and zlib.crc32(str(i % 50).encode()) % 3 != 1)
+
+
 def test_words_by_bytes_equal_words_by_pattern_and_blocks_equal_one_pass(monkeypatch):
     texts = ["".join(map(chr, range(128))) * 2, "Don't stop_it9now X", "Ünï ÇODE ascii", "", None, "a" * 70, "one two three " * 40]
     for t in texts:
