@@ -259,12 +259,20 @@ def prefix(hs: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray
     return hs[:size]
 
 
-def _prefixes(common: np.ndarray, counts: np.ndarray):
-    @F.pandas_udf(ArrayType(LongType()))
-    def run(sets: pd.Series) -> pd.Series:
-        return pd.Series([prefix(np.asarray(x, np.int64), common, counts) for x in sets])
+def prefixes(texts: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(rep, n, h) for texts (rep, text): the size of a text's set and each member of its prefix.
 
-    return run
+    Sets don't leave the Python worker, and one worker per task makes both: a worker that reads from another one would
+    double the workers of each executor, which stay, with their memory, for the stages that follow.
+    """
+
+    @F.pandas_udf("n int, hs array<bigint>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"n": [len(x) for x in sets], "hs": [prefix(x, common, counts) for x in sets]})
+
+    made = texts.select("rep", run("text").alias("made"))
+    return made.select("rep", "made.n", F.explode("made.hs").alias("h"))
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
@@ -367,9 +375,7 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     sample = some.select(F.explode(_shingle_sets("text")).alias("h"))
     often = sample.groupBy("h").count().where(F.col("count") >= SAMPLE_OFTEN).orderBy(F.desc("count"), "h").limit(SAMPLE_KEPT)
     often = often.toPandas().sort_values("h")
-    udf = _prefixes(often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
-    sets = texts.select("rep", _shingle_sets("text").alias("hs"))
-    lists = sets.select("rep", F.size("hs").alias("n"), F.explode(udf("hs")).alias("h"))
+    lists = prefixes(texts, often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
     lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1")
     lists = lists.join(grouped, F.col("rep") == F.col("node"), "left")
     lists = cut(lists.select("rep", F.coalesce("root", "rep").alias("root"), "n", "h", "many"))
