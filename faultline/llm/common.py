@@ -51,14 +51,15 @@ def short_batches(docs: DataFrame) -> DataFrame:
 def attach_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", most: int | None = None) -> DataFrame:
     """Join `right`, unique in `keys` and made of short columns, to `left`, whose keys may be hot.
 
-    Broadcast when counted as small (`most` rows, else `BROADCAST_ROWS`). Else both sides are salted, so that a hot key is met in `SALTS` tasks.
+    Broadcast when counted as small (`most` rows, else `BROADCAST_ROWS`). Else both sides are salted, so that a hot key is
+    met in `SALTS` tasks, and shuffled: Spark takes the copies for as small as the files of `right`, so it would broadcast them.
     """
     most = BROADCAST_ROWS if most is None else most
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), keys, how)
     salted = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
