@@ -3,14 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, toxicity
+from faultline.llm import common, spelling, toxicity
 
 
 @pytest.fixture
 def plans(monkeypatch):
     """Plans of all tables that are written, where any table is too large for a broadcast."""
     seen = []
-    for module in (common, toxicity):
+    for module in (common, spelling, toxicity):
 
         def cut(df, write=module.cut):
             seen.append(df._jdf.queryExecution().executedPlan().toString())
@@ -43,3 +43,10 @@ def test_labels_beyond_the_limit_are_not_broadcast(spark, plans):
     free = {r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()}
     assert {r.doc_id for r in rows} == free and len(rows) == len(free) > 3
     assert shuffled(plans), [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_forms_beyond_the_limit_are_not_broadcast(spark, plans):
+    links = [(f"w{i:03d}", f"w{i + 1:03d}") for i in range(40) if i % 10 != 9]
+    roots = spelling.follow(spark.createDataFrame(links, "word string, form string")).collect()
+    assert {(r.word, r.root) for r in roots} == {(w, f"w{int(w[1:]) // 10 * 10 + 9:03d}") for w, _ in links}
+    assert shuffled(plans), [p for p in plans if "BroadcastHashJoin" in p]
