@@ -62,6 +62,19 @@ def attach_small(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
+def large(table: DataFrame) -> bool:
+    """Whether a table in files has more rows than a broadcast may have."""
+    return table.count() > BROADCAST_ROWS
+
+
+def bounded(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """`side` of a plain join, a table in files with `rows` rows at most (counted if not given), that passes through the
+    driver only if it has up to `BROADCAST_ROWS`. Spark would go by the size of the files, and short rows take little there."""
+    if large(side) if rows is None else rows > BROADCAST_ROWS:
+        return side.hint("merge")
+    return side
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions so that each holds about `per_part` rows, at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
@@ -116,17 +129,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: every node tells its greater neighbours, then its smaller ones, of its
     smallest neighbour. Each round is a table in the shared folder. Minima are combined before the shuffle, and the
-    hub of a large component is only one side of a join that adaptive execution splits.
+    hub of a large component is only one side of a join that adaptive execution splits. Rounds never add links, and
+    the minima of many nodes are not broadcast.
     """
     kind = "u bigint, v bigint"
     edges = cut(links.select("u", "v").where("u <> v").mapInPandas(_forest, kind).distinct())
-    seen = None
+    seen, most = None, 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        edges = cut(both.where("v > u").join(bounded(least, most), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = edges.join(bounded(least, most), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select("u", F.col("m").alias("v"))
         edges = cut(small.unionByName(own).where("u <> v").distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

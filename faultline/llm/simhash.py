@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
-from faultline.llm.common import attach_small, components, roots, short_batches, unite
+from faultline.llm.common import attach_small, bounded, components, large, roots, short_batches, unite
 from faultline.session import cut
 
 RADIUS = 2
@@ -289,12 +289,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     asked = cut(asked.withColumn("asked", F.lit(1)))
     sets = cut(attach_small(texts, asked, ["rep"], "inner").select("rep", _shingle_sets("text").alias("hs")))
-    one = sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha"))
-    two = sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb"))
+    many = sets.count()
+    one = bounded(sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha")), many)
+    two = bounded(sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb")), many)
     num, den = COPY_OF
     both = F.size(F.array_intersect("ha", "hb"))
     close = both * (num + den) >= num * (F.size("ha") + F.size("hb"))
-    return cut(pairs.join(one, "a").join(two, "b").where(close).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return cut(bounded(pairs).join(one, "a").join(two, "b").where(close).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _early_pairs(lists: DataFrame) -> DataFrame:
@@ -335,7 +336,7 @@ def _linked_in_turns(pairs: DataFrame, found: DataFrame, texts: DataFrame) -> Da
         best = [pairs.groupBy(side, part).agg(F.max(F.struct("share", "a", "b")).alias("best")).select("best.*") for side in ("of_a", "of_b")]
         chosen = cut(best[0].unionByName(best[1]).distinct())
         found = found.unionByName(_confirmed(chosen, texts))
-        pairs = pairs.join(chosen, ["a", "b"], "left_anti").select("a", "b", "share")
+        pairs = pairs.join(bounded(chosen), ["a", "b"], "left_anti").select("a", "b", "share")
     return found
 
 
@@ -344,8 +345,9 @@ def print_pairs(nodes: DataFrame) -> DataFrame:
     are within two bits."""
     nodes = cut(nodes.distinct())
     least = cut(nodes.groupBy("fp").agg(F.min("rep").alias("least")))
-    same = nodes.join(least, "fp").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in ("ua", "vb")]
+    many = least.count()
+    same = nodes.join(bounded(least, many), "fp").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    ends = [bounded(least.select(F.col("fp").alias(x), F.col("least").alias(y)), many) for x, y in ("ua", "vb")]
     near = links(least.select("fp")).join(ends[0], "u").join(ends[1], "v").select("a", "b")
     pairs = same.unionByName(near).where("a <> b")
     return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -368,6 +370,8 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     of = cut(of.select("row", "doc_id", "fp", F.coalesce("rep", "row").alias("rep")))
     more = of.where("row <> rep").select("row", F.lit(1).alias("more"))
     texts = attach_small(rows.select("row", "text"), more, ["row"]).where("more is null").select(F.col("row").alias("rep"), "text")
+    if large(more):  # else each use would shuffle all texts
+        texts = cut(texts)
     alike = _confirmed(print_pairs(of.select("rep", "fp")), texts)
     grouped = cut(components(alike))
     every = max(1, of.where("row = rep").count() // SAMPLE_DOCS)
@@ -377,20 +381,20 @@ def copy_groups(rows: DataFrame) -> DataFrame:
     often = often.toPandas().sort_values("h")
     lists = prefixes(texts, often.h.to_numpy(np.int64), often["count"].to_numpy(np.int64))
     lists = lists.withColumn("many", F.count("*").over(Window.partitionBy("h"))).where("many > 1")
-    lists = lists.join(grouped, F.col("rep") == F.col("node"), "left")
+    lists = lists.join(bounded(grouped), F.col("rep") == F.col("node"), "left")
     lists = cut(lists.select("rep", F.coalesce("root", "rep").alias("root"), "n", "h", "many"))
     num, den = COPY_OF
     first = alike.unionByName(_confirmed(_counted(_early_pairs(lists)), texts))
     known = components(first)
-    named = lists.drop("root").join(known, F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
+    named = lists.drop("root").join(bounded(known), F.col("rep") == F.col("node"), "left").select("rep", "n", "h", F.coalesce("root", "rep").alias("root"))
     both = [end("root").over(Window.partitionBy("h")) for end in (F.min, F.max)]
     named = cut(named.withColumn("open", both[0] != both[1]).where("open").drop("open"))
     other = named.select("h", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     fits = (F.col("rep") < F.col("b")) & (F.col("root") != F.col("other"))
     fits &= (F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num)
-    rest = named.join(other, (named.h == other.h) & fits).select(F.col("rep").alias("a"), "n", "b", "m")
+    rest = named.join(bounded(other, named.count()), (named.h == other.h) & fits).select(F.col("rep").alias("a"), "n", "b", "m")
     reach = components(_linked_in_turns(_counted(rest), first, texts))
-    joined = of.join(reach, F.col("rep") == F.col("node"), "left")
+    joined = of.join(bounded(reach), F.col("rep") == F.col("node"), "left")
     return joined.select("row", "doc_id", F.coalesce("root", "rep").alias("root"))
 
 

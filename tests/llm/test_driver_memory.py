@@ -1,16 +1,18 @@
 """Tables that were not counted as small are never broadcast, since a broadcast goes through the driver."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import common, spelling, toxicity
+from faultline.llm import common, simhash, spelling, toxicity
 
 
 @pytest.fixture
 def plans(monkeypatch):
     """Plans of all tables that are written, where any table is too large for a broadcast."""
     seen = []
-    for module in (common, spelling, toxicity):
+    for module in (common, simhash, spelling, toxicity):
 
         def cut(df, write=module.cut):
             seen.append(df._jdf.queryExecution().executedPlan().toString())
@@ -50,3 +52,17 @@ def test_forms_beyond_the_limit_are_not_broadcast(spark, plans):
     roots = spelling.follow(spark.createDataFrame(links, "word string, form string")).collect()
     assert {(r.word, r.root) for r in roots} == {(w, f"w{int(w[1:]) // 10 * 10 + 9:03d}") for w, _ in links}
     assert shuffled(plans), [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_near_copies_beyond_the_limit_are_not_broadcast(spark, plans, monkeypatch):
+    r = random.Random(4)
+    words = [f"word{i}" for i in range(500)]
+    texts = []
+    for _ in range(12):
+        first = r.choices(words, k=120)
+        texts += [first, first, *[first[:j] + ["other"] + first[j + 1 :] for j in (3, 60, 110)]]
+    table = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    kept = sorted(x.doc_id for x in simhash.keep_first(docs).collect())
+    assert kept == list(range(0, 60, 5))
+    assert shuffled(plans), [p for p in plans if "BroadcastHashJoin" in p]
