@@ -39,8 +39,8 @@ def test_salted_copies_are_not_broadcast(spark, monkeypatch, how):
 
 
 def test_labels_beyond_the_limit_are_not_broadcast(spark, plans):
-    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(60)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 2)], "doc_id long, toxic int")
+    docs = common.cut(spark.createDataFrame([(i, f"text {i}", "en") for i in range(60)], "doc_id long, text string, lang string"))
+    labels = common.cut(spark.createDataFrame([(i, i % 4 // 2) for i in range(0, 60, 2)], "doc_id long, toxic int"))
     rows = toxicity.training_rows(docs, labels).collect()
     free = {r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()}
     assert {r.doc_id for r in rows} == free and len(rows) == len(free) > 3
